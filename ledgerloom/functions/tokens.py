@@ -58,12 +58,12 @@ def parse_date(text) -> Column:
 
 
 def column_of(x0, withdrawal_x, deposit_x, balance_x) -> Column:
-    """Amount column at a horizontal position; null means description text."""
-    x0 = _col(x0)
+    """Code of the amount column at a horizontal position; null means description text."""
+    x0, code = _col(x0), {n: F.lit(c).cast("byte") for n, c in S.COLUMN_CODES.items()}
     return (
-        F.when(x0 > balance_x, "balance")
-        .when(x0 > deposit_x, "deposit")
-        .when(x0 > withdrawal_x, "withdrawal")
+        F.when(x0 > balance_x, code["balance"])
+        .when(x0 > deposit_x, code["deposit"])
+        .when(x0 > withdrawal_x, code["withdrawal"])
     )
 
 

@@ -145,13 +145,16 @@ def discrepancies(ledger: DataFrame, tolerance: str = S.BALANCE_TOLERANCE) -> Da
 def rebuild_balance(ledger: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add ``running_balance``: opening balance of the document plus all movements so far.
 
-    The opening balance sits on the first row, so it joins the running sum as that row's extra
-    amount; no second pass over the document is needed.
+    The first row's balance is opening plus its own movement, so it enters the running sum as
+    that row's step and no second pass over the document is needed. A document whose first
+    balance is missing has no opening balance: its running balance is null.
     """
     move = K.zero_if_null("deposit") - K.zero_if_null("withdrawal")
-    # opening + own movement of row 1 is row 1's balance.
-    step = F.when(F.col("txn_seq") == 1, F.coalesce("balance", F.lit(0).cast(S.MONEY))).otherwise(move)
-    return running_total(ledger, "doc_id", "txn_seq", {"running_balance": step.cast(S.MONEY)}, block)
+    first = F.col("txn_seq") == 1
+    step = F.when(first, F.col("balance")).otherwise(move).cast(S.MONEY)
+    unknown = (first & F.col("balance").isNull()).cast("int")
+    out = running_total(ledger, "doc_id", "txn_seq", {"_sum": step, "_unknown": unknown}, block)
+    return out.withColumn("running_balance", F.when(F.col("_unknown") == 0, F.col("_sum"))).drop("_sum", "_unknown")
 
 
 def date_order(ledger: DataFrame, block: int = BLOCK) -> DataFrame:

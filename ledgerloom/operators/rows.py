@@ -92,71 +92,69 @@ def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> D
     )
 
 
-def _in_column(name: str):
-    return lambda w: (w["col"] == name) & w["amount"].isNotNull()
+def _in_column(code: int, nonzero: bool = False):
+    if nonzero:
+        return lambda w: (w["col"] == code) & (w["amount"] != 0)
+    return lambda w: w["col"] == code
 
 
 def _line_fields(lines: DataFrame) -> DataFrame:
     """What each line offers to its transaction, as plain columns next to its key."""
-    words = F.col("words")
-    rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    first = F.col("opens") & F.col("in_table")
+    order = F.struct("source_page", "line_y") if "source_page" in lines.columns else F.col("line_y")
+    words, placed, first = F.col("words"), F.col("_placed"), F.col("_first")
+    # The few amounts that stand in a column are singled out once; all amount rules use them.
+    # The date itself is never among them.
+    lines = lines.select(
+        "doc_id", "page", "row_in_page", "has_table", "words", "line_text", order.alias("_at"),
+        (F.col("opens") & F.col("in_table")).alias("_first"),
+        F.filter(words, lambda w: w["col"].isNotNull()).alias("_placed"),
+    )
+    plain = F.transform(F.filter(words, lambda w: w["col"].isNull()), lambda w: w["text"])
     fields: dict[str, Column] = {
-        "_first": first,
         "_date": F.when(first, F.get(words, F.lit(0))["text"]),
         "_text": F.when(
-            first,
-            K.strip(
-                F.array_join(
-                    F.transform(F.filter(rest, lambda w: w["col"].isNull()), lambda w: w["text"]), " "
-                )
-            ),
+            first, K.strip(F.array_join(F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0))), " "))
         ),
         "_more_text": F.when(
-            ~first & ~F.exists(words, lambda w: w["amount"].isNotNull()),
-            F.concat(F.lit(" "), F.col("line_text")),
-        ),
-        "_negative": F.exists(
-            F.when(first, rest).otherwise(words), lambda w: w["col"].isNotNull() & w["negative"]
+            ~first & ~F.exists(words, lambda w: w["amount"].isNotNull()), F.concat(F.lit(" "), F.col("line_text"))
         ),
+        "_negative": F.exists(placed, lambda w: w["negative"]),
     }
-    for name in AMOUNT_COLUMNS:
-        mine = F.filter(words, _in_column(name))
+    for name, code in S.COLUMN_CODES.items():
+        mine, money = _in_column(code), _in_column(code, nonzero=True)
         # On the date line the last amount of a column counts ...
-        fields[f"_own_{name}"] = F.when(
-            first, F.try_element_at(F.filter(rest, _in_column(name)), F.lit(-1))["amount"]
-        )
+        fields[f"_own_{name}"] = F.when(first, F.try_element_at(F.filter(placed, mine), F.lit(-1))["amount"])
         # ... on later lines the first that is not zero, and a zero only counts as "seen".
-        fields[f"_fill_{name}"] = F.when(
-            ~first, F.get(F.filter(mine, lambda w: w["amount"] != 0), F.lit(0))["amount"]
-        )
-        fields[f"_zero_{name}"] = ~first & F.exists(mine, lambda w: w["amount"] == 0)
-    order = (
-        F.struct("source_page", "line_y") if "source_page" in lines.columns else F.col("line_y")
+        fields[f"_fill_{name}"] = F.when(~first, F.get(F.filter(placed, money), F.lit(0))["amount"])
+        fields[f"_seen_{name}"] = ~first & F.exists(placed, mine)
+    return lines.select(
+        "doc_id", "page", "row_in_page", "has_table", "_at", *[c.alias(n) for n, c in fields.items()]
     )
-    return lines.select("doc_id", "page", "row_in_page", "has_table", order.alias("_at"),
-                        *[c.alias(n) for n, c in fields.items()])
 
 
-def repair_large(withdrawal: Column, deposit: Column, balance: Column, limit=S.REPAIR_LIMIT):
+def repair_large(rows: DataFrame, limit=S.REPAIR_LIMIT) -> DataFrame:
     """Move a large amount that stands without a balance into the balance column.
 
-    Withdrawal first; the deposit then sees the balance it may have set.
+    Withdrawal first; the deposit then sees the balance it may have set. ``reclassified`` tells.
     """
-    move_w = K.present(withdrawal) & ~K.present(balance) & (withdrawal > limit)
-    balance = F.when(move_w, withdrawal).otherwise(balance)
-    withdrawal = F.when(~move_w, withdrawal)
-    move_d = K.present(deposit) & ~K.present(balance) & (deposit > limit)
-    balance = F.when(move_d, deposit).otherwise(balance)
-    deposit = F.when(~move_d, deposit)
-    return withdrawal, deposit, balance, move_w | move_d
+    rows = rows.withColumn("reclassified", F.lit(False))
+    for side in ("withdrawal", "deposit"):
+        amount, balance, moved = F.col(side), F.col("balance"), F.col("_moved")
+        moves = K.present(side) & ~K.present("balance") & (amount > limit)
+        rows = rows.withColumn("_moved", moves).withColumns(
+            {
+                "balance": F.when(moved, amount).otherwise(balance),
+                side: F.when(~moved | moved.isNull(), amount),
+                "reclassified": F.col("reclassified") | F.coalesce(moved, F.lit(False)),
+            }
+        )
+    return rows.drop("_moved")
 
 
 def assemble_rows(segmented: DataFrame, repair_limit=S.REPAIR_LIMIT) -> DataFrame:
     """One row per (document, page, row_in_page); row 0 stands for lines outside transactions."""
-    g = _line_fields(segmented).groupBy("doc_id", "page", "row_in_page")
     aggs = [
-        F.first("has_table").alias("has_table"),
+        F.bool_or("has_table").alias("has_table"),
         F.max("_date").alias("date_raw"),
         F.max("_text").alias("_base"),
         F.array_sort(
@@ -167,35 +165,25 @@ def assemble_rows(segmented: DataFrame, repair_limit=S.REPAIR_LIMIT) -> DataFram
     for name in AMOUNT_COLUMNS:
         fill = f"_fill_{name}"
         aggs += [
-            F.max(f"_own_{name}").alias(f"_own_{name}"),
+            F.max(f"_own_{name}").alias(name),
             F.min_by(fill, F.when(F.col(fill).isNotNull(), F.col("_at"))).alias(fill),
-            F.bool_or(f"_zero_{name}").alias(f"_zero_{name}"),
+            F.bool_or(f"_seen_{name}").alias(f"_seen_{name}"),
         ]
-    rows = g.agg(*aggs)
-    w, d, b, moved = repair_large(*[F.col(f"_own_{n}") for n in AMOUNT_COLUMNS], repair_limit)
-    rows = rows.withColumns(
-        {
-            "description": F.concat(F.col("_base"), F.array_join(F.col("_more._more_text"), "")),
-            "_withdrawal": w,
-            "_deposit": d,
-            "_balance": b,
-            "reclassified": moved,
-        }
-    )
-    filled = {}
-    for name in AMOUNT_COLUMNS:
-        own = F.col(f"_{name}")
-        zero = F.lit(0).cast(S.MONEY)
-        filled[name] = F.coalesce(
-            F.when(own != 0, own),
-            F.col(f"_fill_{name}"),
-            F.when(own.isNotNull() | F.col(f"_zero_{name}"), zero),
-        )
-    rows = rows.withColumns(filled)
+    rows = _line_fields(segmented).groupBy("doc_id", "page", "row_in_page").agg(*aggs)
+    rows = repair_large(rows, repair_limit)
+    filled = [
+        F.coalesce(
+            F.when(F.col(n) != 0, F.col(n)),
+            F.col(f"_fill_{n}"),
+            F.when(F.col(n).isNotNull() | F.col(f"_seen_{n}"), F.lit(0).cast(S.MONEY)),
+        ).alias(n)
+        for n in AMOUNT_COLUMNS
+    ]
     return rows.select(
         "doc_id", "page", "row_in_page", "has_table", "date_raw",
         K.parse_date("date_raw").alias("txn_date"),
-        "description", *AMOUNT_COLUMNS, "negative", "reclassified",
+        F.concat(F.col("_base"), F.array_join(F.col("_more._more_text"), "")).alias("description"),
+        *filled, "negative", "reclassified",
     )
 
 

@@ -15,6 +15,9 @@ def local_session(cores: int | str = 8, app: str = "ledgerloom", **conf) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Call sites of every column expression: helpful when debugging, slow when building plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():

@@ -56,6 +56,9 @@ class ColumnProfile:
 
 DEFAULT_PROFILE = ColumnProfile()
 
+# Codes of the amount columns inside line rows; small numbers keep those rows narrow.
+COLUMN_CODES = {"withdrawal": 1, "deposit": 2, "balance": 3}
+
 MONEY = T.DecimalType(18, 2)
 # Running totals and sums: wide enough for every row of a very large account.
 MONEY_TOTAL = T.DecimalType(28, 2)

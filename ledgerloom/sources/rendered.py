@@ -28,8 +28,12 @@ def _every(key: str, n: int) -> Column:
     return F.col(key) % n == 0
 
 
+def cents_to_money_expr(cents: Column) -> Column:
+    return (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(S.MONEY)
+
+
 def cents_to_money(c: str) -> Column:
-    return (F.col(c).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(S.MONEY)
+    return cents_to_money_expr(F.col(c))
 
 
 def ledger_cents(spark: SparkSession, sf_dir: str, share: float = SHARE, floor: int = SMALLEST_LARGE) -> DataFrame:
@@ -66,6 +70,7 @@ def ledger_cents(spark: SparkSession, sf_dir: str, share: float = SHARE, floor:
         F.concat_ws(" ", word, "o_orderpriority").alias("title"),
         F.when(F.col("is_in"), other).otherwise(F.col("cents")).alias("w_cents"),
         F.when(F.col("is_in"), F.col("cents")).otherwise(other).alias("d_cents"),
+        (OPENING_CENTS + F.col("_run")).alias("run_cents"),
         F.when(~_every("okey", 89), OPENING_CENTS + F.col("_run") + F.when(_every("okey", 97), 100).otherwise(0))
         .alias("b_cents"),
     )
@@ -106,6 +111,9 @@ def _word(ord_, x, y, text, block, line, number) -> Column:
     )
 
 
+WORD_ARRAY = "array<struct<ord:int,x0:double,y0:double,text:string,block_no:int,line_no:int,word_no:int>>"
+
+
 def _phrase(text: Column, ord_, x: float, y, block, line=0, step: float = 50.0, wobble=None) -> Column:
     """The words of a text, ``step`` apart."""
     def one(t, i):
@@ -133,7 +141,7 @@ def _finish(exploded: DataFrame) -> DataFrame:
 def table_words(rows: DataFrame) -> DataFrame:
     """Words of the transaction pages. Header and footer come with the first row of a page, so
     no second pass over the pages is needed."""
-    none = F.array().cast("array<struct<ord:int,x0:double,y0:double,text:string,block_no:int,line_no:int,word_no:int>>")
+    none = F.array().cast(WORD_ARRAY)
     at = F.lit(100) + F.col("slot") * 20
     y = F.lit(240.0) + F.col("slot") * 24
     low = y + F.when(_every("okey", 3), 3.0).otherwise(0.0)
@@ -165,6 +173,10 @@ def table_words(rows: DataFrame) -> DataFrame:
             F.array(_word(12, X["balance"], 228.0, "20,000,000.00", 2, 0, 4)),
         ),
     ).otherwise(none)
+    continued = F.when(
+        (F.col("page") > 2) & ((F.col("doc_id") + F.col("page")) % 5 == 0),
+        _phrase(F.concat(F.lit("CONTD "), F.col("page").cast("string")), F.lit(13), X["description"], 230.0, 3),
+    ).otherwise(none)
     conflict = F.when(_every("doc_id", 26), F.col("page") * 100).otherwise(0)
     total = (F.col("doc_id") % 1000) * 100 + 50 + conflict
     footer = F.when(
@@ -178,7 +190,7 @@ def table_words(rows: DataFrame) -> DataFrame:
         ~_every("doc_id", 3),
         F.array(_word(1010, 45.4, 780.0, "Page", 91, 0, 0), _word(1011, 80.0, 780.0, F.col("page"), 91, 0, 1)),
     ).otherwise(none)
-    once = F.when(F.col("slot") == 0, F.concat(header, forward, footer, foot)).otherwise(none)
+    once = F.when(F.col("slot") == 0, F.concat(header, forward, continued, footer, foot)).otherwise(none)
     shown = ~_every("doc_id", 50) & ~(_every("doc_id", 51) & (F.col("page") == 3))
     words = rows.filter(shown).select("doc_id", "page", F.explode(F.concat(row, title, more, once)).alias("w"))
     return _finish(words)
@@ -186,7 +198,7 @@ def table_words(rows: DataFrame) -> DataFrame:
 
 def cover_words(docs: DataFrame) -> DataFrame:
     """Words of the first pages, which show no transactions."""
-    none = F.array().cast("array<struct<ord:int,x0:double,y0:double,text:string,block_no:int,line_no:int,word_no:int>>")
+    none = F.array().cast(WORD_ARRAY)
     title = F.when(_every("doc_id", 7), F.lit("Statement Overview")).otherwise(F.lit("Account Summary"))
     body = F.concat(
         F.lit("Consolidated statement of all deposits and payments for customer "), F.col("doc_id").cast("string")
