@@ -90,20 +90,3 @@ def keyword_match(text, keyword: str, literal: bool = False) -> Column:
     text = _col(text)
     hit = F.lower(text).contains(keyword.lower()) if literal else text.rlike("(?iu)" + keyword)
     return F.coalesce(hit, F.lit(False))
-
-
-def entropy(text) -> Column:
-    """Shannon entropy of the characters of one text, in bits, without a shuffle.
-
-    The text is already whole in its row, so each distinct character is counted in place:
-    removing it shortens the text by its number of occurrences.
-    """
-    text = _col(text)
-    n = F.char_length(text)
-    chars = F.array_distinct(F.split(text, ""))
-
-    def term(acc, ch):
-        p = (n - F.char_length(F.replace(text, ch, F.lit("")))).cast("double") / n
-        return acc - F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))
-
-    return F.when(n > 0, F.aggregate(chars, F.lit(0.0), term)).otherwise(F.lit(0.0))

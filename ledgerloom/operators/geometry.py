@@ -22,7 +22,7 @@ def flip_origin(words: DataFrame, page_height: str | Column = "page_height") ->
 
 
 def type_words(words: DataFrame, profile: S.ColumnProfile | DataFrame = S.DEFAULT_PROFILE) -> DataFrame:
-    """Add ``amount``, ``negative`` and ``col`` to each word, once, before any grouping.
+    """Add ``amount`` and ``col`` to each word, once, before any grouping.
 
     ``profile`` is either one layout for all, or a table ``doc_id, withdrawal_x, deposit_x,
     balance_x`` (see ``layout.profile_from_bounds``); documents missing there use the default.
@@ -39,12 +39,7 @@ def type_words(words: DataFrame, profile: S.ColumnProfile | DataFrame = S.DEFAUL
         edges = [F.lit(profile.withdrawal_x), F.lit(profile.deposit_x), F.lit(profile.balance_x)]
     typed = words.withColumn("amount", K.amount("text"))
     is_amount = F.col("amount").isNotNull()
-    typed = typed.withColumns(
-        {
-            "col": F.when(is_amount, K.column_of("x0", *edges)),
-            "negative": is_amount & K.looks_negative("text"),
-        }
-    )
+    typed = typed.withColumn("col", F.when(is_amount, K.column_of("x0", *edges)))
     return typed.drop("withdrawal_x", "deposit_x", "balance_x") if isinstance(profile, DataFrame) else typed
 
 
@@ -52,7 +47,7 @@ def _first_keys(points: Column, tolerance: float) -> Column:
     """Line keys of one run: points in extraction order, each kept unless a kept one is near."""
     near = lambda p: lambda k: F.abs(k - p["y0"]) < tolerance
     return F.aggregate(
-        F.array_sort(points),
+        F.sort_array(points),
         F.array().cast("array<double>"),
         lambda keys, p: F.when(F.exists(keys, near(p)), keys).otherwise(
             F.concat(keys, F.array(p["y0"]))
@@ -64,58 +59,49 @@ def _nearest_first(keys: Column, y: Column, tolerance: float) -> Column:
     return F.get(F.filter(keys, lambda k: F.abs(k - y) < tolerance), F.lit(0))
 
 
-def key_lines(words: DataFrame, tolerance: float = S.LINE_TOLERANCE) -> DataFrame:
-    """Add ``line_y``: the first-created line within ``tolerance`` of the word, else a new one.
+def _runs(ys: DataFrame, tolerance: float, *order: str) -> DataFrame:
+    """Add ``_run``: sorted by y, a gap of ``tolerance`` or more starts a new run. Runs cannot
+    influence each other's lines."""
+    down = W.partitionBy("doc_id", "page").orderBy("y0", *order)
+    apart = F.coalesce((F.col("y0") - F.lag("y0").over(down) >= tolerance).cast("int"), F.lit(1))
+    return ys.withColumn("_apart", apart).withColumn(
+        "_run", F.sum("_apart").over(down.rowsBetween(W.unboundedPreceding, 0))
+    ).drop("_apart")
+
+
+def gather_runs(words: DataFrame, tolerance: float = S.LINE_TOLERANCE, *extra: str) -> DataFrame:
+    """Lines by the first-key rule: a word joins the first-created line within ``tolerance``.
 
-    Sorted by y, a gap of ``tolerance`` or more separates runs that cannot influence each other.
-    A run lower than ``tolerance`` is one line whose key is the y of its first word; only
-    a higher run needs its distinct y values compared in extraction order.
-    Everything is partitioned by document and page, so an input hashed on the document
-    passes through without a shuffle.
+    A run lower than ``tolerance`` is one line whose key is the y of its first word, and nearly
+    all runs are. A higher run is divided: its distinct y values are compared in extraction
+    order, and each word goes to the first key near it. Everything is partitioned by document
+    and page, so an input hashed on the document passes through without a shuffle.
     """
-    down = W.partitionBy("doc_id", "page").orderBy("y0", "ord")
-    run = W.partitionBy("doc_id", "page", "_run")
-    above = F.lag("y0").over(down)
-    out = words.withColumns(
-        {
-            "_new_run": F.coalesce((F.col("y0") - above >= tolerance).cast("int"), F.lit(1)),
-            "_new_y": F.coalesce(F.col("y0") != above, F.lit(True)),
-        }
+    runs = _runs(words, tolerance, "ord").groupBy("doc_id", "page", "_run").agg(
+        F.sort_array(F.collect_list(F.struct("x0", "ord", "text", *extra, "y0"))).alias("words"),
+        F.min_by("y0", "ord").alias("_first"),
+        (F.max("y0") - F.min("y0")).alias("_height"),
     )
-    out = out.withColumn(
-        "_run", F.sum("_new_run").over(down.rowsBetween(W.unboundedPreceding, 0))
+    points = F.transform("words", lambda w: F.struct(w["ord"].alias("ord"), w["y0"].alias("y0")))
+    keys = F.when(F.col("_height") >= tolerance, _first_keys(points, tolerance)).otherwise(F.array("_first"))
+    runs = runs.withColumn("_keys", keys)
+    runs = runs.select("doc_id", "page", "words", "_keys", F.explode("_keys").alias("line_y"))
+    mine = F.filter("words", lambda w: _nearest_first(F.col("_keys"), w["y0"], tolerance) == F.col("line_y"))
+    lines = runs.select(
+        "doc_id", "page", "line_y", F.when(F.size("_keys") > 1, mine).otherwise(F.col("words")).alias("words")
     )
-    out = out.withColumns(
-        {
-            "_high": (F.max("y0").over(run) - F.min("y0").over(run)) >= tolerance,
-            "_first": F.min_by("y0", "ord").over(run),
-        }
-    )
-    points = F.collect_list(F.when(F.col("_high") & F.col("_new_y"), F.struct("ord", "y0"))).over(run)
-    out = out.withColumn("_points", points)
-    out = out.withColumn(
-        "line_y",
-        F.when(
-            F.col("_high"),
-            _nearest_first(_first_keys(F.col("_points"), tolerance), F.col("y0"), tolerance),
-        ).otherwise(F.col("_first")),
-    )
-    return out.drop("_new_run", "_new_y", "_run", "_high", "_first", "_points")
+    return lines.withColumn("line_text", F.array_join(F.col("words.text"), " "))
 
 
 def key_lines_spread(words: DataFrame, tolerance: float = S.LINE_TOLERANCE) -> DataFrame:
-    """Same result as :func:`key_lines` for documents of any size.
+    """Add ``line_y`` by the same rule as :func:`gather_runs`, for documents of any size.
 
     Words are first reduced to the distinct y values of a page (combined before the shuffle), the
     keys are found on those, and words pick them up by an equi-join on (document, page, y), which
     spreads one overfull page over many tasks.
     """
-    down = W.partitionBy("doc_id", "page").orderBy("y0")
     levels = words.groupBy("doc_id", "page", "y0").agg(F.min("ord").alias("ord"))
-    levels = levels.withColumn(
-        "_new_run",
-        F.coalesce((F.col("y0") - F.lag("y0").over(down) >= tolerance).cast("int"), F.lit(1)),
-    ).withColumn("_run", F.sum("_new_run").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    levels = _runs(levels, tolerance)
     runs = levels.groupBy("doc_id", "page", "_run").agg(
         F.collect_list(F.struct("ord", "y0")).alias("_points")
     )
@@ -137,15 +123,16 @@ def gather_lines(keyed: DataFrame, *extra: str) -> DataFrame:
     """One row per line: its words left to right (ties in extraction order) and its text."""
     word = F.struct("x0", "ord", "text", *extra)
     lines = keyed.groupBy("doc_id", "page", "line_y").agg(
-        F.array_sort(F.collect_list(word)).alias("words")
+        F.sort_array(F.collect_list(word)).alias("words")
     )
     return lines.withColumn("line_text", F.array_join(F.col("words.text"), " "))
 
 
 def greedy_lines(words: DataFrame, spread: bool = False, tolerance: float = S.LINE_TOLERANCE) -> DataFrame:
-    """Lines of typed words by the first-key rule."""
-    keyed = (key_lines_spread if spread else key_lines)(words, tolerance)
-    return gather_lines(keyed, "amount", "col", "negative")
+    """Lines of typed words by the first-key rule; ``spread`` for documents of any size."""
+    if spread:
+        return gather_lines(key_lines_spread(words, tolerance), "amount", "col", "y0")
+    return gather_runs(words, tolerance, "amount", "col")
 
 
 def grid_lines(words: DataFrame, step: float = S.LINE_TOLERANCE) -> DataFrame:
@@ -175,7 +162,7 @@ def merge_spans(words: DataFrame, gap: float = 1.0) -> DataFrame:
         F.min("y0").alias("y0"),
         F.max("x1").alias("x1"),
         F.max("y1").alias("y1"),
-        F.array_sort(F.collect_list(F.struct("x0", "ord", "text"))).alias("_parts"),
+        F.sort_array(F.collect_list(F.struct("x0", "ord", "text"))).alias("_parts"),
         F.count(F.lit(1)).alias("n_parts"),
     )
     return merged.withColumn("text", F.array_join(F.col("_parts.text"), "")).drop("_parts")

@@ -18,10 +18,10 @@ def page_text(words: DataFrame) -> DataFrame:
     """Each page as one string: words by blank, printed lines by line break."""
     lines = words.groupBy("doc_id", "page", "block_no", "line_no").agg(
         F.min("ord").alias("_at"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"], " ").alias("_line"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("ord", "text")))["text"], " ").alias("_line"),
     )
     return lines.groupBy("doc_id", "page").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("_at", "_line")))["_line"], "\n").alias("page_text")
+        F.array_join(F.sort_array(F.collect_list(F.struct("_at", "_line")))["_line"], "\n").alias("page_text")
     )
 
 
@@ -39,7 +39,7 @@ def first_page_flags(words: DataFrame, headers: Sequence[str] = S.EXPECTED_HEADE
     lines = (
         words.filter(F.col("page") == 1)
         .groupBy("doc_id", "block_no", "line_no")
-        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"], " ").alias("_line"))
+        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("ord", "text")))["text"], " ").alias("_line"))
     )
     per_doc = lines.groupBy("doc_id").agg(
         (F.sum(F.char_length("_line")) + F.count(F.lit(1)) - 1).alias("_chars"),
@@ -110,7 +110,7 @@ def document_results(documents: DataFrame, words: DataFrame, page_rows: DataFram
     message = lambda pattern: lambda p: F.struct(
         p.alias("page"), F.format_string(pattern, p).alias("message")
     )
-    page_warnings = F.array_sort(
+    page_warnings = F.sort_array(
         F.concat(
             F.transform(no_text, message(S.WARN_NO_TEXT)),
             F.transform(F.coalesce("_no_table", none), message(S.WARN_NO_TABLE)),
@@ -136,16 +136,23 @@ def document_results(documents: DataFrame, words: DataFrame, page_rows: DataFram
     )
 
 
-def text_entropy(words: DataFrame) -> DataFrame:
-    """Character entropy per document from its words, for documents that come as words."""
-    chars = words.select("doc_id", F.explode(F.split("text", "")).alias("_ch"))
-    counts = chars.groupBy("doc_id", "_ch").agg(F.count(F.lit(1)).alias("_n"))
-    # H = log2(N) - sum(n * log2(n)) / N: one pass over the counts, no second look at the total.
-    per = counts.groupBy("doc_id").agg(
-        F.sum("_n").alias("n_chars"), F.sum(F.col("_n") * F.log2(F.col("_n"))).alias("_s")
-    )
+def text_entropy(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Shannon entropy of the characters of each document, in bits; 0 without characters.
+
+    A document may have any number of rows (one text, or one per word). Characters are counted
+    inside the scan's own stage, so only one row per document and distinct character is exchanged.
+    """
+    chars = texts.select(key, F.explode_outer(F.split(text, "")).alias("_ch"))
+    counts = chars.groupBy(key, "_ch").agg(F.count(F.lit(1)).alias("_n"))
+    real = F.coalesce(F.col("_ch") != "", F.lit(False))
+    # H = log2(N) - sum(n * log2(n)) / N needs no second look at the total N.
+    per = counts.groupBy(key).agg(
+        F.coalesce(F.sum(F.when(real, F.col("_n"))), F.lit(0)).alias("n_chars"),
+        F.sum(F.when(real, F.col("_n") * F.log2("_n"))).alias("_s"),
+    )
+    bits = F.log2("n_chars") - F.col("_s") / F.col("n_chars")
     return per.select(
-        "doc_id", "n_chars", F.round(F.log2("n_chars") - F.col("_s") / F.col("n_chars"), 6).alias("entropy")
+        key, "n_chars", F.when(F.col("n_chars") > 0, F.round(bits, 6)).otherwise(F.lit(0.0)).alias("entropy")
     )
 
 

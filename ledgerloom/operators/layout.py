@@ -94,7 +94,7 @@ def cluster_samples(roles: DataFrame, positions: DataFrame, size: int = 5) -> Da
     wide = W.partitionBy("doc_id", "cluster").orderBy("x0", *reading)
     few = few.withColumn("_r", F.row_number().over(wide)).filter(F.col("_r") <= size)
     return few.groupBy("doc_id", "cluster").agg(
-        F.array_sort(F.collect_list(F.struct("_r", "amount")))["amount"].alias("sample_amounts")
+        F.sort_array(F.collect_list(F.struct("_r", "amount")))["amount"].alias("sample_amounts")
     )
 
 

@@ -19,7 +19,10 @@ def mark_region(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
     The table starts after the first currency line or at the first line that begins with a
     date, whichever comes first, and stops before the first end marker inside it.
     """
-    page = W.partitionBy("doc_id", "page")
+    # Same order as the row numbering that follows, so one sort serves both.
+    page = W.partitionBy("doc_id", "page").orderBy("line_y").rowsBetween(
+        W.unboundedPreceding, W.unboundedFollowing
+    )
     currency = F.upper("line_text").contains(S.CURRENCY_MARKER)
     starts = F.when(
         currency | K.starts_with_date("line_text"),
@@ -118,7 +121,7 @@ def _line_fields(lines: DataFrame) -> DataFrame:
         "_more_text": F.when(
             ~first & ~F.exists(words, lambda w: w["amount"].isNotNull()), F.concat(F.lit(" "), F.col("line_text"))
         ),
-        "_negative": F.exists(placed, lambda w: w["negative"]),
+        "_negative": F.exists(placed, lambda w: K.looks_negative(w["text"])),
     }
     for name, code in S.COLUMN_CODES.items():
         mine, money = _in_column(code), _in_column(code, nonzero=True)
@@ -157,7 +160,7 @@ def assemble_rows(segmented: DataFrame, repair_limit=S.REPAIR_LIMIT) -> DataFram
         F.bool_or("has_table").alias("has_table"),
         F.max("_date").alias("date_raw"),
         F.max("_text").alias("_base"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.col("_more_text").isNotNull(), F.struct("_at", "_more_text")))
         ).alias("_more"),
         F.bool_or("_negative").alias("negative"),

@@ -134,10 +134,24 @@ def span_merge(spark, d):
     )
 
 
+def _spelling(kind, plain):
+    """One amount in one of the ways statements spell it; the last two are no amounts."""
+    return (
+        F.when(kind == 0, plain).when(kind == 1, F.concat(F.lit("-"), plain))
+        .when(kind == 2, F.concat(F.lit("("), plain, F.lit(")"))).when(kind == 3, F.concat(F.lit("SGD"), plain))
+        .when(kind == 4, F.concat(plain, F.lit("%"))).when(kind == 5, F.concat(F.lit("12/"), plain))
+        .when(kind == 6, F.concat(plain, F.lit("0"))).otherwise(F.concat(F.lit("1."), plain))
+    )
+
+
 def amount_tokens(spark, d):
-    docs = R.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token"))
-    found = docs.filter(F.col("token").contains(".")).withColumn("value", K.amount("token"))
-    return found.filter(F.col("value").isNotNull()).groupBy("doc_id", "token").agg(
+    """Amounts among the tokens of all texts and of all order amounts in their spellings."""
+    docs = R.table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("token"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    spelt = _spelling(F.col("o_orderkey") % 8, R._amount_text(cents))
+    tokens = docs.unionByName(R.table(spark, d, "orders").select(F.explode(F.array(spelt)).alias("token")))
+    found = tokens.filter(F.col("token").contains(".")).withColumn("value", K.amount("token"))
+    return found.filter(F.col("value").isNotNull()).groupBy("token").agg(
         F.first("value").cast("double").alias("value"),
         F.bool_or(K.looks_negative("token")).alias("negative"),
         F.count(F.lit(1)).alias("n"),
@@ -195,7 +209,7 @@ def statement_report(spark, d):
 
 
 def entropy(spark, d):
-    return R.table(spark, d, "documents").select("doc_id", F.round(K.entropy("text"), 6).alias("entropy"))
+    return guard.text_entropy(R.table(spark, d, "documents")).select("doc_id", "entropy")
 
 
 def word_entropy(spark, d):

@@ -292,16 +292,20 @@ ORACLE: dict[str, str] = {
         isl AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, gy ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) AS span
                 FROM gaps)""", """SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(span AS BIGINT) AS span, gy AS line_y,
         min(x0) AS x0, string_agg(text, '' ORDER BY x0, ord) AS text, count(*) AS n_parts FROM isl GROUP BY doc_id, page, span, gy"""),
-    "amount_tokens": r"""WITH tok AS (
-          SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents),
+    "amount_tokens": rf"""WITH priced AS (
+          SELECT o_orderkey % 8 AS k, {_text('c')} AS t FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)),
+        tok AS (
+          SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents
+          UNION ALL SELECT CASE k WHEN 0 THEN t WHEN 1 THEN '-' || t WHEN 2 THEN '(' || t || ')' WHEN 3 THEN 'SGD' || t
+            WHEN 4 THEN t || '%' WHEN 5 THEN '12/' || t WHEN 6 THEN t || '0' ELSE '1.' || t END FROM priced),
         kept AS (SELECT *, regexp_replace(token, '[^0-9,.]', '', 'g') AS k FROM tok)
-        SELECT doc_id, token, CAST(any_value(TRY_CAST(replace(k, ',', '') AS DECIMAL(18, 2))) AS DOUBLE) AS value,
+        SELECT token, CAST(any_value(TRY_CAST(replace(k, ',', '') AS DECIMAL(18, 2))) AS DOUBLE) AS value,
                regexp_matches(token, '[-(−]') AS negative, count(*) AS n
-        FROM kept WHERE regexp_matches(k, '^[0-9,]+\.[0-9]{2}$') AND TRY_CAST(replace(k, ',', '') AS DECIMAL(18, 2)) IS NOT NULL
-        GROUP BY doc_id, token""",
+        FROM kept WHERE regexp_matches(k, '^[0-9,]+\.[0-9]{{2}}$') AND TRY_CAST(replace(k, ',', '') AS DECIMAL(18, 2)) IS NOT NULL
+        GROUP BY token""",
     "text_rows": _with(LEDGER + f""",
-        flat AS (SELECT *, list_filter([w, d, b], x -> x IS NOT NULL) AS am FROM led),
-        txt AS (SELECT *, list_transform(am, x -> {_text('x')}) AS av FROM flat),
+        flat AS (SELECT *, list_filter([w, d, b], lambda x: x IS NOT NULL) AS am FROM led),
+        txt AS (SELECT *, list_transform(am, lambda x: {_text('x')}) AS av FROM flat),
         des AS (SELECT *, trim(replace(replace(replace(concat_ws(' ', title, av[1], av[2], av[3]),
                   coalesce(av[1], '~'), ''), coalesce(av[2], '~'), ''), coalesce(av[3], '~'), '')) AS dtext,
                 CASE WHEN len(am) = 2 AND abs(am[1]) <> 0 THEN abs(am[1]) END AS single FROM txt)""",

@@ -58,7 +58,7 @@ def result_records(ledger: DataFrame, results: DataFrame, rows_key: str = "trans
     )
     grouped = ledger.groupBy("doc_id", part_of_page().alias("part")).agg(
         F.min("txn_seq").alias("first_seq"),
-        F.array_sort(F.collect_list(F.struct("txn_seq", row.alias("row")))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct("txn_seq", row.alias("row")))).alias("_rows"),
     )
     empty = F.array().cast(T.ArrayType(S.RESULT_ROW))
     out = results.join(grouped, ["doc_id", "part"], "left")
