@@ -46,6 +46,13 @@ def _results(spark: SparkSession, d: str, aborts: DataFrame | None = None) -> Da
     )
 
 
+def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger, results) from one pass over the words."""
+    words = R.words(spark, d)
+    ledger, page_rows = statement.extract(words, sizes=R.word_counts(spark, d))
+    return ledger, guard.document_results(R.documents(spark, d), words, page_rows)
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return geometry.greedy_lines(geometry.type_words(R.words(spark, d)))
 
@@ -147,8 +154,8 @@ def _spelling(kind, plain):
 def amount_tokens(spark, d):
     """Amounts among the tokens of all texts and of all order amounts in their spellings."""
     docs = R.table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("token"))
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    spelt = _spelling(F.col("o_orderkey") % 8, R._amount_text(cents))
+    plain = F.expr(R.amount_text("cast(round(o_totalprice * 100) as bigint)"))
+    spelt = _spelling(F.col("o_orderkey") % 8, plain)
     tokens = docs.unionByName(R.table(spark, d, "orders").select(F.explode(F.array(spelt)).alias("token")))
     found = tokens.filter(F.col("token").contains(".")).withColumn("value", K.amount("token"))
     return found.filter(F.col("value").isNotNull()).groupBy("token").agg(
@@ -159,7 +166,7 @@ def amount_tokens(spark, d):
 
 
 def text_rows(spark, d):
-    amounts = [R._amount_text(F.col(c)) for c in ("w_cents", "d_cents", "b_cents")]
+    amounts = [F.expr(R.amount_text(c)) for c in ("w_cents", "d_cents", "b_cents")]
     flat = R.ledger_cents(spark, d).select(
         "doc_id", "txn_seq", F.concat_ws(" ", "date_raw", "title", *amounts).alias("text")
     )
@@ -200,8 +207,8 @@ def route(spark, d):
 
 def statement_report(spark, d):
     """Result and all figures of each document in one row."""
-    figures = L.summary(_parsed(spark, d))
-    return _results(spark, d).join(figures, "doc_id", "left").select(
+    ledger, results = _extracted(spark, d)
+    return results.join(L.summary(ledger), "doc_id", "left").select(
         "doc_id", "success", "transaction_count", F.size("warnings").cast("bigint").alias("n_warnings"),
         *_money("total_withdrawals", "total_deposits", "net_change", "first_balance", "closing_balance",
                 "calculated_change"),
@@ -413,10 +420,11 @@ def page_anomalies(spark, d):
 
 
 def decisions(spark, d):
-    breaks = L.balance_continuity(_parsed(spark, d)).groupBy("doc_id").agg(
+    ledger, results = _extracted(spark, d)
+    breaks = L.balance_continuity(ledger).groupBy("doc_id").agg(
         F.count_if(F.col("status") == "BREAK").alias("n_breaks")
     )
-    return audit.decisions(_results(spark, d), breaks).select(
+    return audit.decisions(results, breaks).select(
         "doc_id", F.round("confidence", 6).alias("confidence"), "n_breaks", "decision"
     )
 
@@ -453,7 +461,7 @@ def correction_audit(spark, d):
 # --- sources, sinks, streaming --------------------------------------------
 def result_json(spark, d):
     path = new_path(spark, "results")
-    tables.write_results(tables.result_records(_parsed(spark, d), _results(spark, d)), path)
+    tables.write_results(tables.result_records(*_extracted(spark, d)), path)
     return _show_rows(tables.result_rows(tables.read_results(spark, path, LONG)))
 
 

@@ -102,32 +102,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _word(ord_, x, y, text, block, line, number) -> Column:
-    col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        col(ord_).cast("int").alias("ord"), col(x).cast("double").alias("x0"), col(y).cast("double").alias("y0"),
-        col(text).cast("string").alias("text"), col(block).cast("int").alias("block_no"),
-        col(line).cast("int").alias("line_no"), col(number).cast("int").alias("word_no"),
+WORD_ARRAY = "array<struct<ord:int,x0:double,y0:double,text:string,block_no:int,line_no:int,word_no:int>>"
+NO_WORDS = f"cast(array() as {WORD_ARRAY})"
+
+
+def _word(ord_, x, y, text, block, line, number) -> str:
+    """SQL of one positioned word."""
+    return (
+        f"named_struct('ord', int({ord_}), 'x0', double({x}), 'y0', double({y}), 'text', string({text}), "
+        f"'block_no', int({block}), 'line_no', int({line}), 'word_no', int({number}))"
     )
 
 
-WORD_ARRAY = "array<struct<ord:int,x0:double,y0:double,text:string,block_no:int,line_no:int,word_no:int>>"
+def _phrase(text: str, ord_, x: float, y, block, line=0, step: int = 50, wobble: str = "0") -> str:
+    """SQL of the words of a text, ``step`` apart."""
+    return (
+        f"transform(split({text}, ' '), (t, i) -> "
+        f"{_word(f'{ord_} + i', f'{x} + i * {step}', f'{y} + {wobble}', 't', block, line, 'i')})"
+    )
+
 
+def _words(*words: str) -> str:
+    return f"array({', '.join(words)})"
 
-def _phrase(text: Column, ord_, x: float, y, block, line=0, step: float = 50.0, wobble=None) -> Column:
-    """The words of a text, ``step`` apart."""
-    def one(t, i):
-        up = F.lit(y) if not isinstance(y, Column) else y
-        if wobble is not None:
-            up = up + 0.25 * F.pmod(wobble + i, F.lit(3))
-        return _word(ord_ + i, F.lit(x) + i * step, up, t, block, line, i)
 
-    return F.transform(F.split(text, " "), one)
+def _if(condition: str, words: str) -> str:
+    return f"if({condition}, {words}, {NO_WORDS})"
 
 
-def _amount_text(cents: Column) -> Column:
-    sign = F.when(cents < 0, "-").otherwise("")
-    return F.concat(sign, F.format_number((F.abs(cents).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")), 2))
+def amount_text(cents: str) -> str:
+    """SQL of an amount in cents as statements print it: 1,234.50."""
+    return f"concat(if({cents} < 0, '-', ''), format_number(cast(abs({cents}) as decimal(18, 0)) * 0.01, 2))"
 
 
 def _finish(exploded: DataFrame) -> DataFrame:
@@ -141,77 +146,52 @@ def _finish(exploded: DataFrame) -> DataFrame:
 def table_words(rows: DataFrame) -> DataFrame:
     """Words of the transaction pages. Header and footer come with the first row of a page, so
     no second pass over the pages is needed."""
-    none = F.array().cast(WORD_ARRAY)
-    at = F.lit(100) + F.col("slot") * 20
-    y = F.lit(240.0) + F.col("slot") * 24
-    low = y + F.when(_every("okey", 3), 3.0).otherwise(0.0)
-    block = F.col("slot") + 10
-    low_line = F.when(_every("okey", 3), 1).otherwise(0)
-    row = F.array_compact(
-        F.array(
-            _word(at, X["date"], y, F.col("date_raw"), block, 0, 0),
-            F.when(F.col("w_cents").isNotNull(), _word(at + 10, X["withdrawal"], low, _amount_text(F.col("w_cents")), block, low_line, 10)),
-            F.when(F.col("d_cents").isNotNull(), _word(at + 11, X["deposit"], low, _amount_text(F.col("d_cents")), block, low_line, 11)),
-            F.when(F.col("b_cents").isNotNull(), _word(at + 12, X["balance"], y, _amount_text(F.col("b_cents")), block, 0, 12)),
-        )
-    )
-    title = _phrase(F.col("title"), at + 1, X["description"], y, block, wobble=F.col("okey"))
-    more = F.when(
-        _every("okey", 7),
-        _phrase(F.concat(F.lit("REF "), F.col("okey").cast("string")), at + 15, X["description"], y + 12, block, 2),
-    ).otherwise(none)
+    at, y, block = "100 + slot * 20", "240 + slot * 24", "slot + 10"
+    low, low_line = f"{y} + if(okey % 3 = 0, 3, 0)", "if(okey % 3 = 0, 1, 0)"
+    amount = lambda c, n, x, up, line: f"if({c} is not null, {_word(f'{at} + {n}', x, up, amount_text(c), block, line, n)}, null)"
+    row = "array_compact(" + _words(
+        _word(at, X["date"], y, "date_raw", block, 0, 0),
+        amount("w_cents", 10, X["withdrawal"], low, low_line),
+        amount("d_cents", 11, X["deposit"], low, low_line),
+        amount("b_cents", 12, X["balance"], y, 0),
+    ) + ")"
+    title = _phrase("title", f"{at} + 1", X["description"], y, block, wobble="0.25 * pmod(okey + i, 3)")
+    more = _if("okey % 7 = 0", _phrase("concat('REF ', okey)", f"{at} + 15", X["description"], f"{y} + 12", block, 2))
     heads = ["Date", "Description", "Withdrawal", "Deposit", "Balance"]
-    header = F.array(
-        *[_word(1 + i, x, 190.0, h, 0, 0, i) for i, (h, x) in enumerate(zip(heads, X.values()))],
-        _word(6, 45.4, 220.0, "CURRENCY:", 1, 0, 0), _word(7, 120.0, 220.0, "SGD", 1, 0, 1),
+    header = _words(
+        *[_word(1 + i, x, 190, f"'{h}'", 0, 0, i) for i, (h, x) in enumerate(zip(heads, X.values()))],
+        _word(6, 45.4, 220, "'CURRENCY:'", 1, 0, 0), _word(7, 120, 220, "'SGD'", 1, 0, 1),
     )
-    forward = F.when(
-        F.col("page") == 2,
-        F.concat(
-            F.array(_word(8, X["date"], 228.0, "01/01/1992", 2, 0, 0)),
-            _phrase(F.lit("Balance Brought Forward"), F.lit(9), X["description"], 228.0, 2),
-            F.array(_word(12, X["balance"], 228.0, "20,000,000.00", 2, 0, 4)),
-        ),
-    ).otherwise(none)
-    continued = F.when(
-        (F.col("page") > 2) & ((F.col("doc_id") + F.col("page")) % 5 == 0),
-        _phrase(F.concat(F.lit("CONTD "), F.col("page").cast("string")), F.lit(13), X["description"], 230.0, 3),
-    ).otherwise(none)
-    conflict = F.when(_every("doc_id", 26), F.col("page") * 100).otherwise(0)
-    total = (F.col("doc_id") % 1000) * 100 + 50 + conflict
-    footer = F.when(
-        _every("doc_id", 2),
-        F.concat(
-            _phrase(F.lit("Total Balance Carried Forward"), F.lit(1000), X["description"], 500.0, 90),
-            F.array(_word(1004, X["balance"], 500.0, _amount_text(total), 90, 0, 4)),
-        ),
-    ).otherwise(none)
-    foot = F.when(
-        ~_every("doc_id", 3),
-        F.array(_word(1010, 45.4, 780.0, "Page", 91, 0, 0), _word(1011, 80.0, 780.0, F.col("page"), 91, 0, 1)),
-    ).otherwise(none)
-    once = F.when(F.col("slot") == 0, F.concat(header, forward, continued, footer, foot)).otherwise(none)
-    shown = ~_every("doc_id", 50) & ~(_every("doc_id", 51) & (F.col("page") == 3))
-    words = rows.filter(shown).select("doc_id", "page", F.explode(F.concat(row, title, more, once)).alias("w"))
-    return _finish(words)
+    forward = _if("page = 2", "concat({}, {}, {})".format(
+        _words(_word(8, X["date"], 228, "'01/01/1992'", 2, 0, 0)),
+        _phrase("'Balance Brought Forward'", 9, X["description"], 228, 2),
+        _words(_word(12, X["balance"], 228, "'20,000,000.00'", 2, 0, 4)),
+    ))
+    continued = _if(
+        "page > 2 and (doc_id + page) % 5 = 0", _phrase("concat('CONTD ', page)", 13, X["description"], 230, 3)
+    )
+    total = "doc_id % 1000 * 100 + 50 + if(doc_id % 26 = 0, page * 100, 0)"
+    footer = _if("doc_id % 2 = 0", "concat({}, {})".format(
+        _phrase("'Total Balance Carried Forward'", 1000, X["description"], 500, 90),
+        _words(_word(1004, X["balance"], 500, amount_text(f"({total})"), 90, 0, 4)),
+    ))
+    foot = _if("doc_id % 3 <> 0", _words(_word(1010, 45.4, 780, "'Page'", 91, 0, 0), _word(1011, 80, 780, "page", 91, 0, 1)))
+    once = _if("slot = 0", f"concat({header}, {forward}, {continued}, {footer}, {foot})")
+    shown = rows.filter("doc_id % 50 <> 0 and not (doc_id % 51 = 0 and page = 3)")
+    return _finish(shown.select("doc_id", "page", F.expr(f"explode(concat({row}, {title}, {more}, {once}))").alias("w")))
 
 
 def cover_words(docs: DataFrame) -> DataFrame:
     """Words of the first pages, which show no transactions."""
-    none = F.array().cast(WORD_ARRAY)
-    title = F.when(_every("doc_id", 7), F.lit("Statement Overview")).otherwise(F.lit("Account Summary"))
-    body = F.concat(
-        F.lit("Consolidated statement of all deposits and payments for customer "), F.col("doc_id").cast("string")
-    )
-    words = F.concat(
-        _phrase(title, F.lit(1), 45.4, 100.0, 0),
-        F.when(_every("doc_id", 11), none).otherwise(_phrase(body, F.lit(10), 45.4, 120.0, 1)),
-        _phrase(F.lit("Page 1"), F.lit(30), 45.4, 140.0, 2),
-    )
-    pages = docs.filter(F.col("n_pages") > 0).select(
-        "doc_id", F.lit(1).alias("page"), F.explode(words).alias("w")
+    title = "if(doc_id % 7 = 0, 'Statement Overview', 'Account Summary')"
+    body = "concat('Consolidated statement of all deposits and payments for customer ', doc_id)"
+    words = "concat({}, {}, {})".format(
+        _phrase(title, 1, 45.4, 100, 0),
+        _if("doc_id % 11 <> 0", _phrase(body, 10, 45.4, 120, 1)),
+        _phrase("'Page 1'", 30, 45.4, 140, 2),
     )
-    return _finish(pages)
+    pages = docs.filter("n_pages > 0")
+    return _finish(pages.select("doc_id", F.lit(1).alias("page"), F.expr(f"explode({words})").alias("w")))
 
 
 def words(spark: SparkSession, sf_dir: str, **sizes) -> DataFrame:
