@@ -1,6 +1,6 @@
 """Ordered and keyed work that stays even when one key holds a large part of the rows.
 
-Three tools, from cheap to general:
+Tools, from cheap to general:
 
 * ``with_previous``  - look one row back. Positions are cut into blocks; the last row of each
   block is also sent to the next one, so one shuffle on (key, block) is enough.
@@ -8,11 +8,15 @@ Three tools, from cheap to general:
   total of the earlier blocks. Keys that fit one block need no second step.
 * ``split_by_size`` / ``prefix_scan`` - when positions do not exist yet: keys above a size
   share go a separate way, ordered through several levels so that no task sees a whole key.
+* ``salted_join``    - join many rows per key with few, without sending a key to one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +36,19 @@ def large_keys(sizes: DataFrame, key: str, share: float = SHARE, floor: int = SM
     return sizes.filter(F.col(key).isNotNull() & (F.col("n") > limit)).select(key)
 
 
+class Split(NamedTuple):
+    """Rows of ordinary keys; rows of large keys and the (broadcastable) list of these keys, or None."""
+
+    ordinary: DataFrame
+    large: DataFrame | None
+    keys: DataFrame | None
+
+
 def split_by_size(
     df: DataFrame, key: str, share: float = SHARE, floor: int = SMALLEST_LARGE,
     sizes: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of large keys or None). Together they are exactly ``df``.
+) -> Split:
+    """Divide ``df`` by the size of its keys; both parts together are exactly ``df``.
 
     Runs one sizing job when the plan is built: a count per key that reads only the key column and
     is combined before its shuffle, or the ready counts in ``sizes`` (key, n). Its answer,
@@ -46,12 +58,26 @@ def split_by_size(
     if sizes is None:
         sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     found = large_keys(sizes, key, share, floor)
-    keys = found.collect()
-    if not keys:
-        return df, None
-    large = F.broadcast(df.sparkSession.createDataFrame(keys, found.schema))
+    rows = found.collect()
+    if not rows:
+        return Split(df, None, None)
+    keys = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
     # Rows without a key stay on the ordinary side: an anti join keeps them.
-    return df.join(large, key, "left_anti"), df.join(large, key, "left_semi")
+    return Split(df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi"), keys)
+
+
+def salted_join(
+    many: DataFrame, few: DataFrame, key: str, how: str, spread_by: Column, salts: int = 32
+) -> DataFrame:
+    """Equi-join of ``many`` rows per key with ``few``, keeping the left side's rows (``inner``,
+    ``left``, ``left_semi`` or ``left_anti``).
+
+    Each key of the left side is divided over ``salts`` join keys by ``spread_by``; the right
+    side, which has one row per key, is repeated for each. No size limit on either side.
+    """
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def block_of(position: str, block: int = BLOCK) -> Column:
@@ -120,13 +146,22 @@ def prefix_scan(
                 key, own, *[F.col(f"_h{s}").alias(f"_o{s}") for s in sums.values()]
             )
         else:
-            offsets = here.join(offsets, [key, *outer]).select(
+            parent = offsets.select(
+                *[F.col(c).alias(f"_k_{c}") for c in (key, *outer)], *[f"_o{s}" for s in sums.values()]
+            )
+            match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (key, *outer)]
+            offsets = here.join(parent, reduce(and_, match)).select(
                 key, *outer, own,
                 *[(F.col(f"_h{s}") + F.col(f"_o{s}")).alias(f"_o{s}") for s in sums.values()],
             )
     local = W.partitionBy(key, *coarse).orderBy(finest).rowsBetween(W.unboundedPreceding, 0)
     out = df.select("*", *[F.sum(e).over(local).alias(n) for n, e in values.items()])
-    out = out.join(offsets, [key, *coarse])
+    # Null-safe, so rows with an empty bucket keep their place like any other.
+    renamed = offsets.select(
+        *[F.col(c).alias(f"_k_{c}") for c in (key, *coarse)], *[f"_o{s}" for s in sums.values()]
+    )
+    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (key, *coarse)]
+    out = out.join(renamed, reduce(and_, match))
     for n, s in sums.items():
         out = out.withColumn(n, F.col(n) + F.col(f"_o{s}"))
-    return out.drop(*[f"_o{s}" for s in sums.values()])
+    return out.drop(*[f"_k_{c}" for c in (key, *coarse)], *[f"_o{s}" for s in sums.values()])

@@ -87,7 +87,7 @@ def document_totals(lines: DataFrame, marker: str = S.TABLE_END_MARKERS[1]) -> D
 def page_anomalies(documents: DataFrame, words: DataFrame) -> DataFrame:
     """Missing, surplus and repeated pages, one row each.
 
-    ``repeated`` names the first of several pages with equal content and how many there are.
+    ``surplus`` pages lie beyond the page count or belong to no listed document. ``repeated`` names the first of several pages with equal content and how many there are.
     Content is hashed word by word and combined without order, so pages are never gathered.
     """
     mark = F.xxhash64("ord", "x0", "y0", "text")
@@ -100,10 +100,6 @@ def page_anomalies(documents: DataFrame, words: DataFrame) -> DataFrame:
         .filter(F.col("copies") > 1)
         .select("doc_id", "page", F.lit("repeated").alias("anomaly"), "copies")
     )
-    counted = pages.select("doc_id", "page").join(documents.select("doc_id", "n_pages"), "doc_id")
-    surplus = counted.filter((F.col("page") > F.col("n_pages")) | (F.col("page") < 1)).select(
-        "doc_id", "page", F.lit("surplus").alias("anomaly"), F.lit(1).cast("bigint").alias("copies")
-    )
     seen = pages.groupBy("doc_id", part_of_page().alias("part")).agg(F.collect_list("page").alias("_seen"))
     last = F.floor((F.col("n_pages") - 1) / PAGES_PER_PART).cast("bigint")
     parts = documents.filter(F.col("n_pages") > 0).select(
@@ -114,6 +110,11 @@ def page_anomalies(documents: DataFrame, words: DataFrame) -> DataFrame:
     gone = F.array_except(
         F.sequence(lo, hi).cast("array<int>"), F.coalesce("_seen", F.array().cast("array<int>"))
     )
+    # Pages find their document through (document, part): a long one is spread over many parts.
+    placed = pages.select("doc_id", "page", part_of_page().alias("part")).join(parts, ["doc_id", "part"], "left")
+    surplus = placed.filter(F.col("n_pages").isNull() | (F.col("page") > F.col("n_pages"))).select(
+        "doc_id", "page", F.lit("surplus").alias("anomaly"), F.lit(1).cast("bigint").alias("copies")
+    )
     missing = parts.join(seen, ["doc_id", "part"], "left").select(
         "doc_id", F.explode(gone).alias("page"),
         F.lit("missing").alias("anomaly"), F.lit(0).cast("bigint").alias("copies"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import tokens as K
+from ..functions.ordered import salted_join
 
 # A result row lists the warnings of at most this many pages; longer documents have more rows.
 PAGES_PER_PART = 1_000
@@ -166,8 +167,10 @@ def fingerprints(bounds: DataFrame, bucket: float = 5.0) -> DataFrame:
 
 
 def match_templates(prints: DataFrame, templates: DataFrame) -> DataFrame:
-    """Attach ``template`` by fingerprint; unknown layouts keep null."""
-    return prints.join(templates.select("fingerprint", "template"), "fingerprint", "left")
+    """Attach ``template`` by fingerprint; unknown layouts keep null. One layout may be that of
+    most documents, so the join is salted by document."""
+    known = templates.select("fingerprint", "template")
+    return salted_join(prints, known, "fingerprint", "left", F.col("doc_id"))
 
 
 def route(results: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -57,15 +57,33 @@ def segment(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
     return marked.withColumn("row_in_page", F.when(F.col("in_table"), opened).otherwise(F.lit(0)))
 
 
-def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
+def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spread: bool = False) -> DataFrame:
     """Like :func:`segment`, but lines before the first date of a page belong to the row that is
-    still open from an earlier page (``page`` becomes the page where the row was opened).
+    still open from an earlier page (``page`` becomes the page where the row was opened)."""
+    lines = segment(lines, end_markers)
+    opened = F.when(F.col("row_in_page") > 0, F.struct("page", F.col("row_in_page").alias("row")))
+    if spread:
+        lines = _with_open_row(lines)
+    else:
+        before = W.partitionBy("doc_id").orderBy("page", "line_y").rowsBetween(W.unboundedPreceding, -1)
+        lines = lines.withColumn("_open", F.last(opened, ignorenulls=True).over(before))
+    moves = F.col("in_table") & (F.col("row_in_page") == 0) & F.col("_open").isNotNull()
+    # line_y orders lines inside a row, so the source page must come first.
+    return lines.select(
+        "doc_id",
+        F.when(moves, F.col("_open.page")).otherwise(F.col("page")).alias("page"),
+        F.col("page").alias("source_page"),
+        "line_y", "words", "line_text", "has_table", "in_table", "opens",
+        F.when(moves, F.col("_open.row")).otherwise(F.col("row_in_page")).alias("row_in_page"),
+    )
+
 
-    Only one small row per page travels through the document-wide step, and page summaries are
-    carried forward by blocks of pages, so a document of any length is spread over tasks.
+def _with_open_row(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """Add ``_open``: the last row opened on an earlier page of the document.
+
+    For documents of any length: one small row per page is carried forward, first within blocks
+    of pages and then from block to block.
     """
-    lines = segment(lines, end_markers)
-    block = 4096
     pages = (
         lines.groupBy("doc_id", "page")
         .agg(F.max("row_in_page").alias("_rows"))
@@ -83,16 +101,7 @@ def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> D
         .join(carried, ["doc_id", "_block"])
         .select("doc_id", "page", F.coalesce("_near", "_carried").alias("_open"))
     )
-    joined = lines.join(opened, ["doc_id", "page"])
-    moves = F.col("in_table") & (F.col("row_in_page") == 0) & F.col("_open").isNotNull()
-    # line_y orders lines inside a row, so the source page must come first.
-    return joined.select(
-        "doc_id",
-        F.when(moves, F.col("_open.page")).otherwise(F.col("page")).alias("page"),
-        F.col("page").alias("source_page"),
-        "line_y", "words", "line_text", "has_table", "in_table", "opens",
-        F.when(moves, F.col("_open.row")).otherwise(F.col("row_in_page")).alias("row_in_page"),
-    )
+    return lines.join(opened, ["doc_id", "page"])
 
 
 def _in_column(code: int, nonzero: bool = False):

@@ -49,7 +49,7 @@ def ledger_cents(spark: SparkSession, sf_dir: str, share: float = SHARE, floor:
         "o_orderpriority",
     )
     move = F.when(F.col("is_in"), F.col("cents")).otherwise(-F.col("cents"))
-    ordinary, large = split_by_size(base, "doc_id", share, floor)
+    ordinary, large, _ = split_by_size(base, "doc_id", share, floor)
     w = W.partitionBy("doc_id").orderBy("txn_date", "okey").rowsBetween(W.unboundedPreceding, 0)
     one = F.lit(1).cast("bigint")
     numbered = ordinary.select("*", F.sum(one).over(w).alias("txn_seq"), F.sum(move).over(w).alias("_run"))

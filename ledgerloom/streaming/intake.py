@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.ordered import salted_join
 from ..plans import statement
 from ..sources.scratch import stored
 
@@ -64,7 +65,8 @@ def take_batch(words: DataFrame, batch: int, store: str, doc_type: T.DataType, *
     # Rows of a repeated batch itself must not count as seen.
     before = latest(deliveries(spark, store, doc_type).filter(F.col("batch") < batch)).select("doc_id", "content")
     fresh = stored(marks.join(before, ["doc_id", "content"], "left_anti"), "fresh")
-    wanted = words.join(fresh.select("doc_id"), "doc_id", "left_semi")
+    # Documents may be large: their words are spread by page while they find their document.
+    wanted = salted_join(words, fresh.select("doc_id"), "doc_id", "left_semi", F.col("page"))
     found = statement.transactions(wanted, sizes=fresh.select("doc_id", "n"), **options)
     found.write.mode("overwrite").parquet(f"{store}/ledger/batch={batch}")
     # Last, so that readers never see a delivery whose rows are not there yet.

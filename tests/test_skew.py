@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.functions.ordered import large_keys, prefix_scan, split_by_size
+from ledgerloom.functions.ordered import large_keys, prefix_scan, salted_join, split_by_size
 from ledgerloom.operators import geometry as G, ledger as L
 from ledgerloom.plans import statement
 from ledgerloom.sources import rendered as R
@@ -32,10 +32,10 @@ def same(a, b):
 
 def test_only_the_hot_key_is_split_off(spark, skewed_dir):
     orders = spark.read.parquet(f"{skewed_dir}/orders.parquet")
-    ordinary, large = split_by_size(orders, "o_custkey", share=0.1, floor=100)
+    ordinary, large, _ = split_by_size(orders, "o_custkey", share=0.1, floor=100)
     assert {r[0] for r in large.select("o_custkey").distinct().collect()} == {1}
     assert ordinary.count() + large.count() == orders.count()
-    assert split_by_size(orders, "o_custkey")[1] is None
+    assert split_by_size(orders, "o_custkey").large is None
 
 
 def test_number_of_large_keys_is_bounded(spark):
@@ -46,10 +46,33 @@ def test_number_of_large_keys_is_bounded(spark):
 
 def test_rows_without_key_stay(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (None,), (None,), (2,)], "k int")
-    ordinary, large = split_by_size(df, "k", share=0.0, floor=1)
+    ordinary, large, _ = split_by_size(df, "k", share=0.0, floor=1)
     assert large.count() == 3 and sorted(str(r[0]) for r in ordinary.collect()) == ["2", "None", "None"]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join(spark, how):
+    many = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    few = spark.createDataFrame([(0, "zero"), (2, "two"), (9, "nine")], "k long, name string")
+    same(many.join(few, "k", how), salted_join(many, few, "k", how, F.col("v"), 4))
+
+
+def test_learned_profiles(spark, skewed_dir):
+    words = R.words(spark, skewed_dir)
+    profile = spark.createDataFrame(
+        [(i, 364.0, 440.0, 1000.0) for i in (1, 2, 3)], "doc_id long, withdrawal_x double, deposit_x double, balance_x double")
+    a = statement.transactions(words, profile=profile, floor=10**9)
+    same(a, statement.transactions(words, profile=profile, share=0.1, floor=100))
+    assert a.filter("doc_id = 1 and balance is not null and not reclassified").count() == 0
+
+
+def test_one_pass_extraction(spark, skewed_dir):
+    words = R.words(spark, skewed_dir)
+    want = statement.transactions(words, floor=10**9)
+    for sizes in ({"floor": 10**9}, {"share": 0.1, "floor": 100}):
+        same(want, statement.extract(words, **sizes)[0])
+
+
 def test_ledger(spark, skewed_dir):
     plain = R.ledger(spark, skewed_dir, floor=10**9)
     same(plain, R.ledger(spark, skewed_dir, share=0.1, floor=100))
@@ -91,7 +114,7 @@ def test_ordered_checks(spark, skewed_dir):
 
 def test_prefix_scan_depths(spark):
     rnd = random.Random(2)
-    rows = [(rnd.choice("aab"), rnd.randrange(4), rnd.randrange(50), i, rnd.randrange(-9, 9)) for i in range(600)]
+    rows = [(rnd.choice("aab"), rnd.choice([None, 0, 1, 2, 3]), rnd.randrange(50), i, rnd.randrange(-9, 9)) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, day int, num int, id int, v int").withColumn("b", F.floor(F.col("num") / 10))
     w = W.partitionBy("k").orderBy("day", "b", "num", "id").rowsBetween(W.unboundedPreceding, 0)
     plain = df.select("*", F.sum("v").over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n"))
