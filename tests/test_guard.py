@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import guard
+from ledgerloom.operators import audit, guard
 from ledgerloom.plans import statement
 
 LONG = "This statement lists every single movement of the account"
@@ -63,6 +63,14 @@ def test_aborts_override(spark, make_words):
     assert (r.success, r.confidence, r.transaction_count, r.abort_reason) == (False, 0.0, 0, "Multiple conflicting totals")
 
 
+def test_reasons_to_abort(spark):
+    totals = spark.createDataFrame([("a", True), ("b", False)], "doc_id string, conflict boolean")
+    anomalies = spark.createDataFrame([("c", 7, "missing"), ("c", 3, "surplus"), ("a", 2, "missing")], "doc_id string, page int, anomaly string")
+    got = {r.doc_id: r.abort_reason for r in audit.aborted(totals, anomalies).collect()}
+    assert got == {"a": "Multiple conflicting totals", "c": "Failed to extract transactions from page 3"}
+    assert {r.doc_id for r in audit.aborted(anomalies=anomalies).collect()} == {"a", "c"}
+
+
 def test_long_documents_have_several_result_rows(spark, make_words, monkeypatch):
     monkeypatch.setattr(guard, "PAGES_PER_PART", 2)
     words = make_words({("long", 1): text(50, "Account Summary " + LONG), **{("long", p): [CUR, DATE] for p in (2, 3, 5)}})
