@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 
 BLOCK = 65_536
 # A key is "large" when it has more than SHARE of all rows, so at most 1/SHARE keys can be:
-# that bounds the broadcast list of large keys at 100,000 entries whatever the data.
-SHARE = 1e-5
+# that bounds the broadcast list of large keys at a million entries whatever the data.
+SHARE = 1e-6
 SMALLEST_LARGE = 200_000
 
 

@@ -85,10 +85,13 @@ def gather_runs(words: DataFrame, tolerance: float = S.LINE_TOLERANCE, *extra: s
     points = F.transform("words", lambda w: F.struct(w["ord"].alias("ord"), w["y0"].alias("y0")))
     keys = F.when(F.col("_height") >= tolerance, _first_keys(points, tolerance)).otherwise(F.array("_first"))
     runs = runs.withColumn("_keys", keys)
-    runs = runs.select("doc_id", "page", "words", "_keys", F.explode("_keys").alias("line_y"))
-    mine = F.filter("words", lambda w: _nearest_first(F.col("_keys"), w["y0"], tolerance) == F.col("line_y"))
+    # Each word of a higher run looks for its key once; dividing the run then compares places.
+    at = F.transform("words", lambda w: _nearest_first(F.col("_keys"), w["y0"], tolerance))
+    runs = runs.withColumn("_at", F.when(F.size("_keys") > 1, at))
+    runs = runs.select("doc_id", "page", "words", "_at", F.explode("_keys").alias("line_y"))
+    mine = F.filter("words", lambda w, i: F.get(F.col("_at"), i) == F.col("line_y"))
     lines = runs.select(
-        "doc_id", "page", "line_y", F.when(F.size("_keys") > 1, mine).otherwise(F.col("words")).alias("words")
+        "doc_id", "page", "line_y", F.when(F.col("_at").isNull(), F.col("words")).otherwise(mine).alias("words")
     )
     return lines.withColumn("line_text", F.array_join(F.col("words.text"), " "))
 
