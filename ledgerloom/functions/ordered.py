@@ -29,11 +29,17 @@ SHARE = 1e-6
 SMALLEST_LARGE = 200_000
 
 
-def large_keys(sizes: DataFrame, key: str, share: float = SHARE, floor: int = SMALLEST_LARGE) -> DataFrame:
-    """Keys of ``sizes`` (key, n) with ``n`` above ``max(floor, share * sum of n)``: fewer than 1/share."""
-    total = sizes.agg((F.sum("n") * F.lit(float(share))).alias("_t"))
-    limit = F.greatest(F.lit(float(floor)), F.coalesce(total.scalar(), F.lit(0.0)))
-    return sizes.filter(F.col(key).isNotNull() & (F.col("n") > limit)).select(key)
+def large_keys(sizes: DataFrame, key: str, share: float = SHARE, floor: int = SMALLEST_LARGE) -> list:
+    """Keys of ``sizes`` (key, n) with ``n`` above ``max(floor, share * sum of n)``: fewer than 1/share.
+
+    Usually one aggregation tells that there are none.
+    """
+    known = F.col(key).isNotNull()
+    seen = sizes.agg(F.sum("n").alias("total"), F.max(F.when(known, F.col("n"))).alias("largest")).first()
+    limit = max(floor, share * (seen.total or 0))
+    if (seen.largest or 0) <= limit:
+        return []
+    return sizes.filter(known & (F.col("n") > limit)).select(key).collect()
 
 
 class Split(NamedTuple):
@@ -57,11 +63,10 @@ def split_by_size(
     """
     if sizes is None:
         sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    found = large_keys(sizes, key, share, floor)
-    rows = found.collect()
+    rows = large_keys(sizes, key, share, floor)
     if not rows:
         return Split(df, None, None)
-    keys = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
+    keys = F.broadcast(df.sparkSession.createDataFrame(rows, sizes.select(key).schema))
     # Rows without a key stay on the ordinary side: an anti join keeps them.
     return Split(df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi"), keys)
 

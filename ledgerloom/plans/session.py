@@ -16,6 +16,8 @@ def local_session(cores: int | str = 8, app: str = "ledgerloom", **conf) -> Spar
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A session that runs many different queries keeps the code generated for all of them.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Call sites of every column expression: helpful when debugging, slow when building plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
