@@ -10,8 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
-from . import chat, quality, secrets
+from ..sources.scratch import new_path, stored
+from . import chat, quality, secrets, tokenbin
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +66,13 @@ def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
+    """All texts as token ids in a store, read back from it."""
+    path = new_path(spark, "token-store")
+    tokenbin.write_store(table(spark, d, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return tokenbin.read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op4_chat_format)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op4_chat_format, op10_token_store)
 }
