@@ -82,4 +82,13 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_quality": _op2(), "op4_chat_format": OP4}
+OP8 = """
+WITH vecs AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asking AS (SELECT vec_id, min(v) AS v FROM vecs WHERE vec_id % 50 = 0 GROUP BY vec_id),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM asking q JOIN vecs c ON c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_quality": _op2(), "op4_chat_format": OP4, "op8_pivot_topk": OP8}

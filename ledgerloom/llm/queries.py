@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, quality, secrets, tokenbin
+from . import chat, quality, secrets, tokenbin, topk
+from .shipping import ship
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +22,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +68,13 @@ def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    vectors = stored(topk.prepared(table(spark, d, "embeddings"), "vec_id", "embedding", 256), "vectors")
+    asking = vectors.where(F.col("id") % 50 == 0).groupBy("id").agg(F.min("v").alias("v"))
+    return topk.search(vectors, asking, 5)
+
+
 def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
     """All texts as token ids in a store, read back from it."""
     path = new_path(spark, "token-store")
@@ -74,5 +83,5 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op4_chat_format, op10_token_store)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op4_chat_format, op8_pivot_topk, op10_token_store)
 }
