@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, quality, secrets, tokenbin, topk
+from . import chat, neardup, quality, secrets, tokenbin, topk
 from .shipping import ship
 
 
@@ -50,6 +50,11 @@ def op2_line_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a similarity of 0.8 or more."""
+    return neardup.groups(table(spark, d, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
     """All conversations and conversation -7, formatted, and read back from the formatted text."""
     told = "\\### Assistant: </turn> ok"
@@ -83,5 +88,5 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op4_chat_format, op8_pivot_topk, op10_token_store)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op8_pivot_topk, op10_token_store)
 }
