@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, neardup, quality, secrets, tokenbin, topk
+from . import chat, mixing, neardup, quality, secrets, tokenbin, topk
 from .shipping import ship
 
 
@@ -80,6 +80,11 @@ def op8_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.search(vectors, asking, 5)
 
 
+def op9_temperature_mix(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in a mix of 97 percent of the entropy of equal weights, at most four epochs of a source, as many tokens as there are."""
+    return mixing.decisions(table(spark, d, "documents"), budget_share=1.0, entropy=0.97, repetition=4.0)
+
+
 def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
     """All texts as token ids in a store, read back from it."""
     path = new_path(spark, "token-store")
@@ -88,5 +93,5 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op8_pivot_topk, op10_token_store)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op8_pivot_topk, op9_temperature_mix, op10_token_store)
 }
