@@ -3,7 +3,8 @@
 A store is a folder with two Parquet tables, so that any file system Spark knows can hold it:
 
 * ``dictionary``: one row (sha256, data) of the dictionary, trained on serialised id arrays of a bounded sample;
-* ``segments``: rows (shard, segment, first_doc, last_doc, n_docs, n_tokens, blob) in ascending ``doc_id`` order.
+* ``segments``: rows (shard, segment, ahead, first_doc, last_doc, n_docs, n_tokens, blob) in ascending ``doc_id`` order;
+  a shard is what one task wrote, ``ahead`` counts the shard's ids before the segment.
 
 A segment's ``blob`` (little endian)::
 
@@ -13,8 +14,8 @@ A segment's ``blob`` (little endian)::
 ``known`` is 0 for a null doc id. Frame i lies between two offsets and is the zstandard frame of document i alone,
 so reading a short document costs one small frame. Ids take two bytes if the vocabulary allows, else four.
 
-Defined results: null text is empty and still gets its end id; documents are ordered by doc_id (null first), ties
-by text, repeated rows stay; an empty table gives a store without segments; other columns are not read.
+Defined results: null text is empty and still gets its end id; documents are ordered by doc_id (null first), ties by
+a hash of the text, then the text, repeated rows stay; an empty table gives a store without segments; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,18 +35,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A piece of text from its white space on; byte-level pre-tokens never cross into the white space before the next
-#: piece. The white space of the tokenizer's own pattern.
+#: The white space of the tokenizer's own pattern. A piece is white space and what follows it up to the next
+#: white space; byte-level pre-tokens never cross from one piece into the next.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: White space other than single blanks between words and single line ends between words.
+_UNEVEN = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n | $|\n$")
 #: Letters after which a comma or full stop is always a pre-token of its own.
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))))
 #: Pieces whose ids a Python worker remembers. When full, the later half goes: frequent pieces come early.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
+#: Texts looked up together.
+TOGETHER = 64
 #: A segment is closed when its frames reach this many bytes.
 SEGMENT_BYTES = 4 << 20
 #: Bounds of the dictionary sample: documents, and serialised bytes taken of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 8_192, 65_536
+#: Most shards whose starts are broadcast (16 bytes each); beyond, they are joined.
+BROADCAST_SHARDS = 200_000
 _HEAD = struct.Struct("<4sHHI32s")
 
 
@@ -71,41 +78,88 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.table = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.remembered = remembered
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, self.dtype).tobytes()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        if sys.byteorder == "little":
-            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Remember pieces; of a word with a comma or full stop at its end only the word is encoded."""
-        known = self.known
+    def _learn(self, new: Iterable[str]) -> None:
+        """Remember pieces. A piece of one blank and letters is a single pre-token and goes to the merges directly; of a
+        word with a comma or full stop at its end only the word is encoded; the rest takes the whole way."""
+        known, model, table = self.known, self.tokenizer.model, self.table
         ends = [p for p in new if p[-1] in ",." and len(p) > 1 and p[-2] in _LETTERS]
         ended = set(ends)
         plain = dict.fromkeys([p for p in new if p not in ended] + [p[:-1] for p in ends] + [p[-1] for p in ends])
-        plain = [p for p in plain if p not in known]
-        if plain:
-            known.update(zip(plain, self._whole(plain), strict=True))
-        known.update([(p, known[p[:-1]] + known[p[-1]]) for p in ends])
+        rest = []
+        for p in plain:
+            if p in known:
+                continue
+            if p[0] == " " and p[1:].isalpha() and max(p) < "\u0250":
+                known[p] = self._bytes([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))])
+            else:
+                rest.append(p)
+        if rest:
+            known.update(zip(rest, self._whole(rest), strict=True))
+        for p in ends:
+            known[p] = known[p[:-1]] + known[p[-1]]
+
+    def _learn_words(self, new: set[str]) -> None:
+        """Remember words that stand after a blank; a line end inside one starts another piece."""
+        parts = {w: [" " + w] if "\n" not in w else _PIECE.findall(" " + w) for w in new}
+        self._learn(dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.known))
+        for w, ps in parts.items():
+            self.after_blank[w] = b"".join([self.known[p] for p in ps])
+
+    def _uneven(self, text: str) -> bytes:
+        pieces, known = _PIECE.findall(text), self.known
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        if new:
+            self._learn(new)
+        return b"".join([known[p] for p in pieces])
+
+    def _room(self) -> None:
+        for held in (self.known, self.after_blank):
+            if len(held) > self.remembered:
+                for p in list(held)[self.remembered // 2 :]:
+                    del held[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One serialised id array per text, without an end id."""
         if not self.by_piece:
             return self._whole(texts)
-        out = []
-        for text in texts:
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            self._room()
+            out += self._encode(texts[at : at + TOGETHER])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        look, missing, even = self.after_blank.get, set(), []
+        for i, text in enumerate(texts):
             if any(a in text for a in self.added):
-                out.append(self._whole([text])[0])
-                continue
-            pieces, known = _PIECE.findall(text), self.known
-            if len(known) > self.remembered:
-                for p in list(known)[self.remembered // 2 :]:
-                    del known[p]
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            if new:
-                self._learn(new)
-            out.append(b"".join([known[p] for p in pieces]))
+                out[i] = self._whole([text])[0]
+            elif not text or text[0] in " \n" or _UNEVEN.search(text) or "\n\n" in text:
+                out[i] = self._uneven(text)
+            else:
+                words = text.split(" ")
+                got = [self._uneven(words[0]), *map(look, words[1:])]
+                if None in got:
+                    missing.update(w for w, g in zip(words, got, strict=True) if g is None)
+                    even.append((i, words, got[0]))
+                else:
+                    out[i] = b"".join(got)
+        if missing:
+            self._learn_words(missing)
+        for i, words, head in even:
+            out[i] = b"".join([head, *map(look, words[1:])])
         return out
 
 
@@ -207,7 +261,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lev
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, data binary").write.parquet(f"{path}/dictionary")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select("doc_id", text).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges are drawn over ids and a hash, as the sample of range keys goes to the driver.
+    doc_first = F.col("doc_id").asc_nulls_first()
+    dealt = docs.select("doc_id", text).withColumn("h", F.xxhash64("text")).repartitionByRange(parts, doc_first, "h").sortWithinPartitions(doc_first, "h", "text")
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -216,11 +272,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lev
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         compressor = zstandard.ZstdCompressor(level=level, dict_data=_codec(dictionary))
         held: list[tuple[int | None, bytes]] = []
-        size = number = 0
+        size = number = ahead = 0
 
         def closed() -> pd.DataFrame:
             return pd.DataFrame({
-                "segment": [number], "first_doc": pd.array([held[0][0]], "Int64"), "last_doc": pd.array([held[-1][0]], "Int64"), "n_docs": [len(held)],
+                "segment": [number], "ahead": [ahead], "first_doc": pd.array([held[0][0]], "Int64"), "last_doc": pd.array([held[-1][0]], "Int64"), "n_docs": [len(held)],
                 "n_tokens": [sum(len(x) for _, x in held) // width], "blob": [pack(held, width, dictionary, compressor)],
             })
 
@@ -230,13 +286,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lev
                 size += len(ids)
                 if size >= segment_bytes:
                     yield closed()
+                    ahead += sum(len(x) for _, x in held) // width
                     held, size, number = [], 0, number + 1
         if held:
             yield closed()
 
     doc = F.col("doc_id").cast("long")
     made = dealt.select(F.coalesce(doc, F.lit(0)).alias("doc"), doc.isNotNull().alias("known"), "text").mapInPandas(
-        segments, "segment long, first_doc long, last_doc long, n_docs long, n_tokens long, blob binary"
+        segments, "segment long, ahead long, first_doc long, last_doc long, n_docs long, n_tokens long, blob binary"
     )
     made.withColumn("shard", F.spark_partition_id()).write.option("parquet.block.size", str(16 << 20)).parquet(f"{path}/segments")
 
@@ -248,17 +305,16 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document of a store.
 
-    Starts of segments come from a prefix sum over the segment table without its blobs, one row per some
-    megabytes of tokens, in two steps: over the segments of a shard, and over the shards."""
+    A segment knows the ids before it in its shard; the ids before a shard are a prefix sum over one row per shard,
+    which the number of writing tasks bounds."""
     dictionary = read_dictionary(spark, path)
     stored = spark.read.parquet(f"{path}/segments")
-    before = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = stored.select("shard", "segment", "n_tokens")
-    shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
-    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("base"))
-    starts = sizes.select("shard", "segment", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("inner")).join(bases, "shard")
-    located = stored.select("shard", "segment", "blob").join(starts, ["shard", "segment"]).select((F.col("base") + F.col("inner")).alias("start"), "blob")
+    shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = shards.select("shard", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    if shards.count() <= BROADCAST_SHARDS:
+        bases = F.broadcast(bases)
+    located = stored.select("shard", "ahead", "blob").join(bases, "shard").select((F.col("base") + F.col("ahead")).alias("start"), "blob")
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
