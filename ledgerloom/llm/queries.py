@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, mixing, neardup, quality, secrets, tokenbin, topk
+from . import chat, classifier, mixing, neardup, quality, secrets, tokenbin, topk
 from .shipping import ship
 
 
@@ -73,6 +73,13 @@ def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_fourier_quality(spark: SparkSession, d: str) -> DataFrame:
+    """A quality score of every document, learned from the labels outside the held-out fold."""
+    stats = stored(classifier.described(table(spark, d, "documents")), "statistics")
+    model = classifier.fit(stats, table(spark, d, "labels"))
+    return classifier.scored(stats, model)
+
+
 def op8_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
     vectors = stored(topk.prepared(table(spark, d, "embeddings"), "vec_id", "embedding", 256), "vectors")
@@ -93,5 +100,5 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op8_pivot_topk, op9_temperature_mix, op10_token_store)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op8_pivot_topk, op9_temperature_mix, op10_token_store)
 }
