@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, classifier, mixing, neardup, quality, secrets, tokenbin, topk
+from . import chat, classifier, linedup, mixing, neardup, quality, secrets, tokenbin, topk
 from .shipping import ship
 
 
@@ -80,6 +80,14 @@ def op5_fourier_quality(spark: SparkSession, d: str) -> DataFrame:
     return classifier.scored(stats, model)
 
 
+def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of the documents that an equal line or one within one edit precedes."""
+    return linedup.removed(table(spark, d, "documents")).select(
+        F.col("doc").alias("doc_id"), F.col("no").cast("long").alias("line_no"), F.col("kept_doc").alias("kept_doc_id"),
+        F.col("kept_no").cast("long").alias("kept_line_no"), "near",
+    )
+
+
 def op8_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
     vectors = stored(topk.prepared(table(spark, d, "embeddings"), "vec_id", "embedding", 256), "vectors")
@@ -100,5 +108,5 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op8_pivot_topk, op9_temperature_mix, op10_token_store)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op7_line_dedup, op8_pivot_topk, op9_temperature_mix, op10_token_store)
 }
