@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, classifier, linedup, mixing, neardup, quality, secrets, tokenbin, topk
+from . import chat, classifier, linedup, mixing, neardup, pieces, quality, secrets, tokenbin, topk
 from .shipping import ship
 
 
@@ -80,6 +80,11 @@ def op5_fourier_quality(spark: SparkSession, d: str) -> DataFrame:
     return classifier.scored(stats, model)
 
 
+def op6_piece_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """All texts as SentencePiece ids, decoded again: counts, checksum of the ids and whether the text came back."""
+    return pieces.encoded(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Every line of the documents that an equal line or one within one edit precedes."""
     return linedup.removed(table(spark, d, "documents")).select(
@@ -108,5 +113,5 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op7_line_dedup, op8_pivot_topk, op9_temperature_mix, op10_token_store)
+    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op6_piece_encoding, op7_line_dedup, op8_pivot_topk, op9_temperature_mix, op10_token_store)
 }
