@@ -10,8 +10,9 @@ sets merge by maximum, and two registers agree with a probability close to the J
    band, is the centre that the others are paired with: a group of n gives n - 1 pairs.
 3. The similarity of a pair is estimated by maximum likelihood from its registers and the known set sizes; pairs
    far below the threshold go. For every document the best pair is confirmed on the full sets first, then the pairs
-   that would still join two components, then, in groups whose members are not yet in one component, the members
-   of different components against each other. So no link between components is skipped within a group.
+   that would still join two components. Members of groups that are still in several components, which a centre need
+   not resemble as they may resemble each other, are compared through shared rare shingles (a prefix filter, exact).
+   So no link between components is skipped within a group, and no group spells out its pairs.
 
 At similarity 0.8 two documents share none of the 32 groups with probability 4e-6 (0.672^32).
 
@@ -30,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.scratch import stored
 from .components import components
@@ -207,17 +209,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the documents in ``nodes``: the full sets, sorted 64-bit hashes."""
+    """(node, shingles) of the documents in ``nodes``: the full sets as 64-bit hashes."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in _chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary()),
+                    batch.column(0).slice(a, b - a), pa.array([s.view(np.int64) for s in shingle_sets(data, offsets, k)], pa.list_(pa.int64())),
                 ], names=["node", "shingles"])
 
     chosen = _texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(full, "node long, shingles binary")
+    return chosen.mapInArrow(full, "node long, shingles array<long>")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
@@ -243,9 +245,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = len(p) + len(q) - len(np.union1d(p, q))
+            for p, q in zip(b["x"], b["y"], strict=True):
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.loc[np.array(ok, bool), ["a", "b"]]
 
@@ -256,6 +257,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _across_by_prefix(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that can reach the threshold, from rows (node, component, n, shingles).
+
+    Under one order of all shingles, two sets at the threshold share an element among the first n - ceil(t n) + 1 of
+    both. The order puts shingles that only one component has first, then rare before frequent: a document
+    whose first shingles are all its own meets nobody, however many others it resembles."""
+    each = rest.select("node", "component", "n", F.explode("shingles").alias("g"))
+    mixed = each.groupBy("g").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g", "f")
+    met = stored(each.join(stored(mixed, "mixed-shingles"), "g"), "met-shingles")
+    own = Window.partitionBy("node")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = met.withColumns({"place": F.row_number().over(own.orderBy("f", "g")), "alone": F.col("n") - F.count("*").over(own)})
+    first = stored(ranked.where(F.col("alone") + F.col("place") <= length).select("g", "node", "component", "n"), "first-shingles")
+    x = first.select("g", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    y = first.select("g", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    return (
+        x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+        .select("a", "b").distinct()
+    )
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -283,11 +305,10 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
         return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
     floor = percent / 100 - MARGIN
-    starred = member.join(centres, "value").where((F.col("node") != F.col("centre")) & near("n", "n_centre"))
-    starred = starred.select(*_ordered("node", "centre")).distinct()
+    grouped = stored(member.join(centres, "value"), "grouped")
+    starred = grouped.where((F.col("node") != F.col("centre")) & near("n", "n_centre")).select(*_ordered("node", "centre")).distinct()
     scored = stored(_estimated(starred, nodes, floor), "scored")
-    wanted = scored.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_sets(docs, wanted, k), "sets")
+    sets = stored(_sets(docs, grouped.select("node").distinct(), k), "sets")
 
     # The best pair of every document first: they join most of what belongs together.
     ends = scored.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("node"))
@@ -298,10 +319,9 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
 
     def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
-        label = labels.select("node", "component")
         return (
-            pairs.join(label.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left")
-            .join(label.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
+            pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left")
+            .join(labels.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
             .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
         )
 
@@ -311,26 +331,15 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
         links = links.unionByName(more)
         joined = components(links)
 
-    # Groups whose members are still in several components: members of different components meet, except
-    # pairs that a centre has settled already.
-    placed = (
-        member.join(centres.select("value"), "value", "left_semi").join(joined, "node", "left")
-        .select("value", "node", "n", F.coalesce("component", "node").alias("component"))
+    # Groups whose members are still in several components: what else can link them is found by shingles.
+    placed = stored(
+        grouped.join(joined, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component")), "placed",
     )
-    placed = stored(placed, "placed")
     open_ = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    rest = stored(placed.join(open_, "value", "left_semi"), "open-groups")
-    x = rest.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = rest.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    unseen = (
-        x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near("n_a", "n_b"))
-        .select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
-    )
-    late = stored(_estimated(unseen, nodes, floor), "late")
+    rest = stored(placed.join(open_, "value", "left_semi").select("node", "n", "component").distinct(), "open-members")
+    late = stored(_estimated(_across_by_prefix(rest.join(sets, "node"), percent), nodes, floor), "late")
     if not late.isEmpty():
-        ends = late.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        new = stored(_sets(docs, ends.join(wanted, "node", "left_anti"), k), "sets")
-        more = stored(_confirmed(late, sets.unionByName(new), percent), "links")
+        more = stored(_confirmed(late, sets, percent), "links")
         if not more.isEmpty():
             joined = components(links.unionByName(more))
 
