@@ -27,7 +27,7 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,9 +44,7 @@ _UNEVEN = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 #: Letters after which a comma or full stop is always a pre-token of its own.
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))))
 #: Pieces whose ids a Python worker remembers. When full, the later half goes: frequent pieces come early.
-REMEMBERED = 350_000
-#: Texts looked up together.
-TOGETHER = 64
+REMEMBERED = 600_000
 #: A segment is closed when its frames reach this many bytes.
 SEGMENT_BYTES = 4 << 20
 #: Bounds of the dictionary sample: documents, and serialised bytes taken of each.
@@ -90,39 +88,47 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: Iterable[str]) -> None:
-        """Remember pieces. A piece of one blank and letters is a single pre-token and goes to the merges directly; of a
-        word with a comma or full stop at its end only the word is encoded; the rest takes the whole way."""
-        known, model, table = self.known, self.tokenizer.model, self.table
-        ends = [p for p in new if p[-1] in ",." and len(p) > 1 and p[-2] in _LETTERS]
-        ended = set(ends)
-        plain = dict.fromkeys([p for p in new if p not in ended] + [p[:-1] for p in ends] + [p[-1] for p in ends])
-        rest = []
-        for p in plain:
-            if p in known:
-                continue
-            if p[0] == " " and p[1:].isalpha() and max(p) < "\u0250":
-                known[p] = self._bytes([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))])
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece; one of a blank and letters is a single pre-token and goes to the merges directly."""
+        ids = self.known.get(piece)
+        if ids is None:
+            letters = piece[1:]
+            if piece[0] == " " and letters.isalpha() and max(letters) < "\u0250":
+                shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.table)
+                ids = self._bytes([t.id for t in self.tokenizer.model.tokenize("\u0120" + shown)])
+            elif piece[-1] in ",." and len(piece) > 1 and piece[-2] in _LETTERS:
+                ids = self._piece(piece[:-1]) + self._piece(piece[-1])
+            elif piece[0] == "\n" and letters.isascii() and letters.isalpha():  # the line end stands alone before a letter
+                ids = self._piece("\n") + self._bytes([t.id for t in self.tokenizer.model.tokenize(letters)])
             else:
-                rest.append(p)
-        if rest:
-            known.update(zip(rest, self._whole(rest), strict=True))
-        for p in ends:
-            known[p] = known[p[:-1]] + known[p[-1]]
-
-    def _learn_words(self, new: set[str]) -> None:
-        """Remember words that stand after a blank; a line end inside one starts another piece."""
-        parts = {w: [" " + w] if "\n" not in w else _PIECE.findall(" " + w) for w in new}
-        self._learn(dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.known))
-        for w, ps in parts.items():
-            self.after_blank[w] = b"".join([self.known[p] for p in ps])
+                ids = self._whole([piece])[0]
+            self.known[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that stands after a blank. A comma or full stop after a letter is a pre-token of its own, and a
+        line end inside starts another piece."""
+        if word[-1] in ",." and len(word) > 1 and word[-2] in _LETTERS and "\n" not in word:
+            core = word[:-1]
+            ids = self.after_blank.get(core)
+            if ids is None:
+                ids = self.after_blank[core] = self._fresh(core)
+            ids += self._piece(word[-1])
+        elif "\n" in word:
+            ids = b"".join([self._piece(p) for p in _PIECE.findall(" " + word)])
+        else:
+            ids = self._fresh(word)
+        self.after_blank[word] = ids
+        return ids
+
+    def _fresh(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._bytes([t.id for t in self.tokenizer.model.tokenize("\u0120" + word)])
+        return self._piece(" " + word)
 
     def _uneven(self, text: str) -> bytes:
-        pieces, known = _PIECE.findall(text), self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            self._learn(new)
-        return b"".join([known[p] for p in pieces])
+        known, one = self.known.get, self._piece
+        return b"".join([known(p) or one(p) for p in _PIECE.findall(text)])
 
     def _room(self) -> None:
         for held in (self.known, self.after_blank):
@@ -132,35 +138,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One serialised id array per text, without an end id."""
-        if not self.by_piece:
-            return self._whole(texts)
-        out: list[bytes] = []
-        for at in range(0, len(texts), TOGETHER):
-            self._room()
-            out += self._encode(texts[at : at + TOGETHER])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        look, missing, even = self.after_blank.get, set(), []
-        for i, text in enumerate(texts):
-            if any(a in text for a in self.added):
-                out[i] = self._whole([text])[0]
-            elif not text or text[0] in " \n" or _UNEVEN.search(text) or "\n\n" in text:
-                out[i] = self._uneven(text)
-            else:
-                words = text.split(" ")
-                got = [self._uneven(words[0]), *map(look, words[1:])]
-                if None in got:
-                    missing.update(w for w, g in zip(words, got, strict=True) if g is None)
-                    even.append((i, words, got[0]))
-                else:
-                    out[i] = b"".join(got)
-        if missing:
-            self._learn_words(missing)
-        for i, words, head in even:
-            out[i] = b"".join([head, *map(look, words[1:])])
-        return out
+        return [self._encode(t) for t in texts] if self.by_piece else self._whole(texts)
+
+    def _encode(self, text: str) -> bytes:
+        self._room()
+        if any(a in text for a in self.added):
+            return self._whole([text])[0]
+        if not text or text[0] in " \n" or _UNEVEN.search(text) or "\n\n" in text:
+            return self._uneven(text)
+        words = text.split(" ")
+        look, learn = self.after_blank.get, self._word
+        got = [self._uneven(words[0]), *map(look, words[1:])]
+        at, misses = 0, got.count(None)
+        for _ in range(misses):
+            at = got.index(None, at)
+            w = words[at]
+            got[at] = look(w) or learn(w)
+        return b"".join(got)
 
 
 _ENCODERS: dict[str, Encoder] = {}
