@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 META = "▁"
@@ -265,6 +266,6 @@ def encoded(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), wi
     new = ["n_ids", "n_byte_ids", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
     shape = docs.select(*keep).schema
-    for name, kind in zip(new, ("long", "long", "long", "boolean", "array<int>"), strict=False):
+    for name, kind in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.BooleanType(), T.ArrayType(T.IntegerType())), strict=False):
         shape = shape.add(name, kind)
     return docs.select(*keep, text).mapInArrow(encode, shape)

@@ -140,6 +140,9 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with all their columns, the failed lines taken out of ``text`` and ``n_chars`` to match."""
     marked = judged(docs.withColumn("__row", F.struct(*[docs[c] for c in docs.columns])), limits, keep=("__row",))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return marked.where("kept").select(*[
+    # A filter is moved below projections by writing their expressions into it, here every array of the measures many
+    # times over. A column that may not be computed twice, and that the filter uses, keeps it where it is.
+    marked = marked.withColumn("__row_no", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__row_no") >= 0))
+    return marked.select(*[
         (new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns
     ])
