@@ -6,7 +6,8 @@ doc_id, or further up in the same document.
 
 1. Equal lines become one class with its first occurrence (combined before the exchange).
 2. One edit leaves the first or the last half of a line untouched, so every line gives the hashes of its halves,
-   tagged with the length that it may share: four short keys. Only lines that share a key with another line go on.
+   tagged with the length that it may share: four short keys. Only lines that share a key with another line go on; of
+   these, only lines that share all but one of ``FINE`` parts with another.
 3. Their deletion neighbourhoods meet: lines that lose the character at the same place and become equal differ by a
    replacement; a line equal to another without one character differs by an insertion. In each such group all are
    within the bound of the one they are compared with, so the earliest of a group is enough and no pairs are spelled out.
@@ -27,6 +28,7 @@ from ..sources.scratch import stored
 MIN_CHARS = 20
 BLANKS = " \t\x0b\x0c\r"
 LAST = 2**63 - 1
+FINE = 16
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -40,30 +42,41 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of the untouched halves: for a tag t, the first and last (t - 1) / 2 characters; lines of length n carry n and n + 1."""
+def _intact(line: Column, parts: int) -> Column:
+    """Hashes of a line without one of ``parts`` equal parts: one edit leaves all but one part untouched. Each is tagged with
+    the longer length of the pair it is for, so a line of n characters carries those of n and n + 1."""
     n = F.length(line)
     keys = []
     for tag in (n, n + 1):
-        q = F.floor((tag - 1) / 2).cast("int")
-        keys += [F.xxhash64(tag, F.lit("head"), line.substr(F.lit(1), q)), F.xxhash64(tag, F.lit("tail"), line.substr(n - q + 1, q))]
+        for j in range(parts):
+            start, stop = (F.floor((tag - 1) * i / parts).cast("int") for i in (j, j + 1))
+            after = tag - 1 - stop if j < parts - 1 else F.lit(0)
+            keys.append(F.xxhash64(tag, F.lit(j), line.substr(F.lit(1), start), line.substr(n - after + 1, after)))
     return F.array(*keys)
 
 
+def _sharing(keyed: DataFrame, name: str) -> DataFrame:
+    """Rows of (k1, k2, first, keys) that have a key in common with another line, without the keys."""
+    each = keyed.select("k1", "k2", "first", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key")
+    return each.join(stored(shared, name), "key", "left_semi").select("k1", "k2", "first").distinct()
+
+
 def _first() -> Column:
     return F.min(F.struct("doc", "no")).alias("first")
 
 
 def near(all_lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """k1, k2, kept (doc, no) of lines that are within one edit of an earlier, different line."""
-    keyed = firsts.select("k1", "k2", "first", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
-    chosen = keyed.join(stored(shared, "shared-halves"), "half", "left_semi").select("k1", "k2", "first").distinct()
+    chosen = _sharing(firsts, "shared-halves")
     chosen = stored(chosen.select("k1", "k2", "first", F.col("first.doc").alias("doc"), F.col("first.no").alias("no")), "near-candidates")
     # The text of a candidate is read at its first occurrence.
     texts = stored(
         all_lines.join(chosen, ["doc", "no", "k1", "k2"]).groupBy("k1", "k2", "first").agg(F.first("line").alias("line")), "candidate-lines",
     )
+    closer = _sharing(texts.select("k1", "k2", "first", _intact(F.col("line"), FINE).alias("keys")), "shared-parts")
+    parts = max(1, int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = stored(texts.join(stored(closer.select("k1", "k2"), "closer"), ["k1", "k2"], "left_semi").repartition(parts, "k1"), "closer-lines")
     n = F.length("line")
 
     def without(i: Column) -> Column:
@@ -76,7 +89,7 @@ def near(all_lines: DataFrame, firsts: DataFrame) -> DataFrame:
         F.array(F.struct(F.xxhash64(F.lit("insert"), F.col("line")).alias("key"), F.lit("w").alias("role"))),
     )
     hood = stored(
-        texts.select("k1", "k2", "first", F.explode(F.array_distinct(variants)).alias("v")).select("v.key", "v.role", "k1", "k2", "first"), "neighbourhood",
+        texts.select("k1", "k2", "first", F.explode(variants).alias("v")).select("v.key", "v.role", "k1", "k2", "first"), "neighbourhood",
     )
     groups = hood.groupBy("key").agg(
         *[F.min(F.when(F.col("role") == r, F.struct("first", "k1", "k2"))).alias(r) for r in "rdw"],
@@ -101,7 +114,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     ``near`` tells an edit from an equal line. A null doc_id appears as the largest long."""
     every = lines(docs)
-    firsts = stored(every.groupBy("k1", "k2").agg(_first(), F.count("*").alias("n"), F.first(_halves(F.col("line"))).alias("halves")), "first-lines")
+    firsts = stored(every.groupBy("k1", "k2").agg(_first(), F.count("*").alias("n"), F.first(_intact(F.col("line"), 2)).alias("keys")), "first-lines")
     close = stored(near(every, firsts), "near-lines")
     marked = stored(
         firsts.select("k1", "k2", "first", "n").join(close, ["k1", "k2"], "left")
