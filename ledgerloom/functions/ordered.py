@@ -2,13 +2,12 @@
 
 Tools, from cheap to general:
 
-* ``with_previous``  - look one row back. Positions are cut into blocks; the last row of each
-  block is also sent to the next one, so one shuffle on (key, block) is enough.
-* ``running_total``  - running sums over dense positions: local sums per block plus the
+* ``with_previous``  - look one row back. Positions are cut into blocks; the first row of a block takes the
+  last one of the nearest earlier block from a table with one row per block.
+* ``running_total``  - running sums over positions: local sums per block plus the
   total of the earlier blocks. Keys that fit one block need no second step.
 * ``split_by_size`` / ``prefix_scan`` - when positions do not exist yet: keys above a size
-  share go a separate way, ordered through several levels so that no task sees a whole key.
-* ``salted_join``    - join many rows per key with few, without sending a key to one task.
+  limit go a separate way, ordered through several levels so that no task sees a whole key.
 """
 
 from __future__ import annotations
@@ -23,23 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BLOCK = 65_536
-# A key is "large" when it has more than SHARE of all rows, so at most 1/SHARE keys can be:
-# that bounds the broadcast list of large keys at a million entries whatever the data.
-SHARE = 1e-6
+# A key is "large" when it has more rows than this: what one task may order. It does not grow with the data.
 SMALLEST_LARGE = 200_000
-
-
-def large_keys(sizes: DataFrame, key: str, share: float = SHARE, floor: int = SMALLEST_LARGE) -> list:
-    """Keys of ``sizes`` (key, n) with ``n`` above ``max(floor, share * sum of n)``: fewer than 1/share.
-
-    Usually one aggregation tells that there are none.
-    """
-    known = F.col(key).isNotNull()
-    seen = sizes.agg(F.sum("n").alias("total"), F.max(F.when(known, F.col("n"))).alias("largest")).first()
-    limit = max(floor, share * (seen.total or 0))
-    if (seen.largest or 0) <= limit:
-        return []
-    return sizes.filter(known & (F.col("n") > limit)).select(key).collect()
+SHARE = 0.0
+# Longest list of large keys that is fetched and broadcast; a longer one is joined by hash.
+BROADCAST_KEYS = 10_000
 
 
 class Split(NamedTuple):
@@ -56,35 +43,26 @@ def split_by_size(
 ) -> Split:
     """Divide ``df`` by the size of its keys; both parts together are exactly ``df``.
 
-    Runs one sizing job when the plan is built: a count per key that reads only the key column and
-    is combined before its shuffle, or the ready counts in ``sizes`` (key, n). Its answer,
-    fewer than 1/share keys, is small enough to fetch and broadcast whatever the data. Without
-    large keys, the usual case, the plan has a single branch.
+    A key is large above ``max(floor, share * all rows)``; the default is a fixed number of rows. One sizing job
+    runs when the plan is built: a count per key that reads only the key column and is combined before its
+    shuffle, or the ready counts in ``sizes`` (key, n). Without large keys, the usual case, the plan has
+    a single branch. A short list of large keys is broadcast, a long one joined by hash.
     """
     if sizes is None:
         sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = large_keys(sizes, key, share, floor)
-    if not rows:
+    known = F.col(key).isNotNull()
+    limit = F.lit(floor)
+    if share:
+        limit = F.lit(max(floor, share * (sizes.agg(F.sum("n")).first()[0] or 0)))
+    found = sizes.filter(known & (F.col("n") > limit)).select(key)
+    few = found.limit(BROADCAST_KEYS + 1).collect()
+    if not few:
         return Split(df, None, None)
-    keys = F.broadcast(df.sparkSession.createDataFrame(rows, sizes.select(key).schema))
+    keys = F.broadcast(df.sparkSession.createDataFrame(few, found.schema)) if len(few) <= BROADCAST_KEYS else found
     # Rows without a key stay on the ordinary side: an anti join keeps them.
     return Split(df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi"), keys)
 
 
-def salted_join(
-    many: DataFrame, few: DataFrame, key: str, how: str, spread_by: Column, salts: int = 32
-) -> DataFrame:
-    """Equi-join of ``many`` rows per key with ``few``, keeping the left side's rows (``inner``,
-    ``left``, ``left_semi`` or ``left_anti``).
-
-    Each key of the left side is divided over ``salts`` join keys by ``spread_by``; the right
-    side, which has one row per key, is repeated for each. No size limit on either side.
-    """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
 def block_of(position: str, block: int = BLOCK) -> Column:
     return F.floor((F.col(position) - 1) / F.lit(block)).cast("bigint")
 
@@ -92,18 +70,20 @@ def block_of(position: str, block: int = BLOCK) -> Column:
 def with_previous(
     df: DataFrame, key: str, position: str, columns: Mapping[str, str], block: int = BLOCK
 ) -> DataFrame:
-    """Add ``columns`` (new name -> existing column) taken from the row one position earlier.
+    """Add ``columns`` (new name -> existing column) taken from the row at the next lower position.
 
-    ``position`` is dense from 1 within ``key``, so a block never has more than ``block`` rows
-    plus the one row that is carried over.
+    Positions may have gaps. A block of positions never has more than ``block`` rows; the first row of a block
+    looks at the last row of the nearest earlier block that has any, found over one row per block.
     """
-    home = block_of(position, block)
-    spread = F.when(F.col(position) % block == 0, F.array(home, home + 1)).otherwise(F.array(home))
     w = W.partitionBy(key, "_block").orderBy(position)
-    out = df.withColumn("_home", home).withColumn("_block", F.explode(spread))
-    for name, source in columns.items():
-        out = out.withColumn(name, F.lag(source).over(w))
-    return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home")
+    base = df.withColumn("_block", block_of(position, block))
+    last = base.groupBy(key, "_block").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), position).alias("_last"))
+    before = last.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.lag("_last").over(W.partitionBy(key).orderBy("_block")).alias("_carried"))
+    out = base.select("*", F.row_number().over(w).alias("_n"), *[F.lag(c).over(w).alias(n) for n, c in columns.items()])
+    out = out.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")), "left")
+    return out.select(
+        *df.columns, *[F.when(F.col("_n") == 1, F.col(f"_carried.{n}")).otherwise(F.col(n)).alias(n) for n in columns]
+    )
 
 
 def running_total(

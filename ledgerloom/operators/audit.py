@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,35 +19,40 @@ def golden_compare(ledger: DataFrame, golden: DataFrame, first: int = 5) -> Data
     """Compare the first rows of each document with known ones, by position.
 
     Both sides are exact (missing equals missing), the balance within a cent with missing as 0.
-    The description pattern is reported too, though it does not decide anything.
+    The description pattern is reported too, though it does not decide anything. Expected rows that the
+    ledger does not have stay, with ``found`` false and every check failed.
     """
     want = golden.filter(F.col("txn_seq") <= first).select(
         "doc_id", "txn_seq",
         *[F.col(c).alias(f"expected_{c}") for c in ("withdrawal", "deposit", "balance")],
         F.col("description").alias("expected_pattern"),
     )
-    got = ledger.filter(F.col("txn_seq") <= first)
+    got = ledger.filter(F.col("txn_seq") <= first).withColumn("found", F.lit(True))
+    found = F.coalesce("found", F.lit(False))
     close = F.abs(K.zero_if_null("balance") - K.zero_if_null("expected_balance"))
-    return got.join(want, ["doc_id", "txn_seq"]).withColumns(
+    return want.join(got, ["doc_id", "txn_seq"], "left").withColumns(
         {
-            "withdrawal_ok": F.col("withdrawal").eqNullSafe(F.col("expected_withdrawal")),
-            "deposit_ok": F.col("deposit").eqNullSafe(F.col("expected_deposit")),
-            "balance_ok": close < F.lit(CENT).cast(S.MONEY),
+            "withdrawal_ok": found & F.col("withdrawal").eqNullSafe(F.col("expected_withdrawal")),
+            "deposit_ok": found & F.col("deposit").eqNullSafe(F.col("expected_deposit")),
+            "balance_ok": found & (close < F.lit(CENT).cast(S.MONEY)),
             "description_ok": F.coalesce(F.expr("description rlike expected_pattern"), F.lit(False)),
+            "found": found,
         }
     )
 
 
 def closing_check(ledger: DataFrame, expected: DataFrame) -> DataFrame:
-    """Last balance against the expected closing one. ``expected``: doc_id, opening, closing."""
-    last = ledger.groupBy("doc_id").agg(F.max_by("balance", "txn_seq").alias("last_balance"))
+    """Last balance against the expected closing one. ``expected``: doc_id, opening, closing.
+
+    Documents without any row are MISSING."""
+    last = ledger.groupBy("doc_id").agg(F.max_by("balance", "txn_seq").alias("last_balance"), F.count(F.lit(1)).alias("_n"))
     ok = F.abs(F.col("last_balance") - F.col("closing")) < F.lit(CENT).cast(S.MONEY)
-    return last.join(expected, "doc_id").withColumns(
+    return last.join(expected, "doc_id", "right").withColumns(
         {
             "expected_change": F.col("closing") - F.col("opening"),
-            "status": F.when(ok, "OK").when(ok.isNull(), "UNVERIFIABLE").otherwise("MISMATCH"),
+            "status": F.when(F.col("_n").isNull(), "MISSING").when(ok, "OK").when(ok.isNull(), "UNVERIFIABLE").otherwise("MISMATCH"),
         }
-    )
+    ).drop("_n")
 
 
 def field_rules(ledger: DataFrame) -> DataFrame:
@@ -122,8 +129,10 @@ def page_anomalies(documents: DataFrame, words: DataFrame) -> DataFrame:
     return missing.unionByName(surplus).unionByName(repeated)
 
 
-def aborted(totals: DataFrame | None = None, anomalies: DataFrame | None = None) -> DataFrame:
-    """Documents the audit rejects outright, with a reason: input of ``guard.document_results``."""
+def aborted(totals: DataFrame | None = None, anomalies: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+    """Documents the audit rejects outright, with a reason: input of ``guard.document_results``.
+
+    ``rejected``: words that extraction leaves out (``guard.rejected_words``); their documents fail."""
     found = []
     if totals is not None:
         found.append(
@@ -135,38 +144,85 @@ def aborted(totals: DataFrame | None = None, anomalies: DataFrame | None = None)
                 F.format_string(S.ABORT_PAGE, F.min("page")).alias("abort_reason")
             )
         )
-    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return out.groupBy("doc_id").agg(F.max("abort_reason").alias("abort_reason"))
+    if rejected is not None:
+        found.append(
+            rejected.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+                F.format_string("%d malformed words", F.count(F.lit(1))).alias("abort_reason")
+            )
+        )
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.max("abort_reason").alias("abort_reason"))
 
 
-def decisions(results: DataFrame, breaks: DataFrame, approve_at: float = 0.8, reject_below: float = 0.5) -> DataFrame:
-    """approve / review / reject per document. ``breaks``: doc_id, n_breaks.
+def arithmetic(checked: DataFrame) -> DataFrame:
+    """doc_id, n_breaks, n_unverifiable, n_one_side of a ledger checked by ``ledger.balance_continuity``."""
+    return checked.groupBy("doc_id").agg(
+        F.count_if(F.col("status") == "BREAK").alias("n_breaks"),
+        F.count_if(F.col("status") == "UNVERIFIABLE").alias("n_unverifiable"),
+        F.count_if(F.col("withdrawal").isNull() == F.col("deposit").isNull()).alias("n_one_side"),
+    )
+
 
-    Wrong arithmetic always goes to review; otherwise the confidence decides.
+def decisions(results: DataFrame, arithmetic: DataFrame, approve_at: float = 0.8, reject_below: float = 0.5) -> DataFrame:
+    """approve / review / reject per document. ``arithmetic``: counts of faults per doc_id.
+
+    An aborted document goes to review, as does one with a wrong or unverifiable balance or with a row that
+    moves both sides or none; otherwise the confidence decides.
     """
-    n = F.coalesce("n_breaks", F.lit(0)).cast("bigint")
-    return results.join(breaks, "doc_id", "left").withColumn("n_breaks", n).withColumn(
+    counts = ("n_breaks", "n_unverifiable", "n_one_side")
+    out = results.join(arithmetic.select("doc_id", *counts), "doc_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts}
+    )
+    return out.withColumn(
         "decision",
-        F.when(~F.col("success"), "reject")
-        .when(F.col("n_breaks") > 0, "review")
+        F.when(~F.col("success"), "review")
+        .when(F.col("n_breaks") + F.col("n_unverifiable") + F.col("n_one_side") > 0, "review")
         .when(F.col("confidence") >= approve_at, "approve")
         .when(F.col("confidence") >= reject_below, "review")
         .otherwise("reject"),
     )
 
 
-def _latest(corrections: DataFrame) -> DataFrame:
-    entry = F.struct("value", "version")
-    pick = lambda f: F.max_by(entry, F.when(F.col("field") == f, F.col("version")))
-    return corrections.groupBy("doc_id", "txn_seq").agg(*[pick(f).alias(f"_new_{f}") for f in CORRECTABLE])
+def _readable(types: dict[str, str]):
+    """Whether a correction names a known field and a value of its type (null clears a field)."""
+    out = F.lit(False)
+    for f in CORRECTABLE:
+        out = F.when(F.col("field") == f, F.col("value").isNull() | F.col("value").try_cast(types[f]).isNotNull()).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def _latest(corrections: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The readable entry of highest version of each field; of equal versions the greatest value, null before all."""
+    entry = F.struct("version", "value")
+    pick = lambda f: F.max(F.when(F.col("field") == f, entry))
+    usable = corrections.filter(_readable(types))
+    return usable.groupBy("doc_id", "txn_seq").agg(*[pick(f).alias(f"_new_{f}") for f in CORRECTABLE])
+
+
+def correction_history(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Every correction with its ``outcome``: applied, superseded by a later one, rejected (unreadable value or unknown
+    field), or orphaned (no such row). No entry is lost."""
+    types = dict(ledger.dtypes)
+    latest = _latest(corrections, types)
+    wins = F.lit(False)
+    for f in CORRECTABLE:
+        new = F.col(f"_new_{f}")
+        same = new["version"].eqNullSafe(F.col("version")) & new["value"].eqNullSafe(F.col("value"))
+        wins = F.when(F.col("field") == f, new.isNotNull() & same).otherwise(wins)
+    rows = ledger.select("doc_id", "txn_seq", F.lit(True).alias("_row"))
+    out = corrections.join(latest, ["doc_id", "txn_seq"], "left").join(rows, ["doc_id", "txn_seq"], "left")
+    outcome = (
+        F.when(F.col("_row").isNull(), "orphaned").when(~_readable(types), "rejected").when(wins, "applied").otherwise("superseded")
+    )
+    return out.select("doc_id", "txn_seq", "field", "value", "version", outcome.alias("outcome"))
 
 
 def _corrected(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
-    return ledger.join(_latest(corrections), ["doc_id", "txn_seq"], "left")
+    return ledger.join(_latest(corrections, dict(ledger.dtypes)), ["doc_id", "txn_seq"], "left")
 
 
 def apply_corrections(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Reviewer values override extracted ones; the highest version of a field counts.
+    """Reviewer values override extracted ones; the highest readable version of a field counts. An unreadable
+    value changes nothing: :func:`correction_history` lists it as rejected.
 
     ``corrections``: doc_id, txn_seq, field, value (text, null to clear), version.
     """
@@ -183,7 +239,7 @@ def apply_corrections(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
 def correction_audit(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     """One row per field whose value the corrections changed."""
     types = dict(ledger.dtypes)
-    out = ledger.join(_latest(corrections), ["doc_id", "txn_seq"])
+    out = ledger.join(_latest(corrections, types), ["doc_id", "txn_seq"])
     changes = [
         F.when(
             F.col(f"_new_{f}").isNotNull()

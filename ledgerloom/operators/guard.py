@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import tokens as K
-from ..functions.ordered import salted_join
 
-# A result row lists the warnings of at most this many pages; longer documents have more rows.
+# Page numbers of a document that are compared, or written into one JSON record, at once.
 PAGES_PER_PART = 1_000
 
 
@@ -82,61 +81,77 @@ def part_of_page(page: str = "page") -> Column:
     return F.floor((F.col(page) - 1) / PAGES_PER_PART).cast("bigint")
 
 
+def _page_states(page_rows: DataFrame) -> DataFrame:
+    return page_rows.groupBy("doc_id", "page").agg(
+        F.first("has_table").alias("has_table"), F.count_if("is_txn").alias("_txns")
+    )
+
+
+def page_warnings(documents: DataFrame, page_rows: DataFrame) -> DataFrame:
+    """doc_id, page, message: pages without any text and pages without a table, one row each."""
+    none = F.array().cast("array<int>")
+    pages = documents.select(
+        "doc_id", F.explode(F.when(F.col("n_pages") > 0, F.sequence(F.lit(1), F.col("n_pages").cast("int"))).otherwise(none)).alias("page")
+    )
+    seen = _page_states(page_rows).select("doc_id", F.col("page").cast("int").alias("page"), "has_table")
+    no_text = pages.join(seen, ["doc_id", "page"], "left_anti").select(
+        "doc_id", "page", F.format_string(S.WARN_NO_TEXT, F.col("page")).alias("message")
+    )
+    no_table = seen.filter(~F.col("has_table")).join(documents.select("doc_id"), "doc_id", "left_semi").select(
+        "doc_id", "page", F.format_string(S.WARN_NO_TABLE, F.col("page")).alias("message")
+    )
+    return no_text.unionByName(no_table)
+
+
 def document_results(documents: DataFrame, words: DataFrame, page_rows: DataFrame,
                      aborts: DataFrame | None = None) -> DataFrame:
-    """One result row per document (one more per further ``PAGES_PER_PART`` pages).
+    """Exactly one result row per document, however long it is.
 
     ``documents``: doc_id, n_pages. ``page_rows``: all rows of all pages with ``has_table`` and
     ``is_txn``. ``aborts``: optional doc_id, abort_reason of documents rejected by the audit.
+    ``warnings`` holds those of the document; those of its pages are counted in ``n_warnings``
+    and listed by :func:`page_warnings`.
     """
-    pages = page_rows.groupBy("doc_id", "page").agg(
-        F.first("has_table").alias("has_table"), F.count_if("is_txn").alias("_txns")
+    pages = _page_states(page_rows).join(documents.select("doc_id", "n_pages"), "doc_id")
+    inside = F.col("page").between(1, F.col("n_pages"))
+    counts = pages.groupBy("doc_id").agg(
+        F.count_if(inside).alias("_seen"), F.count_if(~F.col("has_table")).alias("_no_table"), F.sum("_txns").alias("_txns"),
     )
-    parts = pages.groupBy("doc_id", part_of_page().alias("part")).agg(
-        F.collect_list("page").alias("_seen"),
-        F.collect_list(F.when(~F.col("has_table"), F.col("page"))).alias("_no_table"),
-        F.sum("_txns").alias("_txns"),
-    )
-    last = F.floor((F.greatest(F.col("n_pages"), F.lit(1)) - 1) / PAGES_PER_PART).cast("bigint")
-    docs = documents.select(
-        "doc_id", "n_pages", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part")
-    )
-    out = docs.join(parts, ["doc_id", "part"], "left").join(first_page_flags(words), "doc_id", "left")
-
-    lo = F.col("part") * PAGES_PER_PART + 1
-    hi = F.least(F.col("n_pages"), (F.col("part") + 1) * PAGES_PER_PART)
-    none = F.array().cast("array<int>")
-    expected = F.when(F.col("n_pages") > 0, F.sequence(lo, hi).cast("array<int>")).otherwise(none)
-    no_text = F.array_except(expected, F.coalesce("_seen", none))
-    message = lambda pattern: lambda p: F.struct(
-        p.alias("page"), F.format_string(pattern, p).alias("message")
-    )
-    page_warnings = F.sort_array(
-        F.concat(
-            F.transform(no_text, message(S.WARN_NO_TEXT)),
-            F.transform(F.coalesce("_no_table", none), message(S.WARN_NO_TABLE)),
-        )
-    )["message"]
+    out = documents.select("doc_id", "n_pages").join(counts, "doc_id", "left").join(first_page_flags(words), "doc_id", "left")
     # A first page without any word is both short and without headers.
     short, no_header = F.coalesce("short", F.lit(True)), F.coalesce("no_header", F.lit(True))
     empty = F.col("n_pages") <= 0
-    at_guard = F.when(F.col("part") == 0, guard_warnings(short, no_header)).otherwise(
-        F.array().cast("array<string>")
-    )
     abort = F.when(empty, F.lit(S.ABORT_INTEGRITY))
     if aborts is not None:
         out = out.join(aborts.withColumnRenamed("abort_reason", "_abort"), "doc_id", "left")
         abort = F.coalesce(abort, F.col("_abort"))
+    own = F.when(empty, F.array(F.lit(S.WARN_EMPTY))).otherwise(guard_warnings(short, no_header))
+    of_pages = F.col("n_pages") - F.coalesce("_seen", F.lit(0)) + F.coalesce("_no_table", F.lit(0))
     return out.select(
-        "doc_id", "part",
+        "doc_id",
         abort.isNull().alias("success"),
         F.when(abort.isNotNull(), F.lit(0.0)).otherwise(confidence(short, no_header)).alias("confidence"),
-        F.when(empty, F.array(F.lit(S.WARN_EMPTY))).otherwise(F.concat(at_guard, page_warnings)).alias("warnings"),
+        own.alias("warnings"),
+        (F.size(own) + F.when(empty, F.lit(0)).otherwise(of_pages)).cast("bigint").alias("n_warnings"),
         abort.alias("abort_reason"),
         F.when(abort.isNotNull(), F.lit(0)).otherwise(F.coalesce("_txns", F.lit(0))).cast("bigint").alias("transaction_count"),
     )
 
 
+def malformed(words: DataFrame) -> Column:
+    """Why a word has no place in a document, or null: a missing key, or a coordinate that is none."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    return (
+        F.when(F.col("doc_id").isNull(), "no document").when(F.col("page").isNull(), "no page")
+        .when(bad("x0") | bad("y0"), "no position").when(F.col("text").isNull(), "no text")
+    )
+
+
+def rejected_words(words: DataFrame) -> DataFrame:
+    """The words that every extraction leaves out, whatever the size of their document, with ``reason``."""
+    return words.withColumn("reason", malformed(words)).filter(F.col("reason").isNotNull())
+
+
 def text_entropy(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shannon entropy of the characters of each document, in bits; 0 without characters.
 
@@ -168,9 +183,8 @@ def fingerprints(bounds: DataFrame, bucket: float = 5.0) -> DataFrame:
 
 def match_templates(prints: DataFrame, templates: DataFrame) -> DataFrame:
     """Attach ``template`` by fingerprint; unknown layouts keep null. One layout may be that of
-    most documents, so the join is salted by document."""
-    known = templates.select("fingerprint", "template")
-    return salted_join(prints, known, "fingerprint", "left", F.col("doc_id"))
+    most documents: adaptive execution splits it, as both sides of the join are plain rows."""
+    return prints.join(templates.select("fingerprint", "template"), "fingerprint", "left")
 
 
 def route(results: DataFrame, threshold: float = 0.8) -> DataFrame:

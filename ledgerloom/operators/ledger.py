@@ -119,18 +119,19 @@ def column_profile(ledger: DataFrame) -> DataFrame:
 def balance_continuity(ledger: DataFrame, tolerance: str = S.BALANCE_TOLERANCE, block: int = BLOCK) -> DataFrame:
     """Compare each balance with the one before it plus the row's own movement.
 
-    ``status``: FIRST, OK, BREAK, or UNVERIFIABLE when a balance is missing on either side.
+    ``status``: FIRST, OK, BREAK, or UNVERIFIABLE when a balance is missing on either side. The row before is the
+    one with the next lower ``txn_seq``, so a filtered ledger is checked as it stands.
     """
-    out = with_previous(ledger, "doc_id", "txn_seq", {"previous_balance": "balance"}, block)
+    out = with_previous(ledger, "doc_id", "txn_seq", {"previous_balance": "balance", "_before": "txn_seq"}, block)
     expected = F.col("previous_balance") - K.zero_if_null("withdrawal") + K.zero_if_null("deposit")
     out = out.withColumn("expected", expected).withColumn("difference", F.col("balance") - F.col("expected"))
     return out.withColumn(
         "status",
-        F.when(F.col("txn_seq") == 1, "FIRST")
+        F.when(F.col("_before").isNull(), "FIRST")
         .when(F.col("difference").isNull(), "UNVERIFIABLE")
         .when(F.abs("difference") > F.lit(tolerance).cast("decimal(18,2)"), "BREAK")
         .otherwise("OK"),
-    )
+    ).drop("_before")
 
 
 def discrepancies(ledger: DataFrame, tolerance: str = S.BALANCE_TOLERANCE) -> DataFrame:
@@ -150,11 +151,12 @@ def rebuild_balance(ledger: DataFrame, block: int = BLOCK) -> DataFrame:
     balance is missing has no opening balance: its running balance is null.
     """
     move = K.zero_if_null("deposit") - K.zero_if_null("withdrawal")
-    first = F.col("txn_seq") == 1
+    ledger = with_previous(ledger, "doc_id", "txn_seq", {"_before": "txn_seq"}, block)
+    first = F.col("_before").isNull()
     step = F.when(first, F.col("balance")).otherwise(move).cast(S.MONEY)
     unknown = (first & F.col("balance").isNull()).cast("int")
     out = running_total(ledger, "doc_id", "txn_seq", {"_sum": step, "_unknown": unknown}, block)
-    return out.withColumn("running_balance", F.when(F.col("_unknown") == 0, F.col("_sum"))).drop("_sum", "_unknown")
+    return out.withColumn("running_balance", F.when(F.col("_unknown") == 0, F.col("_sum"))).drop("_sum", "_unknown", "_before")
 
 
 def date_order(ledger: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -67,7 +67,7 @@ def _show_rows(ledger: DataFrame, *more: str) -> DataFrame:
 def _show_results(results: DataFrame, *more: str) -> DataFrame:
     return results.select(
         "doc_id", "success", F.round("confidence", 6).alias("confidence"), _joined("warnings"),
-        "abort_reason", "transaction_count", *more,
+        "n_warnings", "abort_reason", "transaction_count", *more,
     )
 
 
@@ -199,6 +199,25 @@ def aborted_results(spark, d):
     return _show_results(_results(spark, d, aborts))
 
 
+def page_warnings(spark, d):
+    words = R.words(spark, d)
+    told = statement.page_warnings(R.documents(spark, d), words, sizes=R.word_counts(spark, d))
+    return told.select("doc_id", *_long("page"), "message")
+
+
+def rejected_words(spark, d):
+    """Words spoilt by key are left out of every extraction and fail their documents."""
+    words = R.words(spark, d)
+    k = F.col("doc_id") % 37
+    spoilt = words.withColumns({
+        "y0": F.when((k == 1) & (F.col("ord") == 3), F.lit(float("nan"))).otherwise(F.col("y0")),
+        "page": F.when((k == 2) & (F.col("ord") == 4), F.lit(None)).otherwise(F.col("page")),
+    })
+    bad = guard.rejected_words(spoilt).groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n_words"))
+    failed = audit.aborted(rejected=guard.rejected_words(spoilt)).select("doc_id", "abort_reason")
+    return bad.join(failed, "doc_id").select("doc_id", "reason", "n_words", "abort_reason")
+
+
 def route(spark, d):
     return guard.route(_results(spark, d)).select(
         "doc_id", F.round("confidence", 6).alias("confidence"), "route"
@@ -209,9 +228,9 @@ def statement_report(spark, d):
     """Result and all figures of each document in one row."""
     ledger, results = _extracted(spark, d)
     return results.join(L.summary(ledger), "doc_id", "left").select(
-        "doc_id", "success", "transaction_count", F.size("warnings").cast("bigint").alias("n_warnings"),
+        "doc_id", "success", "transaction_count", "n_warnings",
         *_money("total_withdrawals", "total_deposits", "net_change", "first_balance", "closing_balance",
-                "calculated_change"),
+                "calculated_change", "opening_balance", "actual_change"),
     )
 
 
@@ -339,6 +358,13 @@ def discrepancies(spark, d):
     )
 
 
+def filtered_checks(spark, d):
+    """Ordered checks on a ledger from which rows were taken out."""
+    rest = L.drop_repeats(_rescanned(spark, d)).filter(F.col("okey") % 7 != 0)
+    checked = L.rebuild_balance(L.date_order(L.balance_continuity(rest)))
+    return checked.select("doc_id", "txn_seq", "status", *_money("difference", "running_balance"), "goes_back")
+
+
 def running_balance(spark, d):
     return L.rebuild_balance(R.ledger(spark, d)).select("doc_id", "txn_seq", *_money("running_balance"))
 
@@ -379,7 +405,7 @@ def golden_compare(spark, d):
         .otherwise(F.concat(F.substring_index("title", " ", 1), F.lit(".*"))).alias("description"),
     )
     return audit.golden_compare(_parsed(spark, d), golden).select(
-        "doc_id", "txn_seq", "withdrawal_ok", "deposit_ok", "balance_ok", "description_ok"
+        "doc_id", "txn_seq", "withdrawal_ok", "deposit_ok", "balance_ok", "description_ok", "found"
     )
 
 
@@ -421,11 +447,9 @@ def page_anomalies(spark, d):
 
 def decisions(spark, d):
     ledger, results = _extracted(spark, d)
-    breaks = L.balance_continuity(ledger).groupBy("doc_id").agg(
-        F.count_if(F.col("status") == "BREAK").alias("n_breaks")
-    )
-    return audit.decisions(results, breaks).select(
-        "doc_id", F.round("confidence", 6).alias("confidence"), "n_breaks", "decision"
+    faults = audit.arithmetic(L.balance_continuity(ledger))
+    return audit.decisions(results, faults).select(
+        "doc_id", F.round("confidence", 6).alias("confidence"), "n_breaks", "n_unverifiable", "n_one_side", "decision"
     )
 
 
@@ -439,6 +463,7 @@ def _corrections(ledger: DataFrame) -> DataFrame:
         F.array(
             entry(nth(41), "withdrawal", "12.34", 1), entry(nth(82), "withdrawal", "56.78", 2),
             entry(nth(43), "description", "CORRECTED", 1), entry(nth(47), "balance", None, 1),
+            entry(nth(123), "withdrawal", "12,34x", 3), entry(nth(53), "payee", "X", 1),
         )
     )
     return ledger.select("doc_id", "txn_seq", F.explode(entries).alias("c")).select("doc_id", "txn_seq", "c.*")
@@ -458,6 +483,13 @@ def correction_audit(spark, d):
     )
 
 
+def correction_history(spark, d):
+    ledger = R.ledger(spark, d)
+    return audit.correction_history(ledger.filter(F.col("okey") % 19 != 0), _corrections(ledger)).select(
+        "doc_id", "txn_seq", "field", "value", *_long("version"), "outcome"
+    )
+
+
 # --- sources, sinks, streaming --------------------------------------------
 def result_json(spark, d):
     path = new_path(spark, "results")
@@ -489,12 +521,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         statement_totals, parse_roundtrip, carry_pages, learned_columns, page_list, page_text, lines_greedy,
         lines_grid, normalise_xy, span_merge, amount_tokens, text_rows, large_amount_repair, doc_guard,
-        doc_results, aborted_results, route, statement_report, entropy, word_entropy, fingerprint,
+        doc_results, aborted_results, page_warnings, rejected_words, route, statement_report, entropy, word_entropy, fingerprint,
         transaction_trace, word_roles, position_stats, amount_clusters, column_bounds, sampled_bounds,
         inspect_area, deposits, large_withdrawals, keyword_search, page_rows, head_n, ledger_stats,
-        daily_summary, column_profile, balance_continuity, discrepancies, running_balance, date_order,
+        daily_summary, column_profile, balance_continuity, discrepancies, running_balance, filtered_checks, date_order,
         duplicates, first_occurrences, golden_compare, closing_check, field_rules, currencies,
-        conflicting_totals, page_anomalies, decisions, corrections, correction_audit, result_json,
+        conflicting_totals, page_anomalies, decisions, corrections, correction_audit, correction_history, result_json,
         export_formats, stream_intake,
     )
 }

@@ -226,6 +226,10 @@ _TEXT_WARNINGS = """concat_ws('; ',
   CASE WHEN short THEN 'Insufficient text content - possible OCR needed' END,
   CASE WHEN no_header THEN 'Expected headers not found' END)"""
 
+# Warnings of the document, how many there are with those of its pages, and the latter one by one.
+_OWN = "array_to_string(list_filter(string_split(warnings, '; '), lambda x: NOT contains(x, ' on page ')), '; ')"
+_N_WARNINGS = "CAST(len(list_filter(string_split(warnings, '; '), lambda x: x <> '')) AS BIGINT)"
+
 _DISPLAY = lambda c: f"CASE WHEN {c} <> 0 THEN {_money(c)} END"
 
 _RESCANNED = LEDGER + """,
@@ -325,11 +329,16 @@ ORACLE: dict[str, str] = {
           FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
         SELECT doc_id, TRUE AS success, round(CAST(CASE WHEN short THEN 0.5 ELSE 1.0 END AS DOUBLE)
           * CAST(CASE WHEN no_header THEN 0.7 ELSE 1.0 END AS DOUBLE), 6) AS confidence, {_TEXT_WARNINGS} AS warnings FROM flags""",
-    "doc_results": _with(RESULTS, "SELECT doc_id, success, confidence, warnings, abort_reason, transaction_count FROM results"),
+    "doc_results": _with(RESULTS, f"SELECT doc_id, success, confidence, {_OWN} AS warnings, {_N_WARNINGS} AS n_warnings, abort_reason, transaction_count FROM results"),
+    "page_warnings": _with(RESULTS, """SELECT doc_id, CAST(regexp_extract(m, '[0-9]+$') AS BIGINT) AS page, m AS message
+        FROM (SELECT doc_id, unnest(string_split(warnings, '; ')) AS m FROM results) WHERE contains(m, ' on page ')"""),
+    "rejected_words": _with(WORDS, """SELECT doc_id, CASE WHEN doc_id % 37 = 1 THEN 'no position' ELSE 'no page' END AS reason,
+        count(*) AS n_words, count(*) || ' malformed words' AS abort_reason
+        FROM words WHERE (doc_id % 37 = 1 AND ord = 3) OR (doc_id % 37 = 2 AND ord = 4) GROUP BY ALL"""),
     "aborted_results": _with(RESULTS + """,
         bad AS (SELECT doc_id FROM shown WHERE doc_id % 26 = 0 GROUP BY doc_id HAVING count(DISTINCT page) > 1)""",
-        """SELECT r.doc_id, success AND bad.doc_id IS NULL AS success,
-        CASE WHEN bad.doc_id IS NULL THEN confidence ELSE 0.0 END AS confidence, warnings,
+        f"""SELECT r.doc_id, success AND bad.doc_id IS NULL AS success,
+        CASE WHEN bad.doc_id IS NULL THEN confidence ELSE 0.0 END AS confidence, {_OWN} AS warnings, {_N_WARNINGS} AS n_warnings,
         coalesce(abort_reason, CASE WHEN bad.doc_id IS NOT NULL THEN 'Multiple conflicting totals' END) AS abort_reason,
         CASE WHEN bad.doc_id IS NULL THEN transaction_count ELSE 0 END AS transaction_count
         FROM results r LEFT JOIN bad ON bad.doc_id = r.doc_id"""),
@@ -341,7 +350,8 @@ ORACLE: dict[str, str] = {
           + CASE WHEN r.doc_id % 7 = 0 THEN 1 ELSE 0 END
           + CASE WHEN r.doc_id % 51 = 0 AND n_pages >= 3 THEN 1 ELSE 0 END END AS BIGINT) AS n_warnings,
         {_money('sw')} AS total_withdrawals, {_money('sd')} AS total_deposits, {_money('sd - sw')} AS net_change,
-        {_money('fb')} AS first_balance, {_money('lb')} AS closing_balance, {_money('lb - fb')} AS calculated_change
+        {_money('fb')} AS first_balance, {_money('lb')} AS closing_balance, {_money('lb - fb')} AS calculated_change,
+        {_money('ob')} AS opening_balance, {_money('lb - ob')} AS actual_change
         FROM results r LEFT JOIN agg ON agg.doc_id = r.doc_id"""),
     "entropy": """WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, length(text) AS n FROM documents),
         cnt AS (SELECT doc_id, c, n, count(*) AS k FROM ch GROUP BY 1, 2, 3),
@@ -422,11 +432,12 @@ ORACLE: dict[str, str] = {
         GROUP BY doc_id, date_raw, description, w, d, b HAVING count(*) > 1"""),
     "first_occurrences": _with(_RESCANNED, f"""SELECT doc_id, txn_seq, description, {_money('b')} AS balance FROM (
         SELECT *, row_number() OVER (PARTITION BY doc_id, date_raw, description, w, d, b ORDER BY txn_seq) AS r FROM twice) WHERE r = 1"""),
-    "golden_compare": _with(PARSED, """SELECT p.doc_id, p.txn_seq,
-        pw IS NOT DISTINCT FROM (g.w + CASE WHEN g.okey % 29 = 0 THEN 100 ELSE 0 END) AS withdrawal_ok,
-        pd IS NOT DISTINCT FROM g.d AS deposit_ok, abs(coalesce(pb, 0) - coalesce(g.b, 0)) < 1 AS balance_ok,
-        g.okey % 31 <> 0 AS description_ok
-        FROM parsed p JOIN led g ON g.doc_id = p.doc_id AND g.txn_seq = p.txn_seq WHERE p.txn_seq <= 5"""),
+    "golden_compare": _with(PARSED, """SELECT g.doc_id, g.txn_seq, p.doc_id IS NOT NULL AS found,
+        p.doc_id IS NOT NULL AND pw IS NOT DISTINCT FROM (g.w + CASE WHEN g.okey % 29 = 0 THEN 100 ELSE 0 END) AS withdrawal_ok,
+        p.doc_id IS NOT NULL AND pd IS NOT DISTINCT FROM g.d AS deposit_ok,
+        p.doc_id IS NOT NULL AND abs(coalesce(pb, 0) - coalesce(g.b, 0)) < 1 AS balance_ok,
+        p.doc_id IS NOT NULL AND g.okey % 31 <> 0 AS description_ok
+        FROM led g LEFT JOIN parsed p ON g.doc_id = p.doc_id AND g.txn_seq = p.txn_seq WHERE g.txn_seq <= 5"""),
     "closing_check": _with(LEDGER + """,
         last AS (SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY txn_seq DESC) = 1)""",
         f"""SELECT doc_id, {_money('b')} AS last_balance, {_money('2000000000 + run')} AS closing, {_money('run')} AS expected_change,
@@ -444,9 +455,12 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT DISTINCT doc_id, 90, 'surplus', 1 FROM shown WHERE page = 2 AND doc_id % 17 = 0
         UNION ALL SELECT DISTINCT doc_id, 2, 'repeated', 2 FROM shown WHERE page = 2 AND doc_id % 17 = 0"""),
     "decisions": _with(_PARSED_CONT, """SELECT r.doc_id, confidence, coalesce(n_breaks, 0) AS n_breaks,
-        CASE WHEN NOT success THEN 'reject' WHEN coalesce(n_breaks, 0) > 0 THEN 'review' WHEN confidence >= 0.8 THEN 'approve'
+        coalesce(n_unverifiable, 0) AS n_unverifiable, coalesce(n_one_side, 0) AS n_one_side,
+        CASE WHEN NOT success OR coalesce(n_breaks + n_unverifiable + n_one_side, 0) > 0 THEN 'review' WHEN confidence >= 0.8 THEN 'approve'
              WHEN confidence >= 0.5 THEN 'review' ELSE 'reject' END AS decision
-        FROM results r LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE status = 'BREAK') AS n_breaks FROM checked GROUP BY 1) c
+        FROM results r LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE status = 'BREAK') AS n_breaks,
+          count(*) FILTER (WHERE status = 'UNVERIFIABLE') AS n_unverifiable,
+          count(*) FILTER (WHERE (pw IS NULL) = (pd IS NULL)) AS n_one_side FROM checked GROUP BY 1) c
           ON c.doc_id = r.doc_id"""),
     "corrections": _with(_CORRECTED, f"""SELECT doc_id, txn_seq, nt AS description, {_money('nw')} AS withdrawal,
         {_money('d')} AS deposit, {_money('nb')} AS balance FROM fixed"""),
@@ -456,6 +470,26 @@ ORACLE: dict[str, str] = {
           FROM fixed WHERE okey % 41 = 0 AND w IS DISTINCT FROM nw
         UNION ALL SELECT doc_id, txn_seq, 'description', description, nt, 1 FROM fixed WHERE okey % 43 = 0
         UNION ALL SELECT doc_id, txn_seq, 'balance', {_plain('b')}, NULL, 1 FROM fixed WHERE okey % 47 = 0 AND b IS NOT NULL"""),
+    "correction_history": _with(LEDGER + """,
+        every AS (SELECT *, unnest([
+          {'n': 41, 'field': 'withdrawal', 'value': '12.34', 'version': 1}, {'n': 82, 'field': 'withdrawal', 'value': '56.78', 'version': 2},
+          {'n': 43, 'field': 'description', 'value': 'CORRECTED', 'version': 1}, {'n': 47, 'field': 'balance', 'value': NULL, 'version': 1},
+          {'n': 123, 'field': 'withdrawal', 'value': '12,34x', 'version': 3}, {'n': 53, 'field': 'payee', 'value': 'X', 'version': 1}]) AS e FROM led)""",
+        """SELECT doc_id, txn_seq, e.field AS field, e.value AS value, CAST(e.version AS BIGINT) AS version,
+        CASE WHEN okey % 19 = 0 THEN 'orphaned' WHEN e.n IN (123, 53) THEN 'rejected'
+             WHEN e.n = 41 AND okey % 82 = 0 THEN 'superseded' ELSE 'applied' END AS outcome
+        FROM every WHERE okey % e.n = 0"""),
+    "filtered_checks": _with(_RESCANNED + """,
+        rest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, date_raw, description, w, d, b ORDER BY txn_seq) AS copy FROM twice)
+          WHERE copy = 1 AND okey % 7 <> 0),
+        seen AS (SELECT *, lag(b) OVER o AS pb0, row_number() OVER o AS n, lag(txn_date) OVER o AS before,
+          first_value(b) OVER o AS fb, sum(coalesce(d, 0) - coalesce(w, 0)) OVER o AS moved,
+          first_value(coalesce(d, 0) - coalesce(w, 0)) OVER o AS first_move
+          FROM rest WINDOW o AS (PARTITION BY doc_id ORDER BY txn_seq ROWS UNBOUNDED PRECEDING))""",
+        f"""SELECT doc_id, txn_seq, {_money('b - pb0 + coalesce(w, 0) - coalesce(d, 0)')} AS difference,
+        CASE WHEN n = 1 THEN 'FIRST' WHEN b IS NULL OR pb0 IS NULL THEN 'UNVERIFIABLE'
+             WHEN abs(b - pb0 + coalesce(w, 0) - coalesce(d, 0)) > 1 THEN 'BREAK' ELSE 'OK' END AS status,
+        {_money('fb + moved - first_move')} AS running_balance, coalesce(txn_date < before, FALSE) AS goes_back FROM seen"""),
     "result_json": _with(PARSED, f"SELECT {_PARSED_COLUMNS} FROM parsed"),
     "export_formats": _with(LEDGER, f"""SELECT {_LEDGER_COLUMNS}, f.format
         FROM led, (VALUES ('csv'), ('parquet')) f(format)"""),

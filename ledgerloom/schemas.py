@@ -121,6 +121,7 @@ def result_schema(doc_type: T.DataType | None = None) -> T.StructType:
             T.StructField("success", T.BooleanType()),
             T.StructField("confidence", T.DoubleType()),
             T.StructField("warnings", T.ArrayType(T.StringType())),
+            T.StructField("n_warnings", T.LongType()),
             T.StructField("abort_reason", T.StringType()),
             T.StructField("transaction_count", T.LongType()),
             T.StructField("transactions", T.ArrayType(RESULT_ROW)),

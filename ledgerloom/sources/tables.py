@@ -46,26 +46,39 @@ def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet", doc_type:
 
 
 # --- result records --------------------------------------------------------
-def result_records(ledger: DataFrame, results: DataFrame, rows_key: str = "transactions") -> DataFrame:
-    """One record per result row, holding the transactions of its pages in order.
+def result_records(ledger: DataFrame, results: DataFrame, rows_key: str = "transactions",
+                   page_warnings: DataFrame | None = None) -> DataFrame:
+    """The result of each document with its transactions in order, as records for a JSON file.
 
-    A document of up to ``guard.PAGES_PER_PART`` pages is one record. Longer ones continue in
-    further records (``part``, ``first_seq``), so no record grows with the document.
+    A document of up to ``guard.PAGES_PER_PART`` pages is one record. A longer one continues in
+    further records (``part``, ``first_seq``), so no record grows with the document; each
+    carries the whole ``transaction_count`` and ``n_warnings``, and the warnings of its pages.
     """
     row = F.struct(
         F.col("date_raw").alias("date"), "description", "withdrawal", "deposit", "balance",
         F.col("page").cast("int").alias("page"),
     )
-    grouped = ledger.groupBy("doc_id", part_of_page().alias("part")).agg(
+    part = part_of_page().alias("part")
+    grouped = ledger.groupBy("doc_id", part).agg(
         F.min("txn_seq").alias("first_seq"),
         F.sort_array(F.collect_list(F.struct("txn_seq", row.alias("row")))).alias("_rows"),
     )
+    keys = results.select("doc_id", F.lit(0).cast("bigint").alias("part")).unionByName(grouped.select("doc_id", "part"))
+    own = F.when(F.col("part") == 0, F.col("warnings")).otherwise(F.array().cast("array<string>"))
+    if page_warnings is not None:
+        told = page_warnings.groupBy("doc_id", part).agg(
+            F.sort_array(F.collect_list(F.struct("page", "message")))["message"].alias("_told")
+        )
+        keys = keys.unionByName(told.select("doc_id", "part"))
+        own = F.concat(own, F.coalesce("_told", F.array().cast("array<string>")))
+    out = keys.distinct().join(results, "doc_id").join(grouped, ["doc_id", "part"], "left")
+    if page_warnings is not None:
+        out = out.join(told, ["doc_id", "part"], "left")
     empty = F.array().cast(T.ArrayType(S.RESULT_ROW))
-    out = results.join(grouped, ["doc_id", "part"], "left")
     # An aborted document has a result but hands out no rows.
     kept = F.when(F.col("success"), F.col("_rows.row").cast(T.ArrayType(S.RESULT_ROW)))
     return out.select(
-        "doc_id", "part", "first_seq", "success", "confidence", "warnings", "abort_reason",
+        "doc_id", "part", "first_seq", "success", "confidence", own.alias("warnings"), "n_warnings", "abort_reason",
         "transaction_count", F.coalesce(kept, empty).alias(rows_key),
     )
 

@@ -43,10 +43,9 @@ def test_warnings_in_order(results):
     assert results["both"].warnings == [
         "Insufficient text content - possible OCR needed", "Expected headers not found",
     ]
-    assert results["pages"].warnings == [
-        "Could not find transaction table on page 1", "No text found on page 2", "No text found on page 4",
-    ]
-    assert results["good"].warnings == []
+    assert results["pages"].warnings == [] and results["pages"].n_warnings == 3
+    assert (results["both"].n_warnings, results["empty"].n_warnings, results["no-words"].n_warnings) == (2, 1, 3)
+    assert results["good"].warnings == [] and results["good"].n_warnings == 0
 
 
 def test_outcome(results):
@@ -71,14 +70,31 @@ def test_reasons_to_abort(spark):
     assert {r.doc_id for r in audit.aborted(anomalies=anomalies).collect()} == {"a", "c"}
 
 
-def test_long_documents_have_several_result_rows(spark, make_words, monkeypatch):
-    monkeypatch.setattr(guard, "PAGES_PER_PART", 2)
+def test_long_documents_have_one_result_row(spark, make_words):
     words = make_words({("long", 1): text(50, "Account Summary " + LONG), **{("long", p): [CUR, DATE] for p in (2, 3, 5)}})
-    docs = spark.createDataFrame([("long", 5)], "doc_id string, n_pages int")
-    got = statement.document_results(docs, words).orderBy("part").collect()
-    assert [(r.part, r.warnings, r.transaction_count) for r in got] == [
-        (0, ["Could not find transaction table on page 1"], 1), (1, ["No text found on page 4"], 1), (2, [], 1),
-    ]
+    docs = spark.createDataFrame([("long", 1_500)], "doc_id string, n_pages int")
+    got = statement.document_results(docs, words).collect()
+    assert [(r.warnings, r.n_warnings, r.transaction_count) for r in got] == [([], 1_497, 3)]
+    told = statement.page_warnings(docs, words).orderBy("page").collect()
+    assert len(told) == 1_497 and told[0].message == "Could not find transaction table on page 1"
+    assert (told[1].page, told[1].message) == (4, "No text found on page 4")
+    assert len(audit.decisions(statement.document_results(docs, words), spark.createDataFrame([], "doc_id string, n_breaks long, n_unverifiable long, n_one_side long")).collect()) == 1
+
+
+def test_rejected_words_leave_in_both_branches(spark, make_words):
+    good = make_words({("a", 1): [CUR, DATE, (512, 252, "1.00")], ("b", 1): [CUR, DATE]})
+    fields = good.schema
+    nan = float("nan")
+    bad = spark.createDataFrame([
+        ("a", None, 9, 1.0, 1.0, 1.0, 1.0, "x", 0, 0, 0), ("a", 1, 9, 1.0, nan, 1.0, 1.0, "x", 0, 0, 0),
+        ("a", 1, 9, None, 1.0, 1.0, 1.0, "x", 0, 0, 0), (None, 1, 9, 1.0, 1.0, 1.0, 1.0, "x", 0, 0, 0),
+    ], fields)
+    words = good.unionByName(bad)
+    assert sorted(r.reason for r in guard.rejected_words(words).collect()) == ["no document", "no page", "no position", "no position"]
+    plain, large, clean = (sorted(map(str, statement.transactions(w, floor=f).collect())) for w, f in ((words, 10**9), (words, 1), (good, 10**9)))
+    assert plain == large == clean and clean
+    failed = audit.aborted(rejected=guard.rejected_words(words)).collect()
+    assert [tuple(r) for r in failed] == [("a", "3 malformed words")]
 
 
 def test_page_text_breaks_lines(make_words):

@@ -145,6 +145,38 @@ def test_page_anomalies(spark, make_words):
 def test_decisions(spark):
     results = spark.createDataFrame([("a", True, 1.0), ("b", True, 1.0), ("c", True, 0.7), ("d", True, 0.35), ("e", False, 0.0)],
                                     "doc_id string, success boolean, confidence double")
-    breaks = spark.createDataFrame([("b", 2), ("a", 0)], "doc_id string, n_breaks long")
-    got = {r.doc_id: r.decision for r in audit.decisions(results, breaks).collect()}
-    assert got == {"a": "approve", "b": "review", "c": "review", "d": "reject", "e": "reject"}
+    results = results.unionByName(spark.createDataFrame([("f", True, 1.0), ("g", True, 1.0)], results.schema))
+    faults = spark.createDataFrame([("b", 2, 0, 0), ("a", 0, 0, 0), ("f", 0, 1, 0), ("g", 0, 0, 1)],
+                                   "doc_id string, n_breaks long, n_unverifiable long, n_one_side long")
+    got = {r.doc_id: r.decision for r in audit.decisions(results, faults).collect()}
+    assert got == {"a": "approve", "b": "review", "c": "review", "d": "reject", "e": "review", "f": "review", "g": "review"}
+
+
+def test_expected_rows_and_documents_without_match_stay(spark, golden):
+    want = golden.unionByName(golden.withColumn("doc_id", F.lit("absent"))).withColumn("withdrawal", F.lit(None).cast("decimal(18,2)"))
+    missing = audit.golden_compare(golden, want).filter("NOT found").collect()
+    assert len(missing) == 5 and not any(r.withdrawal_ok or r.deposit_ok or r.balance_ok for r in missing)
+    schema = "doc_id string, opening decimal(18,2), closing decimal(18,2)"
+    got = audit.closing_check(golden, spark.createDataFrame([("absent", dec("1.00"), dec("2.00"))], schema)).first()
+    assert (got.status, got.expected_change) == ("MISSING", Decimal("1.00"))
+
+
+def test_unreadable_corrections_change_nothing_and_are_listed(spark, golden):
+    fixes = spark.createDataFrame(
+        [("g", 1, "withdrawal", "21.00", 1), ("g", 1, "withdrawal", "12,34x", 2), ("g", 2, "payee", "x", 1), ("g", 99, "balance", "1.00", 1),
+         ("g", 3, "description", "one", 4), ("g", 3, "description", "two", 4)],
+        "doc_id string, txn_seq long, field string, value string, version int")
+    got = {r.txn_seq: r for r in audit.apply_corrections(golden, fixes).collect()}
+    assert got[1].withdrawal == Decimal("21.00") and got[3].description == "two"
+    listed = {(r.txn_seq, r.value): r.outcome for r in audit.correction_history(golden, fixes).collect()}
+    assert listed == {(1, "21.00"): "applied", (1, "12,34x"): "rejected", (2, "x"): "rejected", (99, "1.00"): "orphaned",
+                      (3, "one"): "superseded", (3, "two"): "applied"}
+
+
+@pytest.mark.parametrize("block", [1, 3, 65_536])
+def test_ordered_checks_bridge_gaps(spark, block):
+    rows = [("x", 1, n, "d", None, "a", None, dec("1.00"), dec(f"{n}.00")) for n in (2, 4, 5, 9)]
+    ledger = ledger_from_rows(spark, rows)
+    checked = L.balance_continuity(ledger, block=block).orderBy("txn_seq").collect()
+    assert [r.status for r in checked] == ["FIRST", "BREAK", "OK", "BREAK"]
+    assert [int(r.running_balance) for r in L.rebuild_balance(ledger, block).orderBy("txn_seq").collect()] == [2, 3, 4, 5]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.functions.ordered import large_keys, prefix_scan, salted_join, split_by_size
+from ledgerloom.functions import ordered
+from ledgerloom.functions.ordered import prefix_scan, split_by_size
 from ledgerloom.operators import geometry as G, ledger as L
 from ledgerloom.plans import statement
 from ledgerloom.sources import rendered as R
@@ -38,10 +39,12 @@ def test_only_the_hot_key_is_split_off(spark, skewed_dir):
     assert split_by_size(orders, "o_custkey").large is None
 
 
-def test_number_of_large_keys_is_bounded(spark):
-    sizes = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("n"))
-    for share in (0.0015, 0.0012):
-        assert 0 < len(large_keys(sizes, "k", share, 0)) < 1 / share
+def test_the_limit_does_not_grow_and_long_key_lists_are_joined(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 10).alias("k"))
+    assert split_by_size(df, "k", floor=99).large.count() == 1000 and split_by_size(df, "k", floor=100).large is None
+    monkeypatch.setattr(ordered, "BROADCAST_KEYS", 3)
+    ordinary, large, _ = split_by_size(df.unionByName(spark.createDataFrame([(77,)], "k long")), "k", floor=99)
+    assert large.count() == 1000 and ordinary.count() == 1
 
 
 def test_rows_without_key_stay(spark):
@@ -50,13 +53,6 @@ def test_rows_without_key_stay(spark):
     assert large.count() == 3 and sorted(str(r[0]) for r in ordinary.collect()) == ["2", "None", "None"]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(spark, how):
-    many = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
-    few = spark.createDataFrame([(0, "zero"), (2, "two"), (9, "nine")], "k long, name string")
-    same(many.join(few, "k", how), salted_join(many, few, "k", how, F.col("v"), 4))
-
-
 def test_learned_profiles(spark, skewed_dir):
     words = R.words(spark, skewed_dir)
     profile = spark.createDataFrame(

@@ -34,7 +34,11 @@ def test_result_records_round_trip(spark, sf, monkeypatch, pages_per_part, key):
     monkeypatch.setattr(guard, "PAGES_PER_PART", pages_per_part)
     words = R.words(spark, sf)
     ledger = statement.transactions(words)
-    records = tables.result_records(ledger, statement.document_results(R.documents(spark, sf), words), key)
+    docs = R.documents(spark, sf)
+    records = tables.result_records(ledger, statement.document_results(docs, words), key, statement.page_warnings(docs, words))
+    assert records.filter("size(warnings) > n_warnings").isEmpty() and records.select("doc_id", "part").distinct().count() == records.count()
+    if pages_per_part == 1000:
+        assert records.filter("size(warnings) <> n_warnings").isEmpty()
     path = new_path(spark, "results")
     tables.write_results(records, path)
     back = tables.result_rows(tables.read_results(spark, path, T.LongType()))
