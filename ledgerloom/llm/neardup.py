@@ -11,8 +11,8 @@ sets merge by maximum, and two registers agree with a probability close to the J
 3. The similarity of a pair is estimated by maximum likelihood from its registers and the known set sizes; pairs
    far below the threshold go. For every document the best pair is confirmed on the full sets first, then the pairs
    that would still join two components. Members of groups that are still in several components, which a centre need
-   not resemble as they may resemble each other, are compared through shared rare shingles (a prefix filter, exact).
-   So no link between components is skipped within a group, and no group spells out its pairs.
+   not resemble as they may resemble each other, are compared across components in blocks of bounded size. So no
+   link between components is skipped within a group, and pairs of a group are never rows.
 
 At similarity 0.8 two documents share none of the 32 groups with probability 4e-6 (0.672^32).
 
@@ -31,7 +31,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.scratch import stored
 from .components import components
@@ -41,6 +40,8 @@ SHINGLE, REGISTERS, BAND_ROWS = 4, 160, 5
 BASE, RATE, LEVELS = 1.001, 20.0, 65_535
 #: A pair is confirmed on its full sets when its estimate is at most this much below the threshold (over 5 standard errors).
 MARGIN = 0.18
+#: Members of a block of a group whose members are compared.
+MEMBERS = 128
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 
@@ -257,26 +258,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across_by_prefix(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different components that can reach the threshold, from rows (node, component, n, shingles).
-
-    Under one order of all shingles, two sets at the threshold share an element among the first n - ceil(t n) + 1 of
-    both. The order puts shingles that only one component has first, then rare before frequent: a document
-    whose first shingles are all its own meets nobody, however many others it resembles."""
-    each = rest.select("node", "component", "n", F.explode("shingles").alias("g"))
-    mixed = each.groupBy("g").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g", "f")
-    met = stored(each.join(stored(mixed, "mixed-shingles"), "g"), "met-shingles")
-    own = Window.partitionBy("node")
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = met.withColumns({"place": F.row_number().over(own.orderBy("f", "g")), "alone": F.col("n") - F.count("*").over(own)})
-    first = stored(ranked.where(F.col("alone") + F.col("place") <= length).select("g", "node", "component", "n"), "first-shingles")
-    x = first.select("g", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = first.select("g", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    return (
-        x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-        .select("a", "b").distinct()
+def _within_open(open_members: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Links (a, b) between different components inside open groups, confirmed on the full sets.
+
+    ``open_members``: value, band, size (of the group), node, n, component, regs, bands, shingles. A group is cut into
+    blocks of about ``MEMBERS`` and two blocks at a time meet in one row, so tasks stay bounded and pairs are
+    never rows. A pair that shares several bands is looked at under the first of them only."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / MEMBERS)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = open_members.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    columns = ("node", "n", "component", "block", "regs", "bands", "shingles")
+    met = spread.groupBy("value", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(
+        *[F.collect_list(c).alias(c) for c in columns]
     )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {name: batch.column(name) for name in batch.schema.names}
+            at = np.concatenate([[0], np.cumsum(col["node"].value_lengths().to_numpy())])
+            node, n, component, block = (col[c].flatten().to_numpy() for c in columns[:4])
+            regs = np.frombuffer(b"".join(col["regs"].flatten().to_pylist()), "<u2").reshape(len(node), -1)
+            bands_ = col["bands"].flatten().flatten().to_numpy().reshape(len(node), -1)
+            sets = col["shingles"].flatten()
+            ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+            grams = sets.flatten().to_numpy()
+            found: list[tuple[int, int]] = []
+            for row, (band, lo, hi) in enumerate(zip(col["band"].to_pylist(), col["lo"].to_pylist(), col["hi"].to_pylist(), strict=True)):
+                start, stop = at[row], at[row + 1]
+                if (component[start:stop] == component[start]).all():
+                    continue
+                x, y = (i + start for i in np.triu_indices(stop - start, 1))
+                keep = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                if lo != hi:
+                    keep &= block[x] != block[y]
+                x, y = x[keep], y[keep]
+                keep = (bands_[x] == bands_[y]).argmax(1) == band
+                x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                plus, minus = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
+                likely = likelihood(plus, minus, regs.shape[1] - plus - minus, n[x].astype(float), n[y].astype(float)) >= floor
+                for i, j in zip(x[likely], y[likely], strict=True):
+                    both = len(np.intersect1d(grams[ends[i] : ends[i + 1]], grams[ends[j] : ends[j + 1]], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        found.append((int(node[i]), int(node[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.select("band", "lo", "hi", *columns).mapInArrow(compare, "a long, b long")
+
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -331,17 +360,16 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
         links = links.unionByName(more)
         joined = components(links)
 
-    # Groups whose members are still in several components: what else can link them is found by shingles.
+    # Groups whose members are still in several components: their members are compared across components.
     placed = stored(
-        grouped.join(joined, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component")), "placed",
+        grouped.join(joined, "node", "left").select("value", "band", "node", "n", F.coalesce("component", "node").alias("component")), "placed",
     )
-    open_ = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    rest = stored(placed.join(open_, "value", "left_semi").select("node", "n", "component").distinct(), "open-members")
-    late = stored(_estimated(_across_by_prefix(rest.join(sets, "node"), percent), nodes, floor), "late")
-    if not late.isEmpty():
-        more = stored(_confirmed(late, sets, percent), "links")
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+    open_ = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    rest = placed.join(stored(open_.select("value", "size"), "open-groups"), "value")
+    rest = rest.join(nodes.select("node", "n", "regs", "bands"), ["node", "n"]).join(sets, "node")
+    more = stored(_within_open(rest, percent, floor), "links")
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
 
     by_class = stored(
         classes.join(joined, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")), "class-components"
