@@ -46,11 +46,11 @@ def _results(spark: SparkSession, d: str, aborts: DataFrame | None = None) -> Da
     )
 
 
-def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(ledger, results) from one pass over the words."""
-    words = R.words(spark, d)
+def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger, results, page warnings) from one pass over the words."""
+    words, documents = R.words(spark, d), R.documents(spark, d)
     ledger, page_rows = statement.extract(words, sizes=R.word_counts(spark, d))
-    return ledger, guard.document_results(R.documents(spark, d), words, page_rows)
+    return ledger, guard.document_results(documents, words, page_rows), guard.page_warnings(documents, page_rows)
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def route(spark, d):
 
 def statement_report(spark, d):
     """Result and all figures of each document in one row."""
-    ledger, results = _extracted(spark, d)
+    ledger, results, _ = _extracted(spark, d)
     return results.join(L.summary(ledger), "doc_id", "left").select(
         "doc_id", "success", "transaction_count", "n_warnings",
         *_money("total_withdrawals", "total_deposits", "net_change", "first_balance", "closing_balance",
@@ -446,7 +446,7 @@ def page_anomalies(spark, d):
 
 
 def decisions(spark, d):
-    ledger, results = _extracted(spark, d)
+    ledger, results, _ = _extracted(spark, d)
     faults = audit.arithmetic(L.balance_continuity(ledger))
     return audit.decisions(results, faults).select(
         "doc_id", F.round("confidence", 6).alias("confidence"), "n_breaks", "n_unverifiable", "n_one_side", "decision"
@@ -493,7 +493,8 @@ def correction_history(spark, d):
 # --- sources, sinks, streaming --------------------------------------------
 def result_json(spark, d):
     path = new_path(spark, "results")
-    tables.write_results(tables.result_records(*_extracted(spark, d)), path)
+    ledger, results, told = _extracted(spark, d)
+    tables.write_results(tables.result_records(ledger, results, page_warnings=told), path)
     return _show_rows(tables.result_rows(tables.read_results(spark, path, LONG)))
 
 
