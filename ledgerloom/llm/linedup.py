@@ -13,9 +13,11 @@ doc_id, or further up in the same document.
    within the bound of the one they are compared with, so the earliest of a group is enough and no pairs are spelled out.
 4. The edit distance to that earliest line is verified on the texts.
 
-Defined results: null texts have no lines; shorter lines always stay; of rows that share a doc_id the lines are the same
-occurrences, so they stay or go together; rows without doc_id come after all others; an empty table gives an empty
-result. Document columns are kept by :func:`cleaned` and never clash with names used here.
+Defined results: null texts have no lines; shorter lines always stay; rows without doc_id come after all others; an
+empty table gives an empty result. :func:`removed` names lines by doc_id and number, so of rows that share a doc_id it
+takes lines with one number as one place. :func:`cleaned` tells rows apart: rows with the same doc_id and text stay or go
+together, different texts under one doc_id lose their own lines only, and each row without doc_id is a document of its
+own. Document columns are kept by :func:`cleaned` and never clash with names used here.
 """
 
 from __future__ import annotations
@@ -31,14 +33,32 @@ LAST = 2**63 - 1
 FINE = 16
 
 
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, which tells apart rows with one doc_id: the hash of the text, or a number of the row where
+    doc_id is null. Numbered rows are stored, as they are read again and must keep their numbers."""
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__row", F.xxhash64(F.col("text").cast("string")))
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("__row", F.monotonically_increasing_id())
+    return named.unionByName(stored(unnamed, "rows-without-id"))
+
+
+def _at(rows: DataFrame) -> list[str]:
+    """The columns that name an occurrence, in their order."""
+    return [c for c in ("doc", "row", "no") if c in rows.columns]
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc, no (from 0), line, k1, k2 of every line that takes part."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-    every = docs.where(F.col("text").isNotNull()).select(doc, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "raw"))
+    """doc, row (of identified rows), no (from 0), line, k1, k2 of every line that takes part."""
+    own = [_doc().alias("doc"), *([F.col("__row").alias("row")] if "__row" in docs.columns else [])]
+    every = docs.where(F.col("text").isNotNull()).select(*own, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "raw"))
     line = F.btrim("raw", F.lit(BLANKS))
+    at = _at(every)
     return (
-        every.select("doc", "no", line.alias("line")).where(F.length("line") >= MIN_CHARS)
-        .select("doc", "no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+        every.select(*at, line.alias("line")).where(F.length("line") >= MIN_CHARS)
+        .select(*at, "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
     )
 
 
@@ -62,17 +82,18 @@ def _sharing(keyed: DataFrame, name: str) -> DataFrame:
     return each.join(stored(shared, name), "key", "left_semi").select("k1", "k2", "first").distinct()
 
 
-def _first() -> Column:
-    return F.min(F.struct("doc", "no")).alias("first")
+def _first(at: list[str]) -> Column:
+    return F.min(F.struct(*at)).alias("first")
 
 
 def near(all_lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """k1, k2, kept (doc, no) of lines that are within one edit of an earlier, different line."""
+    """k1, k2, kept (doc, row if any, no) of lines that are within one edit of an earlier, different line."""
     chosen = _sharing(firsts, "shared-halves")
-    chosen = stored(chosen.select("k1", "k2", "first", F.col("first.doc").alias("doc"), F.col("first.no").alias("no")), "near-candidates")
+    at = _at(all_lines)
+    chosen = stored(chosen.select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in at]), "near-candidates")
     # The text of a candidate is read at its first occurrence.
     texts = stored(
-        all_lines.join(chosen, ["doc", "no", "k1", "k2"]).groupBy("k1", "k2", "first").agg(F.first("line").alias("line")), "candidate-lines",
+        all_lines.join(chosen, [*at, "k1", "k2"]).groupBy("k1", "k2", "first").agg(F.first("line").alias("line")), "candidate-lines",
     )
     closer = _sharing(texts.select("k1", "k2", "first", _intact(F.col("line"), FINE).alias("keys")), "shared-parts")
     parts = max(1, int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -112,26 +133,28 @@ def near(all_lines: DataFrame, firsts: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """doc, no, kept_doc, kept_no, near: every line occurrence that goes, with the earliest line that it repeats.
 
-    ``near`` tells an edit from an equal line. A null doc_id appears as the largest long."""
+    ``near`` tells an edit from an equal line. A null doc_id appears as the largest long. Rows from :func:`identified`
+    are kept apart and give ``row`` as well."""
     every = lines(docs)
-    firsts = stored(every.groupBy("k1", "k2").agg(_first(), F.count("*").alias("n"), F.first(_intact(F.col("line"), 2)).alias("keys")), "first-lines")
+    at = _at(every)
+    firsts = stored(every.groupBy("k1", "k2").agg(_first(at), F.count("*").alias("n"), F.first(_intact(F.col("line"), 2)).alias("keys")), "first-lines")
     close = stored(near(every, firsts), "near-lines")
     marked = stored(
         firsts.select("k1", "k2", "first", "n").join(close, ["k1", "k2"], "left")
         .where(F.col("kept").isNotNull() | (F.col("n") > 1)).select("k1", "k2", "first", "kept"), "marked-lines",
     )
-    gone = every.select("doc", "no", "k1", "k2").join(marked, ["k1", "k2"]).where(F.col("kept").isNotNull() | (F.struct("doc", "no") != F.col("first")))
+    gone = every.select(*at, "k1", "k2").join(marked, ["k1", "k2"]).where(F.col("kept").isNotNull() | (F.struct(*at) != F.col("first")))
     kept = F.coalesce("kept", "first")
-    return gone.select("doc", "no", kept["doc"].alias("kept_doc"), kept["no"].alias("kept_no"), F.col("kept").isNotNull().alias("near"))
+    return gone.select(*at, kept["doc"].alias("kept_doc"), kept["no"].alias("kept_no"), F.col("kept").isNotNull().alias("near"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, repeated lines taken out of ``text`` and ``n_chars`` to match; documents that lose
     lines and keep no word go."""
-    per_doc = removed(docs).groupBy("doc").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc", "__doc")
-    per_doc = stored(per_doc, "removed-lines")
-    joined = docs.join(per_doc, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("__doc"), "left")
-    held = joined.select(*[docs[c] for c in docs.columns], F.col("__gone"), F.split(docs["text"].cast("string"), "\n", -1).alias("__lines"))
+    rows = identified(docs)
+    per_row = removed(rows).groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("no").alias("__gone"))
+    joined = rows.withColumn("__doc", _doc()).join(stored(per_row, "removed-lines"), ["__doc", "__row"], "left")
+    held = joined.select(*docs.columns, "__gone", F.split(F.col("text").cast("string"), "\n", -1).alias("__lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
     held = held.withColumn("__text", text).where(F.col("__gone").isNull() | F.col("__text").rlike("[^\\x20\\x09-\\x0D]"))

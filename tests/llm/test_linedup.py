@@ -40,3 +40,15 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = sorted((r.doc_id or 0, r.text) for r in linedup.cleaned(df).collect())
     assert got == [(1, line), (1, line), (2, "other words")]
     assert linedup.removed(df.limit(0)).count() == 0 and linedup.cleaned(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_and_texts_under_one_id_lose_their_own_lines_only(spark):
+    told = [f"line number {i} that is long enough to count {w}" for i, w in enumerate(("alpha", "beta", "gamma", "delta", "epsilon"))]
+    a, b, c, d, e = told
+    rows = [(1, a), (None, f"{a}\nrest one"), (None, b), (None, f"{c}\nrest two"), (None, f"{c}\nrest three"), (2, f"{a}\nrest four"), (2, d), (None, e), (None, e)]
+    got = [(r.doc_id, r.text) for r in linedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert {(i, t) for i, t in got if i} == {(1, a), (2, "rest four"), (2, d)}
+    unnamed = sorted(t for i, t in got if i is None)
+    # Of two equal lines in different rows one goes; of two equal rows one row goes.
+    one_of = [sorted(["rest one", b, e, *pair]) for pair in ((f"{c}\nrest two", "rest three"), ("rest two", f"{c}\nrest three"))]
+    assert unnamed in one_of
