@@ -17,8 +17,8 @@ sets merge by maximum, and two registers agree with a probability close to the J
 At similarity 0.8 two documents share none of the 32 groups with probability 4e-6 (0.672^32).
 
 Defined results: null and empty texts, and texts without words, have empty sets and no links; rows without doc_id take
-no part, have no component and are kept; rows that share a doc_id are one document; an empty table gives an empty result;
-other columns are not read.
+no part, have no component and are kept; rows that share a doc_id are one document to :func:`groups` and documents of
+their own to :func:`deduplicated`; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -384,7 +384,26 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
     )
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id``, the doc_id of one row only: of rows that share a doc_id one keeps it, the others get numbers
+    above all ids. These rows are stored, as they are read again and must keep their numbers."""
+    own = F.col("doc_id").cast("long")
+    shared = docs.where(own.isNotNull()).groupBy(own.alias("__shared")).agg(F.count("*").alias("__n")).where("__n > 1").select("__shared")
+    shared = stored(shared, "shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn("__id", own)
+    several = docs.withColumn("__id", own).join(shared, F.col("__id") == F.col("__shared"), "left_semi")
+    several = stored(several.withColumn("__number", F.monotonically_increasing_id()), "rows-of-shared-ids")
+    lead = several.groupBy("__id").agg(F.min("__number").alias("__number")).withColumn("__lead", F.lit(True))
+    top = docs.agg(F.max(own)).first()[0]
+    number = F.when(F.col("__lead"), F.col("__id")).otherwise(F.lit(top) + 1 + F.col("__number"))
+    renamed = several.join(lead, ["__id", "__number"], "left").select(*docs.columns, number.alias("__id"))
+    return docs.withColumn("__id", own).join(shared, F.col("__id") == F.col("__shared"), "left_anti").unionByName(renamed)
+
+
 def deduplicated(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one document of each group."""
-    gone = stored(groups(docs, percent, k).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns, that stay: one row of each group and every row without doc_id."""
+    rows = _apart(docs)
+    found = groups(rows.select(F.col("__id").alias("doc_id"), "text"), percent, k)
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "near-copies")
+    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*docs.columns)

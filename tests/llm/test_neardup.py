@@ -80,3 +80,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{200 + i: 100 for i in range(30)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_under_one_id_stay_or_go_by_themselves(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(30)) for w in ("a", "b"))
+    rows = [(1, text), (2, text), (2, other), (4, other + " more"), (5, "short text of five words"), (5, "short text of five words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in neardup.deduplicated(df).collect()]
+    assert sorted(t[:1] for _, t in got) == ["a", "b", "s"] and (1, text) in got
