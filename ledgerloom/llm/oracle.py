@@ -108,4 +108,71 @@ FROM lines l JOIN cls c USING (line) LEFT JOIN near n USING (line)
 WHERE n.kept IS NOT NULL OR l.doc <> c.first.doc OR l.no <> c.first.no
 """
 
-ORACLE: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_quality": _op2(), "op4_chat_format": OP4, "op7_line_dedup": OP7, "op8_pivot_topk": OP8}
+OP11 = """
+WITH vecs AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asking AS (SELECT vec_id, min({'label': label, 'v': v}) AS q FROM vecs WHERE vec_id % 100 = 0 GROUP BY vec_id),
+scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.q.label = c.label AS same, list_inner_product(a.q.v, c.v)::BIGINT AS score
+    FROM asking a JOIN vecs c ON c.vec_id <> a.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+    FROM scored WHERE same QUALIFY place <= 5),
+ranked AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+# Costs, edits and turns so far of every state after every row, spelt out; the checksum bit by bit.
+OP12 = """
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS body,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+summed AS (SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(place, ''), lambda ch: ord(ch)::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM raw),
+fated AS (SELECT *, xor(crc, 4294967295) % 20 AS fate FROM summed),
+spoilt AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(body, '.!?', '') ELSE body END AS body
+    FROM fated, range(2) AS t(copy) WHERE copy < CASE WHEN fate = 0 THEN 0 WHEN fate = 3 THEN 2 ELSE 1 END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) AS i FROM spoilt),
+told AS (
+    SELECT conv_id, i, turn, role, body, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+        NOT regexp_matches(body, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, body ORDER BY i) > 1 AS again,
+        right(rtrim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut FROM placed),
+rows AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM told),
+everyone AS (SELECT DISTINCT conv_id FROM conversations),
+filled(a, b, edits, cost, made) AS (VALUES
+    ('0', '0', '', 0, []::VARCHAR[]), ('0', 'u', 'I', 3, ['user:']), ('0', 'a', 'II', 6, ['user:', 'assistant:']), ('s', 's', '', 0, []), ('s', 'u', 'I', 3, ['user:']),
+    ('s', 'a', 'II', 6, ['user:', 'assistant:']), ('u', 'u', '', 0, []), ('u', 'a', 'I', 3, ['assistant:']), ('a', 'a', '', 0, []), ('a', 'u', 'I', 3, ['user:'])),
+after(b, following) AS (VALUES ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+dp AS (
+    SELECT conv_id, 0::BIGINT AS i, '0' AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS made FROM everyone
+    UNION ALL
+    SELECT * FROM (
+        SELECT d.conv_id, r.i, CASE WHEN e.edit = 'D' THEN f.b WHEN e.edit = 'K' THEN r.initial ELSE n.following END AS state,
+            d.cost + f.cost + CASE e.edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 + r.extra ELSE r.extra END AS cost, d.audit || f.edits || e.edit AS audit,
+            d.made || f.made || CASE e.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [r.role || ':' || r.body]
+                ELSE [CASE n.following WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || r.body] END AS made
+        FROM dp d JOIN rows r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1 JOIN filled f ON f.a = d.state JOIN after n ON n.b = f.b
+            JOIN (VALUES ('D'), ('K'), ('R')) AS e(edit) ON e.edit = 'D' OR NOT r.gone AND (e.edit = 'R' OR r.initial = n.following OR r.initial = 's' AND f.b = '0'))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+ends AS (SELECT * FROM (
+    SELECT d.conv_id, d.cost + CASE d.state WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END AS cost, d.audit || CASE d.state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+        d.made || CASE d.state WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE []::VARCHAR[] END AS made
+    FROM dp d JOIN (SELECT e.conv_id, count(r.i) AS n FROM everyone e LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id GROUP BY e.conv_id) c
+        ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i)
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+        count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT e.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated,
+    coalesce(f.illegal, 0) AS illegal, e.cost::BIGINT AS cost, e.audit, sha256(array_to_string(e.made, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_secret_scan": OP1, "op2_line_quality": _op2(), "op4_chat_format": OP4, "op7_line_dedup": OP7, "op8_pivot_topk": OP8,
+    "op11_hard_negatives": OP11, "op12_conversation_repair": OP12,
+}

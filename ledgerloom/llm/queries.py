@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
-from . import chat, classifier, linedup, mixing, neardup, pieces, quality, secrets, tokenbin, topk
+from . import chat, classifier, hardneg, linedup, mixing, neardup, pieces, quality, repair, secrets, simhash, tokenbin, topk
 from .shipping import ship
 
 
@@ -112,6 +112,39 @@ def op10_token_store(spark: SparkSession, d: str) -> DataFrame:
     return tokenbin.read_documents(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """The hard negatives of every hundredth vector, a seventh of the labels moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hardneg.prepared(table(spark, d, "embeddings"), F.col("vec_id"), moved, F.col("embedding"), 256)
+    return hardneg.mined(rows, F.col("id") % 100 == 0)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, copies: rows spoilt by the checksum of their place."""
+    known = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fate = F.pmod(F.crc32(F.concat(known["conv_id"], F.lit(":"), known["turn"])), F.lit(20))
+    text = F.when(fate == 1, "").when(fate == 2, F.translate(known["text"], ".!?", "")).otherwise(known["text"])
+    return conversations.select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(known["role"]).alias("role"), text.alias("text"),
+        F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations, damaged and repaired: faults, cost, edits and a hash of the repaired turns."""
+    return repair.digests(repair.repaired(damaged(table(spark, d, "conversations"))))
+
+
+def op13_gray_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in three bits at most."""
+    found = simhash.groups(table(spark, d, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op6_piece_encoding, op7_line_dedup, op8_pivot_topk, op9_temperature_mix, op10_token_store)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_line_quality, op3_near_duplicates, op4_chat_format, op5_fourier_quality, op6_piece_encoding, op7_line_dedup,
+        op8_pivot_topk, op9_temperature_mix, op10_token_store, op11_hard_negatives, op12_conversation_repair, op13_gray_simhash,
+    )
 }

@@ -36,9 +36,9 @@ def test_near_duplicate_query(spark, sf):
 
 
 def test_every_operator_has_a_query_over_all_rows(spark, sf):
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    for name in ("op5_fourier_quality", "op6_piece_encoding", "op9_temperature_mix", "op10_token_store"):
+    for name in ("op5_fourier_quality", "op6_piece_encoding", "op9_temperature_mix", "op10_token_store", "op13_gray_simhash"):
         assert queries.QUERIES[name](spark, sf).count() == n
 
 
