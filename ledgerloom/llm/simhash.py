@@ -247,7 +247,8 @@ def block_pairs(blocks: DataFrame, bound: int = BOUND) -> DataFrame:
         return nodes.select("node", F.floor(F.col("node") / FAN).cast("long").alias("parent"), mask.alias("mask"), F.col("both").alias("bits"))
 
     zero = F.lit(0).cast("long")
-    pairs = leaves.limit(1).select(zero.alias("a"), zero.alias("b"), zero.alias("common"), F.lit(0).alias("apart"))
+    # Stored, so that the first step is a join on keys and not one on constants.
+    pairs = stored(leaves.limit(1).select(zero.alias("a"), zero.alias("b"), zero.alias("common"), F.lit(0).alias("apart")), "root-pair")
     for k in range(height - 1, -1, -1):
         nodes = level(k)
         left, right = (nodes.select(F.col("node").alias(f"{s}_node"), F.col("parent").alias(s), F.col("mask").alias(f"{s}_mask"), F.col("bits").alias(f"{s}_bits")) for s in "ab")
