@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 from .. import schemas as S
 from ..functions import tokens as K
 
+#: Height of a band of lines that stay together: above that of any printed page.
+BAND = 2_000.0
+
 
 def flip_origin(words: DataFrame, page_height: str | Column = "page_height") -> DataFrame:
     """Bottom-left coordinates to top-left ones."""
@@ -131,6 +134,16 @@ def gather_lines(keyed: DataFrame, *extra: str) -> DataFrame:
     return lines.withColumn("line_text", F.array_join(F.col("words.text"), " "))
 
 
+def gather_lines_by_band(keyed: DataFrame, band: float = BAND) -> DataFrame:
+    """The same lines, those of an ordinary page in one task and those of a higher one by bands of ``band`` points, so
+    that what is counted per page or document next is combined before it is exchanged."""
+    banded = keyed.withColumn("_band", F.floor(F.col("line_y") / band)).repartition("doc_id", "page", "_band")
+    lines = banded.groupBy("doc_id", "page", "_band", "line_y").agg(
+        F.sort_array(F.collect_list(F.struct("x0", "ord", "text"))).alias("words")
+    )
+    return lines.drop("_band").withColumn("line_text", F.array_join(F.col("words.text"), " "))
+
+
 def greedy_lines(words: DataFrame, spread: bool = False, tolerance: float = S.LINE_TOLERANCE) -> DataFrame:
     """Lines of typed words by the first-key rule; ``spread`` for documents of any size."""
     if spread:

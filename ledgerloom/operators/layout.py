@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import schemas as S
 from ..functions import tokens as K
-from .geometry import grid_lines
+from ..sources.scratch import stored
+from .geometry import gather_lines_by_band, grid_lines, key_grid
 
 
 def transaction_lines(words: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Grid lines that begin with a date; optionally only those of each document's first
     ``max_pages`` pages that have such a line."""
-    lines = grid_lines(words).filter(K.starts_with_date("line_text"))
+    lines = gather_lines_by_band(key_grid(words)).filter(K.starts_with_date("line_text"))
     if max_pages is None:
         return lines
     pages = lines.select("doc_id", "page").distinct()
@@ -56,64 +57,102 @@ def position_stats(roles: DataFrame) -> DataFrame:
     )
 
 
-def amount_positions(roles: DataFrame, gap: float = S.CLUSTER_GAP) -> DataFrame:
-    """Distinct amount positions per document with their count and cluster number.
+def _cell(x0: str, gap: float) -> Column:
+    return F.floor(F.col(x0) / gap).cast("bigint")
 
-    Equal positions are counted before anything is ordered, so the ordered step sees each
-    position once however many amounts stand there.
-    """
-    at = roles.filter(F.col("role") == "amount").groupBy("doc_id", "x0").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("doc_id").orderBy("x0")
-    jump = F.coalesce((F.col("x0") - F.lag("x0").over(w) >= gap).cast("int"), F.lit(1))
-    return at.withColumn("_jump", jump).withColumn(
-        "cluster", F.sum("_jump").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")
-    ).drop("_jump")
+
+def position_cells(roles: DataFrame, gap: float = S.CLUSTER_GAP, max_pages: int | None = None) -> DataFrame:
+    """doc_id, role, cell, min_x, max_x, sum_x, n: where the words of each role stand, in cells as wide as ``gap``.
+
+    Positions of one cell are less than a gap apart, so they are in one cluster whatever lies between them, and their range
+    is all that the clusters need to know. The counts combine before the exchange: about a dozen rows per document.
+    ``max_pages``: only the first pages that show transactions; ranked on cells, not on words."""
+    placed = roles.filter(F.col("x0").isNotNull() & ~F.isnan(F.col("x0").cast("double"))).withColumn("cell", _cell("x0", gap))
+    first = (F.min("x0").alias("min_x"), F.max("x0").alias("max_x"), F.sum("x0").alias("sum_x"), F.count(F.lit(1)).alias("n"))
+    if max_pages is None:
+        return placed.groupBy("doc_id", "role", "cell").agg(*first)
+    pages = placed.groupBy("doc_id", "page", "role", "cell").agg(*first)
+    rank = F.dense_rank().over(W.partitionBy("doc_id").orderBy("page"))
+    kept = pages.withColumn("_rank", rank).filter(F.col("_rank") <= max_pages)
+    return merge_cells(kept, "doc_id", "role")
+
+
+def merge_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """Cells of coarser keys: ranges and counts merge in any order."""
+    return cells.groupBy(*keys, "cell").agg(
+        F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.sum("sum_x").alias("sum_x"), F.sum("n").alias("n")
+    )
+
+
+def cluster_cells(cells: DataFrame, *keys: str, gap: float = S.CLUSTER_GAP) -> DataFrame:
+    """Add ``cluster``, from 1: a new one begins where a cell's first position is a gap past the last one of the cell before."""
+    across = W.partitionBy(*keys).orderBy("cell")
+    jump = F.coalesce((F.col("min_x") - F.lag("max_x").over(across) >= gap).cast("int"), F.lit(1))
+    numbered = F.sum("_jump").over(across.rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    return cells.withColumn("_jump", jump).withColumn("cluster", numbered).drop("_jump")
+
+
+def amount_positions(roles: DataFrame, gap: float = S.CLUSTER_GAP) -> DataFrame:
+    """Cells of amounts per document with their cluster number."""
+    cells = position_cells(roles.filter(F.col("role") == "amount"), gap)
+    return cluster_cells(cells, "doc_id", gap=gap)
 
 
 def cluster_stats(positions: DataFrame) -> DataFrame:
     """Range, mean and count of each amount cluster."""
     return positions.groupBy("doc_id", "cluster").agg(
-        F.min("x0").alias("min_x"),
-        F.max("x0").alias("max_x"),
-        (F.sum(F.col("x0") * F.col("n")) / F.sum("n")).alias("mean_x"),
+        F.min("min_x").alias("min_x"),
+        F.max("max_x").alias("max_x"),
+        (F.sum("sum_x") / F.sum("n")).alias("mean_x"),
         F.sum("n").alias("n"),
     )
 
 
-def cluster_samples(roles: DataFrame, positions: DataFrame, size: int = 5) -> DataFrame:
+def cluster_samples(roles: DataFrame, positions: DataFrame, size: int = 5, gap: float = S.CLUSTER_GAP) -> DataFrame:
     """The first ``size`` amounts of each cluster in x order, ties in reading order.
 
-    Ranked per position first: the rank limit is applied before rows are exchanged, so a column
-    with very many amounts at one x sends only ``size`` of them on.
+    Ranked per cell first: the rank limit is applied before rows are exchanged, so a column
+    with very many amounts sends only ``size`` of them on from each task.
     """
-    reading = ("page", "line_y", "ord")
-    amounts = roles.filter(F.col("role") == "amount")
-    near = W.partitionBy("doc_id", "x0").orderBy(*reading)
+    order = ("x0", "page", "line_y", "ord")
+    amounts = roles.filter(F.col("role") == "amount").withColumn("cell", _cell("x0", gap))
+    near = W.partitionBy("doc_id", "cell").orderBy(*order)
     few = amounts.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= size).drop("_r")
-    few = few.join(positions.select("doc_id", "x0", "cluster"), ["doc_id", "x0"])
-    wide = W.partitionBy("doc_id", "cluster").orderBy("x0", *reading)
+    few = few.join(positions.select("doc_id", "cell", "cluster"), ["doc_id", "cell"])
+    wide = W.partitionBy("doc_id", "cluster").orderBy(*order)
     few = few.withColumn("_r", F.row_number().over(wide)).filter(F.col("_r") <= size)
     return few.groupBy("doc_id", "cluster").agg(
         F.sort_array(F.collect_list(F.struct("_r", "amount")))["amount"].alias("sample_amounts")
     )
 
 
-def column_bounds(roles: DataFrame, gap: float = S.CLUSTER_GAP, margin: float = S.BOUND_MARGIN) -> DataFrame:
-    """Recommended column edges for documents that show dates, descriptions and amounts."""
-    sides = roles.filter(F.col("role").isin("date", "description")).groupBy("doc_id").agg(
-        F.max(F.when(F.col("role") == "date", F.col("x0"))).alias("_date_max"),
-        F.min(F.when(F.col("role") == "description", F.col("x0"))).alias("_desc_min"),
-    )
-    clusters = cluster_stats(amount_positions(roles, gap))
-    mean = lambda i: F.max(F.when(F.col("cluster") == i, F.col("mean_x")))
-    wide = clusters.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_clusters"), mean(1).alias("_m1"), mean(2).alias("_m2"), mean(3).alias("_m3")
+def clusters(roles: DataFrame, size: int = 5, gap: float = S.CLUSTER_GAP) -> DataFrame:
+    """Range, mean, count and first amounts of each amount cluster. The amounts are stored, so that the words are
+    put in lines once for both."""
+    amounts = stored(roles.filter(F.col("role") == "amount").select("doc_id", "page", "line_y", "x0", "ord", "role", "amount"), "amounts")
+    at = amount_positions(amounts, gap)
+    return cluster_stats(at).join(cluster_samples(amounts, at, size, gap), ["doc_id", "cluster"])
+
+
+def column_bounds(roles: DataFrame, gap: float = S.CLUSTER_GAP, margin: float = S.BOUND_MARGIN, max_pages: int | None = None) -> DataFrame:
+    """Recommended column edges for documents that show dates, descriptions and amounts, from one look at the words."""
+    return bounds_of(position_cells(roles, gap, max_pages), gap, margin)
+
+
+def bounds_of(cells: DataFrame, gap: float = S.CLUSTER_GAP, margin: float = S.BOUND_MARGIN) -> DataFrame:
+    """Column edges from :func:`position_cells`."""
+    at = cluster_cells(cells, "doc_id", "role", gap=gap)
+    of = lambda role, c: F.when(F.col("role") == role, F.col(c))
+    inside = lambda i, c: F.sum(F.when((F.col("role") == "amount") & (F.col("cluster") == i), F.col(c)))
+    mean = lambda i: inside(i, "sum_x") / inside(i, "n")
+    wide = at.groupBy("doc_id").agg(
+        F.max(of("date", "max_x")).alias("_date_max"), F.min(of("description", "min_x")).alias("_desc_min"),
+        F.max(of("amount", "cluster")).alias("n_clusters"), mean(1).alias("_m1"), mean(2).alias("_m2"), mean(3).alias("_m3"),
     )
     n = F.col("n_clusters")
     edge = lambda c: F.col(c) - margin
     return (
-        sides.join(wide, "doc_id")
-        .filter(F.col("_date_max").isNotNull() & F.col("_desc_min").isNotNull())
+        wide.filter(F.col("_date_max").isNotNull() & F.col("_desc_min").isNotNull() & n.isNotNull())
         .select(
             "doc_id", "n_clusters",
             (F.col("_date_max") + margin).alias("date_right_x"),

@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import tokens as K
-from ..operators import audit, geometry, guard, layout, ledger as L, rows
+from ..operators import audit, geometry, guard, layout, ledger as L, rows, templates
 from ..sources import rendered as R
 from ..sources import tables
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, stored
 from ..streaming import intake
 from . import statement
 
@@ -88,9 +88,16 @@ def carry_pages(spark, d):
 
 
 def learned_columns(spark, d):
-    """Column edges learned from each document's own words, then used to parse it."""
-    bounds = layout.column_bounds(layout.word_roles(layout.transaction_lines(R.words(spark, d))))
-    return _show_rows(_parsed(spark, d, profile=layout.profile_from_bounds(bounds)))
+    """Statements of shifted layouts: column edges learned from a document's own words, or from those of its layout."""
+    words = R.shifted_words(spark, d)
+    profile = templates.learned_profiles(layout.word_roles(layout.transaction_lines(words)))
+    return _show_rows(statement.transactions(words, stored(profile.drop("source"), "profiles"), sizes=R.word_counts(spark, d)))
+
+
+def column_sources(spark, d):
+    """Where each document's column edges come from."""
+    found = templates.learned_profiles(layout.word_roles(layout.transaction_lines(R.shifted_words(spark, d))))
+    return found.select("doc_id", "source", *[F.round(c, 6).alias(c) for c in ("withdrawal_x", "deposit_x", "balance_x")])
 
 
 def page_list(spark, d):
@@ -252,9 +259,18 @@ def fingerprint(spark, d):
     return guard.match_templates(prints, known).groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def template_match(spark, d):
+    """Every fortieth document's layout is known; all layouts, moved by their key, are matched within the tolerance."""
+    bounds = layout.column_bounds(_roles(spark, d))
+    moved = F.col("doc_id") % 23 * 0.47 - F.col("doc_id") % 3 * 8.13
+    shifted = stored(bounds.select("doc_id", "n_clusters", *[(F.col(c) + moved).alias(c) for c in templates.EDGES]), "moved-layouts")
+    known = shifted.filter(F.col("doc_id") % 40 == 7).select(F.col("doc_id").alias("template"), "n_clusters", *templates.EDGES)
+    return templates.match(shifted, known).select("doc_id", "template", F.round("distance", 6).alias("distance"))
+
+
 # --- layout ----------------------------------------------------------------
-def _roles(spark, d, max_pages=None):
-    return layout.word_roles(layout.transaction_lines(R.words(spark, d), max_pages))
+def _roles(spark, d):
+    return layout.word_roles(layout.transaction_lines(R.words(spark, d)))
 
 
 def transaction_trace(spark, d):
@@ -273,10 +289,7 @@ def position_stats(spark, d):
 
 
 def amount_clusters(spark, d):
-    roles = _roles(spark, d)
-    at = layout.amount_positions(roles)
-    stats = layout.cluster_stats(at).join(layout.cluster_samples(roles, at), ["doc_id", "cluster"])
-    return stats.select(
+    return layout.clusters(_roles(spark, d)).select(
         "doc_id", *_long("cluster", "n"), "min_x", "max_x", F.round("mean_x", 6).alias("mean_x"),
         F.array_join(F.col("sample_amounts").cast("array<string>"), "; ").alias("sample_amounts"),
     )
@@ -293,7 +306,7 @@ def column_bounds(spark, d):
 
 def sampled_bounds(spark, d):
     """Bounds from the first transaction page of each document only."""
-    return _bounds(layout.column_bounds(_roles(spark, d, max_pages=1)))
+    return _bounds(layout.column_bounds(_roles(spark, d), max_pages=1))
 
 
 def inspect_area(spark, d):
@@ -523,6 +536,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         statement_totals, parse_roundtrip, carry_pages, learned_columns, page_list, page_text, lines_greedy,
         lines_grid, normalise_xy, span_merge, amount_tokens, text_rows, large_amount_repair, doc_guard,
         doc_results, aborted_results, page_warnings, rejected_words, route, statement_report, entropy, word_entropy, fingerprint,
+        template_match, column_sources,
         transaction_trace, word_roles, position_stats, amount_clusters, column_bounds, sampled_bounds,
         inspect_area, deposits, large_withdrawals, keyword_search, page_rows, head_n, ledger_stats,
         daily_summary, column_profile, balance_continuity, discrepancies, running_balance, filtered_checks, date_order,

@@ -196,6 +196,16 @@ bounds AS (
   FROM wide JOIN sides USING (doc_id) WHERE dmax IS NOT NULL AND dmin IS NOT NULL)"""
 
 
+# Amounts where the three layouts put them; a layout's edges are the means of all its amounts left of, in and right of the middle.
+_SHIFTED = """
+roles_s AS (SELECT * REPLACE (CASE WHEN page > 1 AND x0 > 300 THEN x0 + CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN -40 ELSE 12 END
+              + (doc_id % 5 - 2) * 0.5 ELSE x0 END AS x0) FROM roles),
+amounts_s AS (SELECT * FROM roles_s WHERE role = 'amount'),"""
+_SHIFTED_BOUNDS = _SHIFTED + _bounds_cte("roles_s", "amounts_s") + """,
+spots AS (SELECT doc_id % 3 AS layout, x0, x0 - CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN -40 ELSE 12 END AS plain FROM amounts_s),
+pools AS (SELECT layout, avg(x0) FILTER (plain < 410) - 10 AS p1, avg(x0) FILTER (plain BETWEEN 410 AND 480) - 10 AS p2,
+                 avg(x0) FILTER (plain > 480) - 10 AS p3 FROM spots GROUP BY 1)"""
+
 _BOUNDS_SELECT = """SELECT doc_id, n_clusters, round(date_right_x, 6) AS date_right_x,
   round(description_x, 6) AS description_x, round(description_right_x, 6) AS description_right_x,
   round(withdrawal_x, 6) AS withdrawal_x, round(deposit_x, 6) AS deposit_x, round(amount_x, 6) AS amount_x,
@@ -372,6 +382,18 @@ ORACLE: dict[str, str] = {
         known AS (SELECT fp FROM prints GROUP BY 1 HAVING count(*) > 1)""",
         """SELECT CASE WHEN known.fp IS NOT NULL THEN 'layout-' || substr(prints.fp, 1, 8) END AS template,
         count(*) AS n_docs FROM prints LEFT JOIN known ON known.fp = prints.fp GROUP BY 1"""),
+    "template_match": _with(ROLES + "," + _bounds_cte("roles", "amounts") + """,
+        moved AS (SELECT doc_id, n_clusters, withdrawal_x + off AS wx, deposit_x + off AS dx, amount_x + off AS ax, balance_x + off AS bx
+                  FROM (SELECT *, doc_id % 23 * 0.47::DOUBLE - doc_id % 3 * 8.13::DOUBLE AS off FROM bounds)),
+        known AS (SELECT *, doc_id AS template FROM moved WHERE doc_id % 40 = 7),
+        far AS (SELECT m.doc_id, template, round(greatest(coalesce(abs(m.wx - k.wx), 0), coalesce(abs(m.dx - k.dx), 0),
+                       coalesce(abs(m.ax - k.ax), 0), coalesce(abs(m.bx - k.bx), 0)), 6) AS distance
+                FROM moved m JOIN known k ON m.n_clusters = k.n_clusters),
+        best AS (SELECT * FROM far WHERE distance <= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, template) = 1)""",
+        "SELECT moved.doc_id, best.template, round(best.distance, 6) AS distance FROM moved LEFT JOIN best ON best.doc_id = moved.doc_id"),
+    "column_sources": _with(ROLES + "," + _SHIFTED_BOUNDS, """SELECT b.doc_id, CASE WHEN n_clusters >= 3 THEN 'document' ELSE 'template' END AS source,
+        round(CASE WHEN n_clusters >= 3 THEN withdrawal_x ELSE p1 END, 6) AS withdrawal_x, round(CASE WHEN n_clusters >= 3 THEN deposit_x ELSE p2 END, 6) AS deposit_x,
+        round(CASE WHEN n_clusters >= 3 THEN balance_x ELSE p3 END, 6) AS balance_x FROM bounds b JOIN pools ON pools.layout = b.doc_id % 3"""),
     "transaction_trace": _with(ROLES, """SELECT doc_id, CAST(page AS BIGINT) AS page, gy AS line_y,
         substr(line_text, 1, 100) AS full_text, n_words FROM dlines"""),
     "word_roles": _with(ROLES, """SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(ord AS BIGINT) AS ord, gy AS line_y, x0, text, role,

@@ -200,6 +200,18 @@ def words(spark: SparkSession, sf_dir: str, **sizes) -> DataFrame:
     return rows.unionByName(cover_words(documents(spark, sf_dir)))
 
 
+#: Points by which the amount columns of every third document stand elsewhere, and how far documents of one layout differ.
+SHIFTS, WOBBLE = (0.0, -40.0, 12.0), 0.5
+
+
+def shifted_words(spark: SparkSession, sf_dir: str, **sizes) -> DataFrame:
+    """The same statements in three layouts: what stands right of x = 300 on transaction pages is moved by document. In the
+    second layout the default column edges read every amount wrong."""
+    by = F.element_at(F.array(*[F.lit(s) for s in SHIFTS]), (F.col("doc_id") % 3 + 1).cast("int")) + (F.col("doc_id") % 5 - 2) * WOBBLE
+    moved = F.when((F.col("page") > 1) & (F.col("x0") > 300), by).otherwise(F.lit(0.0))
+    return words(spark, sf_dir, **sizes).withColumns({"x0": F.col("x0") + moved, "x1": F.col("x1") + moved})
+
+
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper bound of the words per document, straight from the order table: at most 14 words
     per row, and per page of ``ROWS_PER_PAGE`` rows at most 21 more; 20 on the first page."""
