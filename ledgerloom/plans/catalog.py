@@ -523,10 +523,16 @@ def export_formats(spark, d):
 
 
 def stream_intake(spark, d):
-    """Words delivered as files, taken in as a stream, read back as the current ledger."""
+    """Words taken in as a stream and read back as the current ledger. Two documents of three come in two batches: first their
+    later pages, then the others, with some pages once more and some of their pages spoilt at first."""
     source, store = new_path(spark, "delivered"), new_path(spark, "intake")
-    R.words(spark, d).repartition("doc_id").write.parquet(source)
-    intake.run_available(spark, source, store, LONG)
+    words = R.words(spark, d)
+    late = (F.col("doc_id") % 3 != 0) & (F.col("page") <= F.col("doc_id") % 3 + 1)
+    wrong = (F.col("doc_id") % 7 == 0) & (F.col("page") == 2)
+    first = words.filter(~late).withColumn("text", F.when(wrong, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    for part in (first, words.filter(late | wrong | (F.col("doc_id") % 5 == 0))):
+        part.repartition("doc_id").write.mode("append").parquet(source)
+        intake.run_available(spark, source, store, LONG)
     return _show_rows(intake.current_ledger(spark, store, LONG))
 
 
