@@ -19,6 +19,8 @@ from ledgerloom.sources.scratch import stored
 REPETITION = 1.25
 #: Words of a shingle in the near-duplicate stage; similarity 0.8.
 SHINGLE = 5
+#: A document that loses this share of its words to earlier lines is a near copy and goes, not only its repeated lines.
+COPIED = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an equal or nearly equal line precedes go; documents left without a word go."""
-    return linedup.cleaned(docs)
+    """Lines that an equal or nearly equal line precedes go; documents that consist of such lines by four fifths go as a whole, so
+    that no near copy stays as a fragment of the lines in which it differs."""
+    return linedup.cleaned(docs, COPIED)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

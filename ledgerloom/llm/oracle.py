@@ -92,20 +92,23 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 OP7 = """
-WITH every AS (SELECT coalesce(doc_id, 9223372036854775807) AS doc, unnest(string_split(text, chr(10))) AS raw,
+WITH RECURSIVE every AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc, no, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM every),
-cls AS (SELECT line, min({'doc': doc, 'no': no}) AS first FROM lines WHERE length(line) >= 20 GROUP BY line),
+lines AS (SELECT * FROM (SELECT {'nil': doc_id IS NULL, 'doc': doc_id, 'no': no} AS place, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM every) WHERE line <> ''),
+cls AS (SELECT line, min(place) AS first FROM lines GROUP BY line),
+long AS (SELECT * FROM cls WHERE length(line) >= 20),
 gone AS (SELECT line, first, i, left(line, i - 1) || substr(line, i + 1) AS v
-    FROM (SELECT line, first, unnest(generate_series(1, length(line))) AS i FROM cls)),
+    FROM (SELECT line, first, unnest(generate_series(1, length(line))) AS i FROM long)),
 pairs AS (
-    SELECT a.line, b.first FROM gone a JOIN gone b ON a.i = b.i AND a.v = b.v AND a.line <> b.line
-    UNION ALL SELECT a.line, b.first FROM gone a JOIN cls b ON a.v = b.line
-    UNION ALL SELECT b.line, a.first FROM gone a JOIN cls b ON a.v = b.line),
-near AS (SELECT p.line, min(p.first) AS kept FROM pairs p JOIN cls c ON c.line = p.line WHERE p.first < c.first GROUP BY p.line)
-SELECT l.doc AS doc_id, l.no::BIGINT AS line_no, coalesce(n.kept, c.first).doc AS kept_doc_id, coalesce(n.kept, c.first).no::BIGINT AS kept_line_no, n.kept IS NOT NULL AS near
-FROM lines l JOIN cls c USING (line) LEFT JOIN near n USING (line)
-WHERE n.kept IS NOT NULL OR l.doc <> c.first.doc OR l.no <> c.first.no
+    SELECT a.line, b.line AS other, b.first FROM gone a JOIN gone b ON a.i = b.i AND a.v = b.v AND a.line <> b.line
+    UNION ALL SELECT a.line, b.line, b.first FROM gone a JOIN long b ON a.v = b.line
+    UNION ALL SELECT b.line, a.line, a.first FROM gone a JOIN long b ON a.v = b.line),
+near AS (SELECT p.line, min({'first': p.first, 'line': p.other}) AS o FROM pairs p JOIN cls c ON c.line = p.line WHERE p.first < c.first GROUP BY p.line),
+chain AS (SELECT line, o FROM near UNION ALL SELECT c.line, n.o FROM chain c JOIN near n ON n.line = c.o.line),
+ends AS (SELECT c.line, c.o.first AS kept FROM chain c ANTI JOIN near n ON n.line = c.o.line)
+SELECT l.place.doc AS doc_id, l.place.no::BIGINT AS line_no, coalesce(n.kept, c.first).doc AS kept_doc_id, coalesce(n.kept, c.first).no::BIGINT AS kept_line_no, n.kept IS NOT NULL AS near
+FROM lines l JOIN cls c USING (line) LEFT JOIN ends n USING (line)
+WHERE n.kept IS NOT NULL OR l.place <> c.first
 """
 
 OP11 = """

@@ -54,26 +54,33 @@ def removed_lines(docs):
     for doc in sorted(docs):
         for no, raw in enumerate((docs[doc] or "").split("\n")) if docs[doc] is not None else ():
             line = raw.strip(" \t\x0b\x0c\r")
-            if len(line) >= 20:
+            if line:
                 every.append((doc, no, line))
                 first.setdefault(line, (doc, no))
     near = {}
     for a, at in first.items():
-        earlier = [o for b, o in first.items() if o < at and a != b and within_one(a, b)]
+        earlier = [(o, b) for b, o in first.items() if len(a) >= 20 and len(b) >= 20 and o < at and a != b and within_one(a, b)]
         if earlier:
-            near[a] = min(earlier)
-    return {(d, n): near.get(x, first[x]) for d, n, x in every if x in near or first[x] != (d, n)}
+            near[a] = min(earlier)[1]
 
+    def stays(line):
+        while line in near:
+            line = near[line]
+        return first[line]
 
-def line_cleaned(docs):
+    return {(d, n): stays(x) for d, n, x in every if x in near or first[x] != (d, n)}
+
+
+def line_cleaned(docs, copied=1.0):
     gone = removed_lines(docs)
+    size = lambda t: sum(map(len, WORD.findall(t)))
     out = {}
     for doc, text in docs.items():
         if text is None or not any((doc, i) in gone for i in range(text.count("\n") + 1)):
             out[doc] = text
             continue
         kept = "\n".join(x for i, x in enumerate(text.split("\n")) if (doc, i) not in gone)
-        if WORD.search(kept):
+        if WORD.search(kept) and size(kept) > round(size(text) * (1 - copied), 6):
             out[doc] = kept
     return out
 

@@ -52,3 +52,22 @@ def test_rows_without_id_and_texts_under_one_id_lose_their_own_lines_only(spark)
     # Of two equal lines in different rows one goes; of two equal rows one row goes.
     one_of = [sorted(["rest one", b, e, *pair]) for pair in ((f"{c}\nrest two", "rest three"), ("rest two", f"{c}\nrest three"))]
     assert unnamed in one_of
+
+
+def test_short_lines_chains_and_wordless_lines(spark):
+    """Equal lines go at any length; of a chain of edits the line that stays is named."""
+    base = "a chain of lines that differ a little"
+    docs = {1: f"menu home\n \t\n{base}", 2: f"menu home\n{base}x\n\n", 3: f"menu homes\n{base}xy", 4: f"x\n{base}xyz", 5: "x\nmenu homes", 2**63 - 1: "x"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc, r.no): (r.kept_doc, r.kept_no) for r in linedup.removed(df).collect()}
+    assert got == brute.removed_lines(docs) and got[4, 1] == (1, 2) and got[2, 0] == (1, 0) and (3, 0) not in got and got[5, 0] == (4, 0)
+    with_null = linedup.removed(df.unionByName(spark.createDataFrame([(None, "x\nalone")], df.schema))).where("doc IS NULL").collect()
+    assert [(r.doc, r.no, r.kept_doc) for r in with_null] == [(None, 0, 4)]
+
+
+def test_copies_go_as_a_whole(spark):
+    docs = {i: f"{'first line of a longer text ' * 3}\n{'second line of it ' * 4}\nand the end {i}" for i in range(3)} | {9: "quite new"}
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in docs.items()], "doc_id long, text string, doc int, row int, gone int, kept_text int")
+    for copied, left in ((0.8, [0, 9]), (1.0, [0, 1, 2, 9])):
+        rows = linedup.cleaned(df, copied)
+        assert rows.columns == df.columns and {r.doc_id: r.text for r in rows.collect()} == brute.line_cleaned(docs, copied) and sorted(r.doc_id for r in rows.collect()) == left

@@ -46,7 +46,7 @@ def test_pipeline_against_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = {d: q["clean"] for d, q in ((d, brute.quality(t)) for d, t in texts.items()) if q["kept"]}
-    steps = [want := want, want := brute.line_cleaned(want)]
+    steps = [want := want, want := brute.line_cleaned(want, corpus_pipeline.COPIED)]
     want = {d: want[d] for d, (_, c) in brute.components(want, corpus_pipeline.SHINGLE).items() if c == d}
     at = docs
     for (name, stage), expected in zip(corpus_pipeline.STAGES[:3], (*steps, want), strict=True):
