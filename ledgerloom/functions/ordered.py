@@ -95,13 +95,14 @@ def running_total(
     base = df.withColumn("_block", block_of(position, block))
     totals = base.groupBy(key, "_block").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in values.items()])
     offsets = totals.select(
-        key, "_block", *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values]
-    ).filter(F.col("_block") > 0)
+        F.col(key).alias("_key"), F.col("_block").alias("_at"), *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values]
+    ).filter(F.col("_at") > 0)
     out = base.select("*", *[F.sum(e).over(local).alias(n) for n, e in values.items()])
-    out = out.join(offsets, [key, "_block"], "left")
+    # Null-safe, so rows without a key are one key whatever the size of a block.
+    out = out.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")), "left")
     for n in values:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    return out.drop("_block", *[f"_o_{n}" for n in values])
+    return out.drop("_block", "_key", "_at", *[f"_o_{n}" for n in values])
 
 
 def prefix_scan(

@@ -129,10 +129,12 @@ def page_anomalies(documents: DataFrame, words: DataFrame) -> DataFrame:
     return missing.unionByName(surplus).unionByName(repeated)
 
 
-def aborted(totals: DataFrame | None = None, anomalies: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+def aborted(totals: DataFrame | None = None, anomalies: DataFrame | None = None, rejected: DataFrame | None = None,
+            damage: DataFrame | None = None) -> DataFrame:
     """Documents the audit rejects outright, with a reason: input of ``guard.document_results``.
 
-    ``rejected``: words that extraction leaves out (``guard.rejected_words``); their documents fail."""
+    ``rejected``: words that extraction leaves out (``guard.rejected_words``); their documents fail. ``damage``: records and
+    files that could not be read (``tables.read_words_checked``), placed by ``tables.damaged_documents``."""
     found = []
     if totals is not None:
         found.append(
@@ -147,9 +149,11 @@ def aborted(totals: DataFrame | None = None, anomalies: DataFrame | None = None,
     if rejected is not None:
         found.append(
             rejected.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-                F.format_string("%d malformed words", F.count(F.lit(1))).alias("abort_reason")
+                F.format_string(S.ABORT_WORDS, F.count(F.lit(1))).alias("abort_reason")
             )
         )
+    if damage is not None:
+        found.append(damage.select("doc_id", "abort_reason"))
     return reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.max("abort_reason").alias("abort_reason"))
 
 

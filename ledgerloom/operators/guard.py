@@ -108,7 +108,8 @@ def document_results(documents: DataFrame, words: DataFrame, page_rows: DataFram
     """Exactly one result row per document, however long it is.
 
     ``documents``: doc_id, n_pages. ``page_rows``: all rows of all pages with ``has_table`` and
-    ``is_txn``. ``aborts``: optional doc_id, abort_reason of documents rejected by the audit.
+    ``is_txn``. ``aborts``: optional doc_id, abort_reason of documents rejected by the audit. Documents that lost
+    malformed words fail whatever the audit says: their ledger may lack rows.
     ``warnings`` holds those of the document; those of its pages are counted in ``n_warnings``
     and listed by :func:`page_warnings`.
     """
@@ -121,7 +122,8 @@ def document_results(documents: DataFrame, words: DataFrame, page_rows: DataFram
     # A first page without any word is both short and without headers.
     short, no_header = F.coalesce("short", F.lit(True)), F.coalesce("no_header", F.lit(True))
     empty = F.col("n_pages") <= 0
-    abort = F.when(empty, F.lit(S.ABORT_INTEGRITY))
+    out = out.join(damaged(words).withColumnRenamed("abort_reason", "_damage"), "doc_id", "left")
+    abort = F.coalesce(F.when(empty, F.lit(S.ABORT_INTEGRITY)), F.col("_damage"))
     if aborts is not None:
         out = out.join(aborts.withColumnRenamed("abort_reason", "_abort"), "doc_id", "left")
         abort = F.coalesce(abort, F.col("_abort"))
@@ -152,6 +154,12 @@ def rejected_words(words: DataFrame) -> DataFrame:
     return words.withColumn("reason", malformed(words)).filter(F.col("reason").isNotNull())
 
 
+def damaged(words: DataFrame) -> DataFrame:
+    """doc_id, abort_reason of documents that lose malformed words."""
+    lost = rejected_words(words).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    return lost.select("doc_id", F.format_string(S.ABORT_WORDS, F.col("_n")).alias("abort_reason"))
+
+
 def text_entropy(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shannon entropy of the characters of each document, in bits; 0 without characters.
 

@@ -196,8 +196,21 @@ def doc_guard(spark, d):
     )
 
 
+def _spoilt(words: DataFrame) -> DataFrame:
+    """Some words of some documents without a position, a page, a text or a document."""
+    k, at = F.col("doc_id") % 37, F.col("ord")
+    return words.withColumns({
+        "y0": F.when((k == 1) & (at == 3), F.lit(float("nan"))).otherwise(F.col("y0")),
+        "page": F.when((k == 2) & (at == 4), F.lit(None)).otherwise(F.col("page")),
+        "text": F.when((k == 3) & (at == 5), F.lit(None)).otherwise(F.col("text")),
+        "doc_id": F.when((k == 4) & (at == 2), F.lit(None)).otherwise(F.col("doc_id")),
+    })
+
+
 def doc_results(spark, d):
-    return _show_results(_results(spark, d))
+    """Results of statements some of which lost words."""
+    words = _spoilt(R.words(spark, d))
+    return _show_results(statement.document_results(R.documents(spark, d), words, sizes=R.word_counts(spark, d)))
 
 
 def aborted_results(spark, d):
@@ -213,16 +226,11 @@ def page_warnings(spark, d):
 
 
 def rejected_words(spark, d):
-    """Words spoilt by key are left out of every extraction and fail their documents."""
-    words = R.words(spark, d)
-    k = F.col("doc_id") % 37
-    spoilt = words.withColumns({
-        "y0": F.when((k == 1) & (F.col("ord") == 3), F.lit(float("nan"))).otherwise(F.col("y0")),
-        "page": F.when((k == 2) & (F.col("ord") == 4), F.lit(None)).otherwise(F.col("page")),
-    })
+    """Words spoilt by key are left out of every extraction and fail their documents; words without a document fail none."""
+    spoilt = _spoilt(R.words(spark, d))
     bad = guard.rejected_words(spoilt).groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n_words"))
     failed = audit.aborted(rejected=guard.rejected_words(spoilt)).select("doc_id", "abort_reason")
-    return bad.join(failed, "doc_id").select("doc_id", "reason", "n_words", "abort_reason")
+    return bad.join(failed, "doc_id", "left").select("doc_id", "reason", "n_words", "abort_reason")
 
 
 def route(spark, d):

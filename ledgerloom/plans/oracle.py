@@ -339,12 +339,22 @@ ORACLE: dict[str, str] = {
           FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
         SELECT doc_id, TRUE AS success, round(CAST(CASE WHEN short THEN 0.5 ELSE 1.0 END AS DOUBLE)
           * CAST(CASE WHEN no_header THEN 0.7 ELSE 1.0 END AS DOUBLE), 6) AS confidence, {_TEXT_WARNINGS} AS warnings FROM flags""",
-    "doc_results": _with(RESULTS, f"SELECT doc_id, success, confidence, {_OWN} AS warnings, {_N_WARNINGS} AS n_warnings, abort_reason, transaction_count FROM results"),
+    "doc_results": _with(RESULTS + """,
+        lost AS (SELECT doc_id, count(*) AS k FROM shown WHERE slot = 0 AND doc_id % 37 BETWEEN 1 AND 3 GROUP BY 1)""", f"""
+        SELECT r.doc_id, success AND k IS NULL AS success, CASE WHEN k IS NULL THEN confidence ELSE 0.0 END AS confidence, {_OWN} AS warnings,
+        {_N_WARNINGS} AS n_warnings, coalesce(abort_reason, k || ' malformed words') AS abort_reason,
+        CASE WHEN k IS NULL THEN transaction_count ELSE 0 END AS transaction_count
+        FROM (SELECT * REPLACE (CASE WHEN doc_id % 37 = 4 AND n_pages > 0 AND doc_id % 11 = 0 AND doc_id % 7 <> 0
+                THEN replace(warnings, 'Could not find', 'Expected headers not found; Could not find')
+                WHEN doc_id % 37 = 4 AND n_pages > 0 AND doc_id % 7 <> 0 THEN 'Expected headers not found; ' || warnings ELSE warnings END AS warnings,
+              CASE WHEN doc_id % 37 = 4 AND n_pages > 0 AND doc_id % 7 <> 0 THEN round(confidence * 0.7, 6) ELSE confidence END AS confidence) FROM results) r
+        LEFT JOIN lost ON lost.doc_id = r.doc_id"""),
     "page_warnings": _with(RESULTS, """SELECT doc_id, CAST(regexp_extract(m, '[0-9]+$') AS BIGINT) AS page, m AS message
         FROM (SELECT doc_id, unnest(string_split(warnings, '; ')) AS m FROM results) WHERE contains(m, ' on page ')"""),
-    "rejected_words": _with(WORDS, """SELECT doc_id, CASE WHEN doc_id % 37 = 1 THEN 'no position' ELSE 'no page' END AS reason,
-        count(*) AS n_words, count(*) || ' malformed words' AS abort_reason
-        FROM words WHERE (doc_id % 37 = 1 AND ord = 3) OR (doc_id % 37 = 2 AND ord = 4) GROUP BY ALL"""),
+    "rejected_words": _with(WORDS, """SELECT CASE WHEN doc_id % 37 < 4 THEN doc_id END AS doc_id,
+        CASE doc_id % 37 WHEN 1 THEN 'no position' WHEN 2 THEN 'no page' WHEN 3 THEN 'no text' ELSE 'no document' END AS reason,
+        count(*) AS n_words, CASE WHEN min(doc_id % 37) < 4 THEN count(*) || ' malformed words' END AS abort_reason
+        FROM words WHERE (doc_id % 37 BETWEEN 1 AND 3 AND ord = doc_id % 37 + 2) OR (doc_id % 37 = 4 AND ord = 2) GROUP BY 1, 2"""),
     "aborted_results": _with(RESULTS + """,
         bad AS (SELECT doc_id FROM shown WHERE doc_id % 26 = 0 GROUP BY doc_id HAVING count(DISTINCT page) > 1)""",
         f"""SELECT r.doc_id, success AND bad.doc_id IS NULL AS success,

@@ -35,6 +35,9 @@ WARN_NO_TEXT = "No text found on page %d"
 WARN_NO_TABLE = "Could not find transaction table on page %d"
 ABORT_INTEGRITY = "Document integrity check failed"
 ABORT_PAGE = "Failed to extract transactions from page %d"
+ABORT_WORDS = "%d malformed words"
+ABORT_RECORDS = "%d unreadable records"
+ABORT_FILE = "unreadable file"
 LINE_TOLERANCE = 3.0
 CLUSTER_GAP = 50.0
 BOUND_MARGIN = 10.0

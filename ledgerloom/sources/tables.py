@@ -17,6 +17,49 @@ def read_words(spark: SparkSession, path: str, fmt: str = "parquet", doc_type: T
     return spark.read.schema(S.words_schema(doc_type)).options(**options).format(fmt).load(path)
 
 
+def read_words_checked(spark: SparkSession, path: str, fmt: str = "json", doc_type: T.DataType | None = None,
+                       **options) -> tuple[DataFrame, DataFrame]:
+    """(words, damage) of a folder of word files, json, csv or parquet; nothing unreadable is dropped without a trace.
+
+    ``damage``: file, doc_id, reason. A record that cannot be read is one row, with its document where the record still names it; a
+    file from which no record could be read is one row without a document. A file that breaks off in its middle gives
+    the records before that place (parquet: whole row groups)."""
+    schema = S.words_schema(doc_type)
+    plain = fmt not in ("json", "csv")
+    shape = schema if plain else T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    reader = spark.read.schema(shape).option("ignoreCorruptFiles", True).options(**options)
+    if not plain:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    rows = reader.format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    broken = F.lit(False) if plain else F.col("_broken").isNotNull()
+    words = rows.filter(~broken).select(*schema.names)
+    kind = schema["doc_id"].dataType
+    told = rows.select("_file", *([] if plain else ["doc_id", "_broken"]))
+    of_records = told.limit(0).select("_file", F.lit(None).cast(kind).alias("doc_id"), F.lit("").alias("reason"))
+    if not plain:
+        named = F.when(F.lit(fmt == "json"), F.nullif(F.regexp_extract("_broken", r'"doc_id"\s*:\s*"?([^",}]+)', 1), F.lit("")))
+        of_records = told.filter("_broken IS NOT NULL").select("_file", F.coalesce("doc_id", named.try_cast(kind)).alias("doc_id"), F.lit("unreadable record").alias("reason"))
+    # Paths and sizes only: the content column is not asked for, so no file is opened for the list.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("_file"))
+    read = told.select(F.regexp_replace("_file", "^file:/+", "/").alias("_seen")).distinct()
+    silent = listed.join(read, F.regexp_replace("_file", "^file:/+", "/") == F.col("_seen"), "left_anti")
+    of_files = silent.select("_file", F.lit(None).cast(kind).alias("doc_id"), F.lit(S.ABORT_FILE).alias("reason"))
+    return words, of_records.unionByName(of_files).withColumnRenamed("_file", "file")
+
+
+def damaged_documents(damage: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """doc_id, abort_reason of documents that damage touches. ``files``: doc_id, file (name) of documents, where it is known
+    which file holds which; a damaged file fails all of them, as does a broken record that names no document."""
+    own = damage.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.format_string(S.ABORT_RECORDS, F.count(F.lit(1))).alias("abort_reason"))
+    if files is None:
+        return own
+    name = F.element_at(F.split("file", "/"), -1)
+    whole = damage.filter(F.col("doc_id").isNull()).groupBy(name.alias("file")).agg(F.max(F.col("reason") == S.ABORT_FILE).alias("_all"), F.count(F.lit(1)).alias("_n"))
+    reason = F.when(F.col("_all"), S.ABORT_FILE).otherwise(F.format_string(S.ABORT_RECORDS, F.col("_n")))
+    of_files = files.select("doc_id", "file").join(whole, "file").select("doc_id", reason.alias("abort_reason"))
+    return own.unionByName(of_files).groupBy("doc_id").agg(F.max("abort_reason").alias("abort_reason"))
+
+
 def pages_of(words: DataFrame) -> DataFrame:
     """Every (document, page) that has words."""
     return words.select("doc_id", "page").distinct()

@@ -117,3 +117,11 @@ def test_prefix_scan_depths(spark):
     values = {"s": F.col("v"), "n": F.lit(1).cast("bigint")}
     for levels in (["day", "b", "num", "id"],):
         same(plain, prefix_scan(df, "k", levels, values))
+
+
+def test_running_totals_of_rows_without_a_key(spark):
+    """A null key is one key whatever the block size."""
+    rows = spark.createDataFrame([(k, i, 1) for k in (None, "a") for i in range(1, 7)], "k string, i long, v int")
+    for block in (1, 2, 4, 100):
+        got = ordered.running_total(rows, "k", "i", {"t": F.col("v")}, block)
+        assert sorted((r.k or "", r.i, r.t) for r in got.collect()) == sorted((k or "", i, i) for k in (None, "a") for i in range(1, 7))

@@ -82,3 +82,36 @@ def test_words_reader_checks_and_prunes(spark, sf, make_words):
     assert tables.pages_of(words).collect() == [("a", 1)]
     with pytest.raises(S.SchemaMismatch):
         statement.transactions(words.drop("text"), sizes=words.groupBy("doc_id").count().withColumnRenamed("count", "n"))
+
+
+def test_unreadable_records_and_files_fail_their_documents(spark, tmp_path, make_words):
+    from ledgerloom.operators import audit, guard
+    from ledgerloom.plans import statement
+
+    folder = tmp_path / "words"
+    folder.mkdir()
+    good = make_words({(d, 1): [(45.4, 100, "Account Summary of a good document with more than fifty characters")] for d in ("a", "b", "c")})
+    lines = {r.doc_id: r.asDict() for r in good.collect()}
+    import json
+
+    (folder / "one.json").write_text(json.dumps(lines["a"]) + "\n" + json.dumps(lines["b"]) + "\n" + '{"doc_id": "b", "page": 1, "ord": [broken\n')
+    (folder / "two.json").write_text("{{{{ nothing of it\n")
+    words, damage = tables.read_words_checked(spark, str(folder))
+    assert sorted(r.doc_id for r in words.collect()) == ["a", "b"]
+    told = sorted((r.file.split("/")[-1], r.doc_id or "", r.reason) for r in damage.collect())
+    assert told == [("one.json", "b", "unreadable record"), ("two.json", "", "unreadable record")]
+    files = spark.createDataFrame([("c", "two.json"), ("a", "one.json"), ("b", "one.json")], "doc_id string, file string")
+    aborts = audit.aborted(damage=tables.damaged_documents(damage, files))
+    documents = spark.createDataFrame([(d, 1) for d in "abc"], "doc_id string, n_pages int")
+    got = {r.doc_id: (r.success, r.abort_reason) for r in statement.document_results(documents, words, aborts).collect()}
+    assert got == {"a": (True, None), "b": (False, "1 unreadable records"), "c": (False, "1 unreadable records")}
+
+    stored_ = tmp_path / "parquet"
+    good.filter("doc_id = 'a'").coalesce(1).write.parquet(str(stored_))
+    (stored_ / "part-torn.parquet").write_bytes(b"PAR1 and then nothing")
+    words, damage = tables.read_words_checked(spark, str(stored_), "parquet")
+    assert words.count() == 1
+    assert [(r.file.split("/")[-1], r.doc_id, r.reason) for r in damage.collect()] == [("part-torn.parquet", None, "unreadable file")]
+    torn = tables.damaged_documents(damage, spark.createDataFrame([("z", "part-torn.parquet")], "doc_id string, file string"))
+    assert [tuple(r) for r in torn.collect()] == [("z", "unreadable file")]
+    assert guard.damaged(words).count() == 0
