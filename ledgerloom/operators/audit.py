@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import schemas as S
 from ..functions import tokens as K
@@ -194,12 +195,13 @@ def _readable(types: dict[str, str]):
     return F.coalesce(out, F.lit(False))
 
 
-def _latest(corrections: DataFrame, types: dict[str, str]) -> DataFrame:
-    """The readable entry of highest version of each field; of equal versions the greatest value, null before all."""
+def _latest(corrections: DataFrame, types: dict[str, str], *more: str) -> DataFrame:
+    """The readable entry of highest version of each field, per row and ``more``; of equal versions the greatest value, null
+    before all."""
     entry = F.struct("version", "value")
     pick = lambda f: F.max(F.when(F.col("field") == f, entry))
     usable = corrections.filter(_readable(types))
-    return usable.groupBy("doc_id", "txn_seq").agg(*[pick(f).alias(f"_new_{f}") for f in CORRECTABLE])
+    return usable.groupBy("doc_id", "txn_seq", *more).agg(*[pick(f).alias(f"_new_{f}") for f in CORRECTABLE])
 
 
 def correction_history(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -220,10 +222,6 @@ def correction_history(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.select("doc_id", "txn_seq", "field", "value", "version", outcome.alias("outcome"))
 
 
-def _corrected(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
-    return ledger.join(_latest(corrections, dict(ledger.dtypes)), ["doc_id", "txn_seq"], "left")
-
-
 def apply_corrections(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     """Reviewer values override extracted ones; the highest readable version of a field counts. An unreadable
     value changes nothing: :func:`correction_history` lists it as rejected.
@@ -231,7 +229,10 @@ def apply_corrections(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     ``corrections``: doc_id, txn_seq, field, value (text, null to clear), version.
     """
     types = dict(ledger.dtypes)
-    out = _corrected(ledger, corrections)
+    return _overridden(ledger.join(_latest(corrections, types), ["doc_id", "txn_seq"], "left"), types)
+
+
+def _overridden(out: DataFrame, types: dict[str, str]) -> DataFrame:
     new = {
         f: F.when(F.col(f"_new_{f}").isNotNull(), F.col(f"_new_{f}.value").try_cast(types[f])).otherwise(F.col(f))
         for f in CORRECTABLE
@@ -240,6 +241,36 @@ def apply_corrections(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.withColumn("txn_date", K.parse_date("date_raw")) if "txn_date" in types else out
 
 
+def ledger_as_of(ledger: DataFrame, corrections: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ledger as it stood at earlier correction versions, with ``as_of``.
+
+    ``asked``: doc_id, as_of; a document may be asked for at several versions, documents not asked for give no rows. Entries
+    meet the versions asked for on their document; those that came later are left out before the newest of each field is
+    taken, so versions are never joined by inequality."""
+    types = dict(ledger.dtypes)
+    points = asked.select("doc_id", "as_of").distinct()
+    known = corrections.join(points, "doc_id").filter(F.col("version") <= F.col("as_of"))
+    latest = _latest(known, types, "as_of")
+    return _overridden(ledger.join(points, "doc_id").join(latest, ["doc_id", "txn_seq", "as_of"], "left"), types)
+
+
+def correction_intervals(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
+    """doc_id, txn_seq, field, value, from_version, to_version: while which versions each value of a corrected field held. The
+    extracted value holds from null, the last one to null; entries that nobody can read never held."""
+    types = dict(ledger.dtypes)
+    entries = corrections.filter(_readable(types)).groupBy("doc_id", "txn_seq", "field", "version").agg(F.max(F.struct("value"))["value"].alias("value"))
+    first = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in CORRECTABLE])
+    rows = ledger.join(entries.select("doc_id", "txn_seq").distinct(), ["doc_id", "txn_seq"], "left_semi")
+    original = rows.select("doc_id", "txn_seq", F.explode(first).alias("c")).select("doc_id", "txn_seq", "c.*").join(
+        entries.select("doc_id", "txn_seq", "field").distinct(), ["doc_id", "txn_seq", "field"], "left_semi"
+    )
+    every = original.withColumn("version", F.lit(None).cast(entries.schema["version"].dataType)).unionByName(
+        entries.join(rows.select("doc_id", "txn_seq"), ["doc_id", "txn_seq"], "left_semi")
+    )
+    by = W.partitionBy("doc_id", "txn_seq", "field").orderBy(F.col("version").asc_nulls_first())
+    return every.select("doc_id", "txn_seq", "field", "value", F.col("version").alias("from_version"), F.lead("version").over(by).alias("to_version"))
+
+
 def correction_audit(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     """One row per field whose value the corrections changed."""
     types = dict(ledger.dtypes)

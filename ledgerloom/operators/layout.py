@@ -171,6 +171,13 @@ def profile_from_bounds(bounds: DataFrame) -> DataFrame:
     return bounds.filter(F.col("n_clusters") >= 3).select("doc_id", "withdrawal_x", "deposit_x", "balance_x")
 
 
+def single_amount_profile(bounds: DataFrame) -> DataFrame:
+    """Column profile of documents with one amount column and a balance: all amounts are read into the first side, and
+    ``ledger.infer_sides`` places them."""
+    two = bounds.filter(F.col("n_clusters") == 2)
+    return two.select("doc_id", F.col("amount_x").alias("withdrawal_x"), F.col("balance_x").alias("deposit_x"), "balance_x")
+
+
 def inspect_area(words: DataFrame, page: int = 2, y_range: tuple[float, float] = (240.0, 350.0)) -> DataFrame:
     """Lines of one area of one page, for every document. Both limits belong to the area."""
     lo, hi = y_range

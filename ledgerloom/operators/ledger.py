@@ -180,3 +180,24 @@ def drop_repeats(ledger: DataFrame, keys=DUPLICATE_KEY) -> DataFrame:
     rest = [c for c in ledger.columns if c not in keys]
     kept = ledger.groupBy(*keys).agg(F.min_by(F.struct(*rest), "txn_seq").alias("_r"))
     return kept.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in ledger.columns])
+
+
+def infer_sides(ledger: DataFrame, single: DataFrame, withdrawal_words=S.WITHDRAWAL_KEYWORDS, deposit_words=S.DEPOSIT_KEYWORDS) -> DataFrame:
+    """Sides of amounts in documents whose layout has one amount column for both, ``single`` (doc_id); others stay as they are.
+
+    Words of the description decide first, then the step from the balance before: a falling one is a withdrawal. ``side_source`` tells
+    which (keyword, balance or none). An amount that neither decides is on no side and stands in ``unplaced``; a zero is on none."""
+    marks = single.select("doc_id").distinct().withColumn("_single", F.lit(True))
+    rows = with_previous(ledger.join(marks, "doc_id", "left"), "doc_id", "txn_seq", {"_before": "balance"})
+    upper, step, amount = F.upper("description"), F.col("balance") - F.col("_before"), F.coalesce("withdrawal", "deposit")
+    is_out = F.coalesce(K.contains_any(upper, withdrawal_words), F.lit(False))
+    is_in = ~is_out & F.coalesce(K.contains_any(upper, deposit_words), F.lit(False))
+    out = F.when(is_out, True).when(is_in, False).when(step < 0, True).when(step > 0, False)
+    source = F.when(is_out | is_in, "keyword").when(step != 0, "balance").otherwise("none")
+    single_, there = F.coalesce("_single", F.lit(False)), K.present(amount)
+    return rows.withColumns({
+        "withdrawal": F.when(single_, F.when(there & out, amount)).otherwise(F.col("withdrawal")),
+        "deposit": F.when(single_, F.when(there & ~out, amount)).otherwise(F.col("deposit")),
+        "unplaced": F.when(single_ & there & out.isNull(), amount),
+        "side_source": F.when(single_ & there, source),
+    }).drop("_single", "_before")

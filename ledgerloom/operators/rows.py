@@ -57,9 +57,11 @@ def segment(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
     return marked.withColumn("row_in_page", F.when(F.col("in_table"), opened).otherwise(F.lit(0)))
 
 
-def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spread: bool = False) -> DataFrame:
+def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spread: bool = False, keep_pages: bool = False) -> DataFrame:
     """Like :func:`segment`, but lines before the first date of a page belong to the row that is
-    still open from an earlier page (``page`` becomes the page where the row was opened)."""
+    still open from an earlier page (``page`` becomes the page where the row was opened).
+
+    ``keep_pages``: a line that moves leaves an empty one outside all rows, so that its page is still there to be reported on."""
     lines = segment(lines, end_markers)
     opened = F.when(F.col("row_in_page") > 0, F.struct("page", F.col("row_in_page").alias("row")))
     if spread:
@@ -68,13 +70,16 @@ def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spre
         before = W.partitionBy("doc_id").orderBy("page", "line_y").rowsBetween(W.unboundedPreceding, -1)
         lines = lines.withColumn("_open", F.last(opened, ignorenulls=True).over(before))
     moves = F.col("in_table") & (F.col("row_in_page") == 0) & F.col("_open").isNotNull()
+    place = lambda page, row, left: F.struct(page.alias("page"), row.cast("bigint").alias("row"), F.lit(left).alias("left"))
+    stays = place(F.col("page"), F.col("row_in_page"), False)
+    goes = [place(F.col("_open.page"), F.col("_open.row"), False), *([place(F.col("page"), F.lit(0), True)] if keep_pages else [])]
+    lines = lines.withColumn("_place", F.explode(F.when(moves, F.array(*goes)).otherwise(F.array(stays))))
+    full = ~F.col("_place.left")
     # line_y orders lines inside a row, so the source page must come first.
     return lines.select(
-        "doc_id",
-        F.when(moves, F.col("_open.page")).otherwise(F.col("page")).alias("page"),
-        F.col("page").alias("source_page"),
-        "line_y", "words", "line_text", "has_table", "in_table", "opens",
-        F.when(moves, F.col("_open.row")).otherwise(F.col("row_in_page")).alias("row_in_page"),
+        "doc_id", F.col("_place.page").alias("page"), F.col("page").alias("source_page"), "line_y",
+        F.filter("words", lambda w: full).alias("words"), F.when(full, F.col("line_text")).otherwise("").alias("line_text"),
+        "has_table", "in_table", "opens", F.col("_place.row").alias("row_in_page"),
     )
 
 

@@ -357,6 +357,18 @@ def ledger_stats(spark, d):
     return out.select("doc_id", *counts, *_money(*[c for c in out.columns if c not in ("doc_id", *counts)]))
 
 
+def inferred_sides(spark, d):
+    """Every second document as one that prints withdrawals and deposits in one column."""
+    one = F.col("doc_id") % 2 == 0
+    printed = R.ledger(spark, d).withColumns({
+        "withdrawal": F.when(one, F.coalesce("withdrawal", "deposit")).otherwise(F.col("withdrawal")),
+        "deposit": F.when(~one, F.col("deposit")),
+    })
+    return L.infer_sides(printed, printed.filter(one)).select(
+        "doc_id", "txn_seq", *_money("withdrawal", "deposit", "unplaced"), "side_source"
+    )
+
+
 def daily_summary(spark, d):
     return L.daily_summary(R.ledger(spark, d)).select(
         F.col("txn_date").cast("string").alias("txn_date"), *_money("withdrawal", "deposit")
@@ -511,6 +523,22 @@ def correction_history(spark, d):
     )
 
 
+def ledger_as_of(spark, d):
+    """Every ledger as extracted and as of the first and second version of its corrections."""
+    ledger = R.ledger(spark, d)
+    asked = ledger.select("doc_id", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("as_of")).distinct()
+    return audit.ledger_as_of(ledger, _corrections(ledger), asked).select(
+        "doc_id", "txn_seq", *_long("as_of"), "description", *_money("withdrawal", "deposit", "balance")
+    )
+
+
+def correction_intervals(spark, d):
+    ledger = R.ledger(spark, d)
+    return audit.correction_intervals(ledger, _corrections(ledger)).select(
+        "doc_id", "txn_seq", "field", "value", *_long("from_version", "to_version")
+    )
+
+
 # --- sources, sinks, streaming --------------------------------------------
 def result_json(spark, d):
     path = new_path(spark, "results")
@@ -556,6 +584,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         daily_summary, column_profile, balance_continuity, discrepancies, running_balance, filtered_checks, date_order,
         duplicates, first_occurrences, golden_compare, closing_check, field_rules, currencies,
         conflicting_totals, page_anomalies, decisions, corrections, correction_audit, correction_history, result_json,
-        export_formats, stream_intake,
+        export_formats, stream_intake, inferred_sides, ledger_as_of, correction_intervals,
     )
 }

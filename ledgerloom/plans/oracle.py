@@ -511,6 +511,26 @@ ORACLE: dict[str, str] = {
         CASE WHEN okey % 19 = 0 THEN 'orphaned' WHEN e.n IN (123, 53) THEN 'rejected'
              WHEN e.n = 41 AND okey % 82 = 0 THEN 'superseded' ELSE 'applied' END AS outcome
         FROM every WHERE okey % e.n = 0"""),
+    "ledger_as_of": _with(LEDGER, f"""SELECT doc_id, txn_seq, v AS as_of, CASE WHEN v >= 1 AND okey % 43 = 0 THEN 'CORRECTED' ELSE description END AS description,
+        {_money("CASE WHEN v >= 2 AND okey % 82 = 0 THEN 5678 WHEN v >= 1 AND okey % 41 = 0 THEN 1234 ELSE w END")} AS withdrawal, {_money('d')} AS deposit,
+        {_money("CASE WHEN v >= 1 AND okey % 47 = 0 THEN NULL ELSE b END")} AS balance FROM led, range(3) AS r(v)"""),
+    "correction_intervals": _with(LEDGER + f""",
+        entries AS (SELECT doc_id, txn_seq, unnest(list_concat(
+            CASE WHEN okey % 41 = 0 THEN [{{'f': 'withdrawal', 'x': {_plain('w')}, 'a': NULL, 'b': 1}}] ELSE [] END,
+            CASE WHEN okey % 41 = 0 THEN [{{'f': 'withdrawal', 'x': '12.34', 'a': 1, 'b': CASE WHEN okey % 82 = 0 THEN 2 END}}] ELSE [] END,
+            CASE WHEN okey % 82 = 0 THEN [{{'f': 'withdrawal', 'x': '56.78', 'a': 2, 'b': NULL}}] ELSE [] END,
+            CASE WHEN okey % 43 = 0 THEN [{{'f': 'description', 'x': description, 'a': NULL, 'b': 1}}, {{'f': 'description', 'x': 'CORRECTED', 'a': 1, 'b': NULL}}] ELSE [] END,
+            CASE WHEN okey % 47 = 0 THEN [{{'f': 'balance', 'x': {_plain('b')}, 'a': NULL, 'b': 1}}, {{'f': 'balance', 'x': NULL, 'a': 1, 'b': NULL}}] ELSE [] END)) AS e FROM led)""",
+        "SELECT doc_id, txn_seq, e.f AS field, e.x AS value, e.a::BIGINT AS from_version, e.b::BIGINT AS to_version FROM entries"),
+    "inferred_sides": _with(LEDGER + """,
+        seen AS (SELECT *, coalesce(w, d) AS a, b - lag(b) OVER (PARTITION BY doc_id ORDER BY txn_seq) AS step FROM led),
+        told AS (SELECT *, CASE WHEN contains(description, 'ATM') THEN 'out' WHEN contains(description, 'SALARY') THEN 'in'
+                               WHEN step < 0 THEN 'out' WHEN step > 0 THEN 'in' END AS side,
+                           CASE WHEN contains(description, 'ATM') OR contains(description, 'SALARY') THEN 'keyword' WHEN step <> 0 THEN 'balance' ELSE 'none' END AS src FROM seen)""",
+        f"""SELECT doc_id, txn_seq, {_money("CASE WHEN doc_id % 2 = 1 THEN w WHEN side = 'out' AND a <> 0 THEN a END")} AS withdrawal,
+        {_money("CASE WHEN doc_id % 2 = 1 THEN d WHEN side = 'in' AND a <> 0 THEN a END")} AS deposit,
+        {_money("CASE WHEN doc_id % 2 = 0 AND side IS NULL AND a <> 0 THEN a END")} AS unplaced,
+        CASE WHEN doc_id % 2 = 0 AND a <> 0 THEN src END AS side_source FROM told"""),
     "filtered_checks": _with(_RESCANNED + """,
         rest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, date_raw, description, w, d, b ORDER BY txn_seq) AS copy FROM twice)
           WHERE copy = 1 AND okey % 7 <> 0),
