@@ -22,7 +22,7 @@ HEADLINE = (
     "statement_totals", "parse_roundtrip", "lines_greedy", "lines_grid", "doc_results", "statement_report",
     "amount_tokens", "text_rows", "entropy", "amount_clusters", "column_bounds", "ledger_stats", "daily_summary",
     "keyword_search", "balance_continuity", "running_balance", "duplicates", "golden_compare", "page_anomalies",
-    "decisions", "corrections",
+    "decisions", "corrections", "fingerprint", "learned_columns", "template_match", "inferred_sides", "ledger_as_of", "stream_intake",
 )
 
 
