@@ -82,7 +82,7 @@ def op5_fourier_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def op6_piece_encoding(spark: SparkSession, d: str) -> DataFrame:
     """All texts as SentencePiece ids, decoded again: counts, checksum of the ids and whether the text came back."""
-    return pieces.encoded(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return pieces.encoded(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -83,3 +83,78 @@ def test_rows_nulls_and_empty(spark):
     want = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode("a b")
     assert one.ids == want and one.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
     assert pieces.encoded(df.drop("ids").limit(0), MODEL).count() == 0
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def mapped(model, rule="nmt_nfkc"):
+    """The model with a published character map, blanks merged as published models do."""
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    return model[: model.rindex(b"\x1a\x12\x0a\x08identity\x12\x00")] + spec
+
+
+def pieced(model, change):
+    """The model with every piece changed: text, score, type to (score, type), or left out for None."""
+    out, at = b"", 0
+    for number, value in pieces._fields(model):
+        if number == 1:
+            f = dict(pieces._fields(value))
+            made = change(at, f[1].decode(), f.get(3, 1))
+            at += 1
+            if made is None:
+                continue
+            value = b"\x0a" + varint(len(f[1])) + f[1] + b"\x15" + np.array([made], "<f4").tobytes() + b"\x18" + varint(f.get(3, 1))
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def scored(model):
+    """A unigram model with scores as such models have them: log-likelihoods by rank. The supplied file gives its single characters
+    -1e9, beyond what the library's 32-bit sums can tell apart."""
+    return pieced(unigram(model), lambda at, text, kind: -np.log(3.0 + at * 7919 % 32_003) - 2.0 if kind == 1 else 0.0)
+
+
+def no_bytes(model):
+    """Without byte fallback: the byte pieces go, the trainer's setting is overwritten by a later one."""
+    machine = pieces.Transducer(model)
+    return pieced(model, lambda at, text, kind: None if kind == 6 else machine.scores[at]) + b"\x12\x03" + b"\x98\x02\x00"
+
+
+ODD = ["ﬁ", "Ａ", "½", "\u3000", "\u200b", "e\u0301", "\xa0", "㍿", "ﷺ", "\r\n", "…", "ﬀ", "한", "\x01", "™"]
+
+
+@pytest.mark.parametrize("change", [scored, mapped, lambda m: mapped(scored(m)), no_bytes, lambda m: no_bytes(scored(m)), lambda m: mapped(m, "nfkc_cf")])
+def test_ids_of_changed_models_equal_those_of_the_library(change):
+    model = change(raw())
+    machine, library = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rnd, ties = random.Random(8), 0
+    for t in texts() + ["".join(rnd.choice(PARTS + ODD) for _ in range(rnd.randrange(14))) for _ in range(600)]:
+        got = np.frombuffer(machine.encode(t), f"=u{machine.width}")
+        want = library.encode(t)
+        if machine.kind == pieces.UNIGRAM and got.tolist() != want:  # paths of one weight: the library's sums of 32 bits decide
+            ties += 1
+            assert abs(sum(machine.scores[i] for i in got) - sum(machine.scores[i] for i in want)) < 1e-4
+        else:
+            assert got.tolist() == want, (t, library.encode(t, out_type=str))
+        if machine.fallback:
+            assert machine.decode(got) == machine.readable(t)
+    assert ties <= 10  # of 1,000
+
+
+def test_a_merge_path_is_the_outcome_of_the_merges():
+    machine = pieces.Transducer(raw())
+    for t in texts():
+        text = machine.normalise(t)
+        assert machine._lightest_path(text) == machine.filter.merges(text)
+
+
+def test_long_stretches_are_solved_in_bounded_memory():
+    machine, library = pieces.Transducer(raw()), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    t = "a" * 30_000 + "=" * 30_000
+    assert np.frombuffer(machine.encode(t), f"=u{machine.width}").tolist() == library.encode(t)
+    assert not machine.words and max(map(len, machine.stretches), default=0) <= pieces.LONGEST_REMEMBERED
