@@ -27,9 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Secrets of every document: a document is a path with one version, its ledger starts empty."""
+    """Secrets of every document: a document is a path with one version. They come in two deliveries, the lower half of the ids and
+    then the rest; the second scans only blobs that the first did not bring."""
     versions = table(spark, d, "documents").select("doc_id", "text")
-    ledger = stored(secrets.scan(secrets.blobs_of(versions, "text"), None), "blob-ledger")
+    middle = versions.agg(F.avg("doc_id")).first()[0] or 0.0
+    early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    path = new_path(spark, "blob-ledger")
+    secrets.deliver(path, versions.where(early), "text")
+    ledger = secrets.deliver(path, versions.where(~early), "text")
     found = secrets.findings(versions, "text", ledger)
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
 

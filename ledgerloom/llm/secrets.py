@@ -5,7 +5,7 @@ Every historical version of every path is addressed by the SHA-256 of its conten
 not hold, each blob once however many paths carry it, and joins the findings back to all paths.
 
 Defined results: null content is empty content; repeated rows each get their findings; a path or any other column
-may be null; an empty table gives an empty result. Offsets are code points, the end exclusive.
+may be null; a text may hold any number of findings; an empty table gives an empty result. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -57,6 +57,44 @@ MORE = (
 RULES = BASE + MORE
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(steps: Column, rule: Rule, rank: int) -> Column:
+    """Spans of (gap, hit, good) in order. Steps are folded in blocks as long as there are blocks, and each block is then moved by
+    the length of those before it, so that work grows with n to the power of 1.5 and not with the square that one fold
+    over a growing array takes."""
+    n = F.size(steps)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        stop = start + x["hit"]
+        one = F.array(F.struct(start.alias("start"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), F.when(x["good"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    def block(first: Column) -> Column:
+        return F.aggregate(F.slice(steps, first + 1, width), F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+
+    def starts(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(
+            blocks, begin, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+            lambda acc: acc["starts"],
+        )
+
+    def moved(blocks: Column, before: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda b, k: F.transform(b["found"], lambda x: F.struct(
+            (x["start"] + F.get(before, k)).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (x["stop"] + F.get(before, k)).alias("stop"),
+        ))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width), block)
+    return _with(blocks, lambda found: _with(starts(found), lambda before: moved(found, before)))
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Matches with positions: the text between matches comes from ``split`` with the same pattern, so the start of
     a match is the length of all gaps and matches before it."""
@@ -66,19 +104,11 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value"),
         F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits)).alias("gap"),
     )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
-        return F.struct(
-            stop.alias("at"),
-            F.when(F.length(x["value"]) >= rule.least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"),
-        )
-
-    none = F.array().cast(SPAN)
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    steps = F.transform(parts, lambda x: F.struct(
+        F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["value"]) >= rule.least).alias("good"),
+    ))
+    found = _with(steps, lambda x: _placed(x, rule, rank))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array()).cast(SPAN)
 
 
 def blobs_of(versions: DataFrame, content: str) -> DataFrame:
@@ -111,6 +141,23 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType.fromDDL(f"blob string, rules array<string>, spans {SPAN}"))
 
 
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at ``path``; an empty one is written where there is none."""
+    empty = empty_ledger(spark)
+    empty.write.mode("ignore").parquet(path)
+    return spark.read.schema(empty.schema).parquet(path)
+
+
+def deliver(path: str, versions: DataFrame, content: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Take a delivery of versions into the ledger stored at ``path`` and return the ledger after it.
+
+    Only pairs of blob and rule version that the ledger lacks are scanned and appended, in one commit: a delivery that failed adds
+    nothing and may be repeated, one that went through adds nothing when it comes again. One writer at a time."""
+    spark = versions.sparkSession
+    scan(blobs_of(versions, content), opened(spark, path), rules).write.mode("append").parquet(path)
+    return opened(spark, path)
+
+
 def findings(versions: DataFrame, content: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``versions`` without its content, with ``blob`` and ``spans`` (by start, then rule) from the ledger.
 

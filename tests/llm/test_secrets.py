@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 from ledgerloom.llm import secrets
 from ledgerloom.llm.secrets import BASE, Rule
-from ledgerloom.sources.scratch import stored
+from ledgerloom.sources.scratch import new_path, stored
 from pyspark.sql import functions as F
 
 
@@ -47,3 +48,28 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.findings(none, "text", secrets.empty_ledger(spark)).count() == 0
     assert secrets.scan(secrets.blobs_of(none, "text"), secrets.empty_ledger(spark)).count() == 0
+
+
+def test_deliveries_into_a_stored_ledger(spark):
+    path = new_path(spark, "ledger")
+    one = spark.createDataFrame([("a", "token=abcdefg"), ("b", ""), ("c", None)], "path string, text string")
+    assert secrets.deliver(path, one, "text").count() == 2
+    assert secrets.deliver(path, one, "text").count() == 2  # again: nothing is unseen
+    two = one.unionByName(spark.createDataFrame([("d", "AKIA" + "X" * 16), ("e", "token=abcdefg")], one.schema))
+    ledger = secrets.deliver(path, two, "text")
+    assert ledger.count() == 3
+    newer = (Rule("assign", 2, "(tok)(en)", 2, 1), *secrets.RULES[1:])
+    ledger = secrets.deliver(path, two, "text", newer)
+    assert ledger.count() == 6 and ledger.where("array_contains(rules, 'assign@2') AND size(rules) = 1").count() == 3
+    got = {r.path: [(s.kind, s.start, s.stop) for s in r.spans] for r in secrets.findings(two, "text", ledger, newer).collect()}
+    assert got == {"a": [("assign", 0, 5)], "b": [], "c": [], "d": [("access", 0, 20)], "e": [("assign", 0, 5)]}
+
+
+def test_very_many_hits_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "é token=abcdefg x=1" * n)], "doc_id long, text string")
+    start = time.time()
+    ledger = stored(secrets.scan(secrets.blobs_of(docs, "text"), secrets.empty_ledger(spark), BASE), "ledger")
+    found = ledger.first().spans
+    assert time.time() - start < 60 and len(found) == n
+    assert all((s.start, s.stop) == (2 + 19 * i, 15 + 19 * i) for i, s in enumerate(found))
