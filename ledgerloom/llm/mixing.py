@@ -7,7 +7,8 @@ around the target, so only one row of sums per pass reaches the driver, however
 The weights turn into copies of documents: a source with budget b and t tokens gets ``floor(b / t)`` whole epochs; the
 rest is taken from a permutation of its documents. The permutation has two levels: documents fall into blocks by hash, and
 blocks are taken in order until the one that crosses the budget, in which documents are taken in hash order. So
-no task ever orders a source as a whole.
+no task ever orders a source as a whole. A row's copies follow from its own key, its source's plan and the few
+units of edge blocks, so rows and their texts are never moved.
 
 Defined results: a null source is a source of its own; null or empty texts have no tokens and get the whole epochs of
 their source only; rows equal in doc_id, source and text are one unit of the mix: its copies are taken together and
@@ -28,6 +29,8 @@ from ..sources.scratch import stored
 #: Tokens of a block of the permutation, and the most blocks of a source.
 BLOCK_TOKENS, MAX_BLOCKS = 50_000, 65_536
 GRID, PASSES = 32, 6
+#: Rows of a small table (sources; units of edge blocks) up to which it is sent to every executor: 100,000 rows of at most a few MB.
+SENT = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -42,8 +45,7 @@ def _row_key() -> Column:
 
 def units(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """row_key, source, n_tokens (of all equal rows together)."""
-    n = word_count(F.col("text")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
-    return docs.select(_row_key().alias("row_key"), F.col("source").cast("string").alias("source"), n.alias("n")).groupBy("row_key", "source").agg(F.sum("n").alias("n_tokens"))
+    return docs.select(_row_key().alias("row_key"), F.col("source").cast("string").alias("source"), _tokens(tokens).alias("n")).groupBy("row_key", "source").agg(F.sum("n").alias("n_tokens"))
 
 
 def exponent(totals: DataFrame, budget: float | None, entropy: float | None, repetition: float | None) -> float:
@@ -90,8 +92,9 @@ def exponent(totals: DataFrame, budget: float | None, entropy: float | None, rep
     return max(found)
 
 
-def plan(unit: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, seed: int = 0) -> DataFrame:
-    """row_key, copies, epochs (real number of epochs of the source), spot (place in the source's permutation, 0 to 1)."""
+def settled(unit: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What decides the copies of every row, as two small stored tables: per source (__s, whole, epochs, blocks, edge_block), and
+    the units (edge_key) that are taken from each source's edge block, the one in which its budget ends."""
     totals = stored(unit.groupBy("source").agg(F.sum("n_tokens").alias("t")), "source-totals")
     some = totals.where("t > 0")
     alpha = exponent(some, budget, entropy, repetition)
@@ -103,17 +106,14 @@ def plan(unit: DataFrame, budget: float | None = None, entropy: float | None = N
     else:
         z = some.agg(F.sum(F.pow(p, alpha)).alias("z")).first()["z"] or 1.0
         epochs = F.pow(p, alpha - 1) * F.lit(budget / (z * t_all))
-    source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("__s")
     weights = totals.select(
-        source, "t", F.when(F.col("t") > 0, epochs).otherwise(F.lit(1.0)).alias("epochs"),
+        _source_key(F.col("source")).alias("__s"), "t", F.when(F.col("t") > 0, epochs).otherwise(F.lit(1.0)).alias("epochs"),
         F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("t") / BLOCK_TOKENS))).cast("long").alias("blocks"),
     )
     whole = F.floor(F.col("epochs") + 1e-9)
     weights = stored(weights.withColumns({"whole": whole, "left": (F.col("epochs") - whole) * F.col("t")}), "weights")
-    placed = unit.select("row_key", source, "n_tokens").join(weights, "__s").select(
-        "row_key", "__s", "n_tokens", "t", "epochs", "whole", "left", "blocks",
-        F.pmod(F.xxhash64("row_key", F.lit(seed)), F.col("blocks")).alias("block"),
-        F.xxhash64("row_key", F.lit(seed), F.lit(1)).alias("turn"),
+    placed = _beside(unit.select("row_key", "n_tokens", _source_key(F.col("source")).alias("__s")), weights, "__s").select(
+        "row_key", "__s", "n_tokens", "left", _block(F.col("row_key"), seed).alias("block"),
     )
     placed = stored(placed, "placed-units")
     filled = placed.groupBy("__s", "block").agg(F.sum("n_tokens").alias("size"), F.max("left").alias("left"))
@@ -124,25 +124,70 @@ def plan(unit: DataFrame, budget: float | None = None, entropy: float | None = N
         filled.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left"))).select("__s", "block", "before"), "edges",
     )
     crossed = placed.join(edge, ["__s", "block"])
-    inner = Window.partitionBy("__s").orderBy("turn", "row_key").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("__s").orderBy(_turn(F.col("row_key"), seed), "row_key").rowsBetween(Window.unboundedPreceding, 0)
     taken = stored(
-        crossed.withColumn("used", F.col("before") + F.sum("n_tokens").over(inner)).where((F.col("used") <= F.col("left")) & (F.col("n_tokens") > 0)).select("row_key"), "edge-units",
+        crossed.withColumn("used", F.col("before") + F.sum("n_tokens").over(inner)).where((F.col("used") <= F.col("left")) & (F.col("n_tokens") > 0))
+        .select(F.col("row_key").alias("edge_key")), "edge-units",
     )
     full = edge.groupBy("__s").agg(F.min("block").alias("edge_block"))
-    marked = placed.join(full, "__s", "left").join(taken.withColumn("in_edge", F.lit(1)), "row_key", "left")
-    extra = (F.col("n_tokens") > 0) & ((F.col("block") < F.col("edge_block")) | F.col("in_edge").isNotNull())
-    u = (F.shiftright(F.col("turn"), 11) + F.lit(2.0**52)) / F.lit(2.0**53)
-    return marked.select(
-        "row_key", (F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).cast("long").alias("copies"),
-        "epochs", ((F.col("block") + u) / F.col("blocks")).alias("spot"),
-    )
+    return stored(weights.select("__s", "epochs", "whole", "blocks").join(full, "__s", "left"), "source-plans"), taken
+
+
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
+
+
+def _block(key: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.col("blocks"))
+
+
+def _turn(key: Column, seed: int) -> Column:
+    return F.xxhash64(key, F.lit(seed), F.lit(1))
+
+
+def _beside(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Rows with a stored table joined on: sent to every executor where it has at most ``SENT`` rows (checked), else joined by hash."""
+    return rows.join(F.broadcast(small) if small.limit(SENT + 1).count() <= SENT else small, key, how)
 
 
-def mixed(docs: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, seed: int = 0, tokens: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns; dropped where it takes none."""
-    chosen = plan(stored(units(docs, tokens), "units"), budget, entropy, repetition, seed).select(F.col("row_key").alias("__key"), F.col("copies").alias("__copies"))
-    keyed = docs.join(chosen.where("__copies > 0"), _row_key() == F.col("__key"))
-    return keyed.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__one")).select(*docs.columns)
+def _decided(rows: DataFrame, plans: DataFrame, taken: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (row_key, __s, n_tokens and others) with copies, epochs and spot (place in the source's permutation, 0 to 1): all
+    from the row's own key and two small tables, so that no row is moved."""
+    key = F.col("row_key")
+    marked = _beside(_beside(rows.withColumn("edge_key", key), plans, "__s"), taken.withColumn("in_edge", F.lit(True)), "edge_key", "left")
+    extra = (F.col("n_tokens") > 0) & ((_block(key, seed) < F.col("edge_block")) | F.col("in_edge"))
+    u = (F.shiftright(_turn(key, seed), 11) + F.lit(2.0**52)) / F.lit(2.0**53)
+    return marked.withColumns({
+        "copies": (F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).cast("long"),
+        "spot": (_block(key, seed) + u) / F.col("blocks"),
+    })
+
+
+def plan(unit: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, seed: int = 0) -> DataFrame:
+    """row_key, copies, epochs (real number of epochs of the source), spot (place in the source's permutation, 0 to 1)."""
+    rows = unit.select("row_key", _source_key(F.col("source")).alias("__s"), "n_tokens")
+    return _decided(rows, *settled(unit, budget, entropy, repetition, seed), seed).select("row_key", "copies", "epochs", "spot")
+
+
+def _tokens(tokens: Column | None) -> Column:
+    return word_count(F.col("text")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+
+
+def mixed(
+    docs: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, seed: int = 0,
+    tokens: Column | None = None, order: str | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns; dropped where it takes none.
+
+    ``order`` names a further column with the place of each copy in the mixed stream (as in :func:`decisions`)."""
+    found = settled(stored(units(docs, tokens), "units"), budget, entropy, repetition, seed)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), _row_key().alias("row_key"), _source_key(F.col("source")).alias("__s"), _tokens(tokens).alias("n_tokens"),
+    )
+    chosen = _decided(rows, *found, seed).where("copies > 0")
+    out = chosen.select("row", "spot", "epochs", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    place = [] if order is None else [((F.col("spot") + F.col("copy") - 1) / F.col("epochs")).alias(order)]
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], *place)
 
 
 def decisions(docs: DataFrame, budget_share: float | None = None, entropy: float | None = None, repetition: float | None = None, seed: int = 0) -> DataFrame:
@@ -154,8 +199,10 @@ def decisions(docs: DataFrame, budget_share: float | None = None, entropy: float
     budget = None
     if budget_share is not None:
         budget = budget_share * float(unit.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0)
-    chosen = plan(unit, budget, entropy, repetition, seed).select(F.col("row_key").alias("__key"), "copies", "epochs", "spot")
-    rows = docs.select("doc_id", "source", _row_key().alias("__row"), word_count(F.col("text")).alias("n_tokens"))
-    return rows.join(chosen, F.col("__row") == F.col("__key")).select(
+    found = settled(unit, budget, entropy, repetition, seed)
+    rows = docs.select(
+        "doc_id", "source", _row_key().alias("row_key"), _source_key(F.col("source")).alias("__s"), word_count(F.col("text")).alias("n_tokens"),
+    )
+    return _decided(rows, *found, seed).select(
         "doc_id", "source", "n_tokens", "copies", F.when(F.col("copies") > 0, F.col("spot") / F.col("epochs")).alias("mix_order"), "epochs",
     )

@@ -69,3 +69,55 @@ def test_same_answer_again_columns_repeats_and_empty(spark):
     assert mixing.mixed(df.limit(0), repetition=2.0).count() == 0
     unit = stored(mixing.units(df.where("doc_id = 9000")), "units")
     assert [r.copies for r in mixing.plan(unit, repetition=2.0).collect()] == [1]
+
+
+def by_hand(rows, budget, seed=0):
+    """{(doc_id, source, text): copies}, from weights by plain search over the exponent of a source's share."""
+    t = Counter()
+    for _, text, source in rows:
+        t[source] += len((text or "").split())
+    some = {s: n for s, n in t.items() if n}
+    total = sum(some.values())
+
+    def weights(a):
+        raw = {s: (n / total) ** a for s, n in some.items()}
+        return {s: w / sum(raw.values()) for s, w in raw.items()}
+
+    return t, lambda a: {s: weights(a)[s] * budget / some[s] for s in some}
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_copies_against_brute_force(spark, monkeypatch, sent):
+    """Whole epochs for all; what is left of a source's budget goes to a prefix of its permutation that no further unit fits."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 30)
+    df = docs(spark)
+    rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
+    budget = 1.3 * sum(len((x or "").split()) for _, x, _ in rows)
+    t, epochs_at = by_hand(rows, budget)
+    grid = [i / 2_000 for i in range(2_001)]
+    a = next(x for x in grid if max(epochs_at(x).values()) <= 2.0)
+    want = epochs_at(a)
+    got = mixing.mixed(df, budget=budget, repetition=2.0, order="mix_order").collect()
+    copies = Counter((r.doc_id, r.text, r.source) for r in got)
+    for source, epochs in want.items():
+        units = [r for r in rows if r[2] == source]
+        n = [copies[u] for u in units]
+        words = [len((u[1] or "").split()) for u in units]
+        assert all(c in (int(epochs - 0.01), int(epochs + 0.01), int(epochs + 0.01) + 1) for c in n)
+        used = sum(c * w for c, w in zip(n, words, strict=True))
+        assert epochs * t[source] * 0.98 - 7 <= used <= epochs * t[source] * 1.02
+        # Units without words get the whole epochs only.
+        assert all(c <= int(epochs + 0.01) for c, w in zip(n, words, strict=True) if not w)
+        # Those taken once more come first in the source's permutation, but for units that did not fit the end of the budget.
+        first = sorted((min(r.mix_order for r in got if (r.doc_id, r.text, r.source) == u), c) for u, c, w in zip(units, n, words, strict=True) if w and c)
+        top = [c for _, c in first]
+        if len(set(top)) == 2 and min(n) > 0:
+            last = max(i for i, c in enumerate(top) if c == max(top))
+            assert top[: last + 1].count(min(top)) <= 30, source
+    assert len({r.mix_order for r in got}) == len(got) and got[0].__fields__[:-1] == df.columns
+
+
+def test_the_mix_moves_no_text(spark):
+    plan = mixing.mixed(docs(spark), repetition=1.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
