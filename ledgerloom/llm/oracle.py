@@ -41,8 +41,9 @@ _BARS = "(?:^|[\\x20\\x09])[|>»•·]"
 
 
 def _op2() -> str:
-    from .quality import PHRASES
+    from .quality import BARS, MARKS, PHRASES
 
+    marks = MARKS.replace("'", "''")
     phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in PHRASES)
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS body FROM documents),
@@ -52,10 +53,13 @@ again AS (SELECT row_id, i FROM (SELECT row_id, i, count(*) OVER (PARTITION BY r
 cover AS (SELECT row_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) r(k) GROUP BY row_id),
 lines AS (SELECT row_id, unnest(string_split(body, chr(10))) AS line FROM texts),
 marks AS (SELECT row_id, line, len(regexp_extract_all(line, '{_WORD}')) AS nw, len(regexp_extract_all(line, '{_MARKED}')) AS nm,
-                 len(list_filter(string_split_regex(line, '[\\x20\\x09]'), lambda x: x IN ('|', '>', '»', '•', '·'))) AS nb FROM lines),
+                 len(list_filter(string_split_regex(line, '[\\x20\\x09]'), lambda x: x IN ('|', '>', '»', '•', '·'))) AS nb,
+                 length(line) - length(translate(line, '{marks}', '')) AS na, length(line) - length(translate(line, '{BARS}', '')) AS nbar,
+                 len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D{BARS}]+')) AS items,
+                 length(translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) AS nc FROM lines),
 judged AS (SELECT row_id, line, nw,
-       (nw >= 4 AND nm > 0.3 * nw) OR (nb >= 3 AND nw - nb <= 3 * nb) OR (length(line) <= 480 AND nw <= 12 AND ({phrases})) AS bad,
-       length(translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) AS nc FROM marks),
+       (nw >= 4 AND nm > 0.3 * nw) OR (nb >= 3 AND nw - nb <= 3 * nb) OR (length(line) <= 480 AND nw <= 12 AND ({phrases}))
+           OR (na >= 5 AND na > 0.6 * nc) OR (nbar >= 3 AND items <= 2 * nbar) AS bad, nc FROM marks),
 per AS (SELECT row_id, coalesce(count(*) FILTER (nw > 0) - count(DISTINCT line) FILTER (nw > 0), 0) AS n_dup_lines,
        count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(nc) FILTER (bad), 0)::BIGINT AS lost_chars, sum(nc)::BIGINT AS word_chars FROM judged GROUP BY row_id),
 res AS (SELECT doc_id, len(w) AS n_words, word_chars, length(body) - length(translate(body, '#*$%&|<>', '')) AS n_symbols, n_dup_lines,

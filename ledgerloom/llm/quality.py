@@ -7,9 +7,11 @@ lines that fail a rule are removed, and a document is rejected when it fails a w
 Line rules (a line fails if one holds):
 
 * punctuation: of at least ``rule_words`` words, more than ``max_marked`` carry a run of two or more symbols or
-  exclamation marks (``word###``, ``WORD!!``);
-* navigation: at least ``min_bars`` stand-alone separators, and at most ``max_between`` other words for each;
-* boilerplate: at most ``boiler_words`` words and one of the fixed phrases in it.
+  exclamation marks (``word###``, ``WORD!!``); or at least ``least_marks`` of the characters in its words, and more than
+  ``max_marks`` of them, are marks of any kind (``# $ % &``, ``----- ..... -----``);
+* navigation: at least ``min_bars`` separators that stand alone, and at most ``max_between`` other words for each; or as many bars, bullets
+  or guillemets anywhere (``Home|About|Contact``) and at most ``max_items`` words for each;
+* boilerplate: at most ``boiler_words`` words and one of the fixed phrases in it, which are in the languages of the texts.
 
 Whole-text rules: fewer than ``min_words`` words; more than ``max_repeat`` of 100 words inside an 8-word window
 that occurs twice or more in the text.
@@ -33,7 +35,13 @@ PHRASES = (
     "all rights reserved", "privacy policy", "cookie policy", "terms of use", "terms of service", "terms and conditions",
     "accept cookies", "use cookies", "enable javascript", "javascript is disabled", "click here", "read more",
     "sign up", "log in", "share this", "subscribe to", "follow us", "back to top", "skip to content", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "zum inhalt springen", "nach oben",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "aller au contenu", "haut de page",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "aceptar cookies", "saltar al contenido", "volver arriba",
 )
+#: Marks other than letters, digits and blanks, those of ASCII and the commonest others.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»•·–—…¿¡"
+BARS = "|»•·"
 WINDOW = 8
 
 
@@ -45,6 +53,9 @@ class Limits:
     max_marked: float = 0.3
     min_bars: int = 3
     max_between: float = 3.0
+    max_items: float = 2.0
+    least_marks: int = 5
+    max_marks: float = 0.6
     boiler_words: int = 12
     max_lost: float = 0.3
 
@@ -63,12 +74,18 @@ def bad_line(line: Column, limits: Limits = Limits()) -> Column:
     n_marked = F.size(F.regexp_extract_all(line, F.lit("[#*$%&|<>!]{2,}"), F.lit(0)))
     n_bars = F.size(F.regexp_extract_all(line, F.lit("(?:^|[\\x20\\x09])[|>»•·](?=[\\x20\\x09]|$)"), F.lit(0)))
     low = F.lower(line)
+    chars = _word_chars(line)
+    marks = F.length(line) - F.length(F.translate(line, MARKS, ""))
+    bars = F.length(line) - F.length(F.translate(line, BARS, ""))
+    items = F.size(F.regexp_extract_all(line, F.lit(f"[^\\x20\\x09-\\x0D{BARS}]+"), F.lit(0)))
     phrase = F.lit(False)
     for p in PHRASES:
         phrase = phrase | F.contains(low, F.lit(p))
     return (
         (line.rlike("[#*$%&|<>!]{2,}") & (n_words >= limits.rule_words) & (n_marked > limits.max_marked * n_words))
         | (line.rlike("[|>»•·]") & (n_bars >= limits.min_bars) & (n_words - n_bars <= limits.max_between * n_bars))
+        | ((marks >= limits.least_marks) & (marks > limits.max_marks * chars))
+        | ((bars >= limits.min_bars) & (items <= limits.max_items * bars))
         | ((F.length(line) <= 40 * limits.boiler_words) & phrase & (n_words <= limits.boiler_words))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from ledgerloom.llm.quality import PHRASES
+from ledgerloom.llm.quality import BARS, MARKS, PHRASES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -25,7 +25,13 @@ def quality(text):
         marks = len(re.findall(r"[#*$%&|<>!]{2,}", line))
         bars = sum(x in "|>»•·" and x != "" for x in re.split("[\x20\x09]", line))
         phrase = len(line) <= 480 and n <= 12 and any(p in line.lower() for p in PHRASES)
-        return (n >= 4 and marks > 0.3 * n) or (bars >= 3 and n - bars <= 3 * bars) or phrase
+        return (n >= 4 and marks > 0.3 * n) or (bars >= 3 and n - bars <= 3 * bars) or phrase or marked(line)
+
+    def marked(line):
+        shown = re.sub(r"[\x20\x09-\x0D]", "", line)
+        marks, between = sum(c in MARKS for c in shown), sum(c in BARS for c in shown)
+        items = len(WORD.findall("".join(" " if c in BARS else c for c in line)))
+        return (marks >= 5 and marks > 0.6 * len(shown)) or (between >= 3 and items <= 2 * between)
 
     good = [x for x in lines if not bad(x)]
     chars = lambda t: sum(map(len, WORD.findall(t)))

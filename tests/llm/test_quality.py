@@ -30,3 +30,13 @@ def test_cleaned_keeps_columns_repeated_rows_and_lengths(spark):
     assert rows.columns == docs.columns and rows.dtypes == docs.dtypes
     assert sorted((r.doc_id or 0, r.text, r.n_chars, r.clean) for r in rows.collect()) == [(0, good, len(good), "k")] * 2 + [(1, good, len(good), "k")]
     assert quality.cleaned(docs.limit(0)).count() == 0
+
+
+def test_lines_of_marks_menus_and_furniture_of_four_languages_go(spark):
+    bad = ["# $ % & * # $ % & *", "Home|About|Login|Contact|Help", "----- ..... ????? -----", "Alle Rechte vorbehalten. Datenschutz Impressum",
+           "Tous droits réservés. Politique de confidentialité", "Aviso legal · Política de privacidad", "Inicio • Contacto • Ayuda • Mapa del sitio", "«!?», ...; (--)"]
+    good = ["", "An ordinary line, with marks (some of them) - and no more; is it?", "x = a[i] + b(j) | c", "3.14, 2.71, 1.41", "No. 5!", "a|b or c|d is a logical form of several words in it", "...",
+            "Das Impressum der Zeitung nennt ihre Herausgeber und den Ort, an dem sie gedruckt wird, nach altem Brauch."]
+    lines = spark.createDataFrame([(x,) for x in bad + good], "line string")
+    got = {r.line: r.bad for r in lines.select("line", quality.bad_line(F.col("line")).alias("bad")).collect()}
+    assert got == {**dict.fromkeys(bad, True), **dict.fromkeys(good, False)}
