@@ -11,14 +11,14 @@ sets merge by maximum, and two registers agree with a probability close to the J
 3. The similarity of a pair is estimated by maximum likelihood from its registers and the known set sizes; pairs
    far below the threshold go. For every document the best pair is confirmed on the full sets first, then the pairs
    that would still join two components. Members of groups that are still in several components, which a centre need
-   not resemble as they may resemble each other, are compared across components in blocks of bounded size. So no
+   not resemble as they may resemble each other, are compared across components in blocks of bounded size; blocks of one component never meet. So no
    link between components is skipped within a group, and pairs of a group are never rows.
 
 At similarity 0.8 two documents share none of the 32 groups with probability 4e-6 (0.672^32).
 
 Defined results: null and empty texts, and texts without words, have empty sets and no links; rows without doc_id take
-no part, have no component and are kept; rows that share a doc_id are one document to :func:`groups` and documents of
-their own to :func:`deduplicated`; an empty table gives an empty result; other columns are not read.
+no part, have no component and are kept; rows that share a doc_id are one document to :func:`groups`, in one component with
+whatever any of their texts links to, and documents of their own to :func:`deduplicated`; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .components import components
+from .shipping import ship
 
 SHINGLE, REGISTERS, BAND_ROWS = 4, 160, 5
 #: Parameters of the sketch: base, rate, highest level.
@@ -258,39 +259,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _within_open(open_members: DataFrame, percent: int, floor: float) -> DataFrame:
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How the members (value, node, component) of open groups are cut, as two stored tables.
+
+    parts: (value, component, own, n_blocks). A component with ``MEMBERS`` members or more has blocks of its own, the smaller ones
+    of a group share blocks. meetings: (value, block, lo, hi): the pairs of blocks that a block takes part in. Blocks of one component
+    never meet, so one stranger in a large component costs one pass over it, however large it is."""
+    size = members.groupBy("value", "component").agg(F.count("*").alias("size"))
+    size = stored(size, "open-components").withColumn("own", F.col("size") >= MEMBERS)
+    shared = size.where("NOT own").groupBy("value").agg(F.sum("size").alias("size")).withColumn("own", F.lit(False))
+    count = F.ceil(F.col("size") / MEMBERS).cast("int").alias("n_blocks")
+    shared = shared.select("value", "own", count)
+    large = size.where("own").select("value", "component", "own", count)
+    parts = stored(size.where("NOT own").select("value", "component", "own").join(shared, ["value", "own"]).select("value", "component", "own", "n_blocks").unionByName(large), "open-parts")
+    cut = large.select("value", "own", "component", "n_blocks").unionByName(shared.select("value", "own", F.lit(None).cast("long").alias("component"), "n_blocks"))
+    blocks = stored(cut.select("value", "own", "component", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("no"))
+                    .select("value", F.struct("own", F.coalesce("component", F.lit(0).cast("long")).alias("component"), "no").alias("block")), "open-blocks")
+    pairs = blocks.withColumnRenamed("block", "lo").join(blocks.withColumnRenamed("block", "hi"), "value")
+    pairs = pairs.where((F.col("lo") <= F.col("hi")) & ~(F.col("lo.own") & F.col("hi.own") & (F.col("lo.component") == F.col("hi.component"))))
+    meetings = pairs.select("value", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    return parts, stored(meetings, "open-meetings")
+
+
+def _within_open(open_members: DataFrame, percent: int, floor: float, members: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between different components inside open groups, confirmed on the full sets.
 
-    ``open_members``: value, band, size (of the group), node, n, component, regs, bands, shingles. A group is cut into
-    blocks of about ``MEMBERS`` and two blocks at a time meet in one row, so tasks stay bounded and pairs are
+    ``open_members``: value, band, node, n, component, regs, bands, shingles; ``members``: the same rows, stored, without the last three. A
+    group is cut into blocks of about ``MEMBERS`` and two blocks at a time meet in one row, so tasks stay bounded and pairs are
     never rows. A pair that shares several bands is looked at under the first of them only."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / MEMBERS)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = open_members.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    columns = ("node", "n", "component", "block", "regs", "bands", "shingles")
-    met = spread.groupBy("value", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(
-        *[F.collect_list(c).alias(c) for c in columns]
-    )
+    parts, meetings = _blocks(open_members if members is None else members)
+    number = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("component")), F.col("n_blocks")).cast("int")
+    owner = F.when(F.col("own"), F.col("component")).otherwise(F.lit(0).cast("long"))
+    placed = open_members.join(parts, ["value", "component"]).withColumn("block", F.struct("own", owner.alias("component"), number.alias("no")))
+    spread = placed.join(meetings, ["value", "block"]).withColumn("side", (F.col("block") != F.col("lo")).cast("int"))
+    columns = ("node", "n", "component", "side", "regs", "bands", "shingles")
+    met = spread.groupBy("value", "band", "lo", "hi").agg(*[F.collect_list(c).alias(c) for c in columns]).withColumn("apart", F.col("lo") != F.col("hi"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {name: batch.column(name) for name in batch.schema.names}
             at = np.concatenate([[0], np.cumsum(col["node"].value_lengths().to_numpy())])
-            node, n, component, block = (col[c].flatten().to_numpy() for c in columns[:4])
+            node, n, component, side = (col[c].flatten().to_numpy() for c in columns[:4])
             regs = np.frombuffer(b"".join(col["regs"].flatten().to_pylist()), "<u2").reshape(len(node), -1)
             bands_ = col["bands"].flatten().flatten().to_numpy().reshape(len(node), -1)
             sets = col["shingles"].flatten()
             ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
             grams = sets.flatten().to_numpy()
             found: list[tuple[int, int]] = []
-            for row, (band, lo, hi) in enumerate(zip(col["band"].to_pylist(), col["lo"].to_pylist(), col["hi"].to_pylist(), strict=True)):
+            for row, (band, apart) in enumerate(zip(col["band"].to_pylist(), col["apart"].to_pylist(), strict=True)):
                 start, stop = at[row], at[row + 1]
                 if (component[start:stop] == component[start]).all():
                     continue
                 x, y = (i + start for i in np.triu_indices(stop - start, 1))
                 keep = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                if lo != hi:
-                    keep &= block[x] != block[y]
+                if apart:
+                    keep &= side[x] != side[y]
                 x, y = x[keep], y[keep]
                 keep = (bands_[x] == bands_[y]).argmax(1) == band
                 x, y = x[keep], y[keep]
@@ -304,7 +327,7 @@ def _within_open(open_members: DataFrame, percent: int, floor: float) -> DataFra
                         found.append((int(node[i]), int(node[j])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.select("band", "lo", "hi", *columns).mapInArrow(compare, "a long, b long")
+    return met.select("band", "apart", *columns).mapInArrow(compare, "a long, b long")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -312,7 +335,30 @@ def _ordered(a: str, b: str) -> list:
 
 
 def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``. Rows under one doc_id are one document of several texts: what
+    any of them links to is in one component."""
+    ship(docs.sparkSession)
+    texts = _texts(docs)
+    rows = _apart(texts)
+    if rows is None:
+        return _groups(texts, percent, k)
+    rows = stored(rows, "rows-apart")
+    found = stored(_groups(rows.select(F.col("__id").alias("doc_id"), "text"), percent, k), "groups-apart").withColumnRenamed("doc_id", "__id")
+    own = rows.where("__id IS NOT NULL").select("__id", F.col("doc_id").alias("own"))
+    ties = found.where("__id <> component_id").select(F.col("__id").alias("a"), F.col("component_id").alias("b"))
+    joined = components(stored(ties.unionByName(own.where("__id <> own").select(F.col("__id").alias("a"), F.col("own").alias("b"))), "ties"))
+    # Numbers of rows may lie above or below all ids; a component is named by its least real id.
+    label = own.join(joined.withColumnRenamed("node", "__id"), "__id", "left").select("__id", "own", F.coalesce("component", "__id").alias("label"))
+    label = stored(label, "labels")
+    name = stored(label.groupBy("label").agg(F.min("own").alias("component_id")), "names")
+    by_row = label.join(name, "label").select("__id", F.col("own").alias("doc_id"), "component_id")
+    known = found.where("__id IS NOT NULL").select("__id", "n_shingles").join(by_row, "__id")
+    known = known.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return known.unionByName(found.where("__id IS NULL").select(F.col("__id").alias("doc_id"), "n_shingles", "component_id", "kept"))
+
+
+def _groups(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """:func:`groups` of rows with a doc_id each of their own, or none."""
     drawn = stored(sketches(docs, k), "sketches")
     # One row per (set, smallest id); equal sets are one class however many documents carry them.
     classes = drawn.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
@@ -321,7 +367,6 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
         drawn.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "k1", "k2", "n"], "left_semi")
         .select(F.col("doc_id").alias("node"), "n", "regs", "bands").dropDuplicates(["node", "n"]), "nodes",
     )
-    # Two classes may share an id that two different texts carry: both then speak for one node.
     member = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     rank = F.xxhash64("node", "band")
     centres = (
@@ -364,10 +409,10 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
     placed = stored(
         grouped.join(joined, "node", "left").select("value", "band", "node", "n", F.coalesce("component", "node").alias("component")), "placed",
     )
-    open_ = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    rest = placed.join(stored(open_.select("value", "size"), "open-groups"), "value")
-    rest = rest.join(nodes.select("node", "n", "regs", "bands"), ["node", "n"]).join(sets, "node")
-    more = stored(_within_open(rest, percent, floor), "links")
+    open_ = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    members = stored(placed.join(stored(open_.select("value"), "open-groups"), "value"), "open-members")
+    rest = members.join(nodes.select("node", "n", "regs", "bands"), ["node", "n"]).join(sets, "node")
+    more = stored(_within_open(rest, percent, floor, members), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
@@ -384,26 +429,32 @@ def groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
     )
 
 
-def _apart(docs: DataFrame) -> DataFrame:
+def _apart(docs: DataFrame) -> DataFrame | None:
     """``docs`` with ``__id``, the doc_id of one row only: of rows that share a doc_id one keeps it, the others get numbers
-    above all ids. These rows are stored, as they are read again and must keep their numbers."""
+    outside the range of ids. These rows are stored, as they are read again and must keep their numbers. None if no id is shared."""
     own = F.col("doc_id").cast("long")
     shared = docs.where(own.isNotNull()).groupBy(own.alias("__shared")).agg(F.count("*").alias("__n")).where("__n > 1").select("__shared")
     shared = stored(shared, "shared-ids")
     if shared.isEmpty():
-        return docs.withColumn("__id", own)
+        return None
     several = docs.withColumn("__id", own).join(shared, F.col("__id") == F.col("__shared"), "left_semi")
     several = stored(several.withColumn("__number", F.monotonically_increasing_id()), "rows-of-shared-ids")
     lead = several.groupBy("__id").agg(F.min("__number").alias("__number")).withColumn("__lead", F.lit(True))
-    top = docs.agg(F.max(own)).first()[0]
-    number = F.when(F.col("__lead"), F.col("__id")).otherwise(F.lit(top) + 1 + F.col("__number"))
+    ends = docs.agg(F.min(own).alias("low"), F.max(own).alias("top")).first()
+    other = F.lit(ends["top"]) + 1 + F.col("__number") if ends["top"] < 2**62 else F.lit(ends["low"]) - 1 - F.col("__number")
+    number = F.when(F.col("__lead"), F.col("__id")).otherwise(other)
     renamed = several.join(lead, ["__id", "__number"], "left").select(*docs.columns, number.alias("__id"))
     return docs.withColumn("__id", own).join(shared, F.col("__id") == F.col("__shared"), "left_anti").unionByName(renamed)
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one row of each group and every row without doc_id."""
-    rows = _apart(docs)
-    found = groups(rows.select(F.col("__id").alias("doc_id"), "text"), percent, k)
+    """The rows of ``docs``, all columns, that stay: one row of each group and every row without doc_id. Rows under one doc_id
+    stay or go by themselves."""
+    ship(docs.sparkSession)
+    row = "__row"
+    flat = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _apart(flat.select(row, "doc_id"))
+    rows = flat.select(row, F.col("doc_id").alias("__id")) if rows is None else rows.select(row, "__id")
+    found = _groups(rows.select(F.col("__id").alias("doc_id"), F.col(row)["text"].alias("text")), percent, k)
     gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "near-copies")
-    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*[F.col(row)[c].alias(c) for c in docs.columns])

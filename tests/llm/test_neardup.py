@@ -88,3 +88,31 @@ def test_texts_under_one_id_stay_or_go_by_themselves(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r.doc_id, r.text) for r in neardup.deduplicated(df).collect()]
     assert sorted(t[:1] for _, t in got) == ["a", "b", "s"] and (1, text) in got
+
+
+def test_two_texts_under_one_id_keep_the_links_of_both(spark):
+    x, y = (" ".join(f"{w}{i}" for i in range(30)) for w in ("x", "y"))
+    for low in (0, 2**63 - 10):
+        rows = [(low + 1, x), (low + 1, y), (low + 2, x + " more"), (low + 3, y + " more"), (low + 4, "alone in the world of texts"), (None, x)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.groups(df).collect())
+        own = [(low + 1, low + 1, True)] * 2 + [(low + 2, low + 1, False), (low + 3, low + 1, False), (low + 4, low + 4, True)]
+        assert got == sorted([(0, 0, True), *own])
+
+
+def test_one_stranger_costs_one_pass_over_a_large_component(spark):
+    n = 5_000
+    members = spark.range(n + 3).select(F.lit(7).alias("value"), "id", F.col("id").alias("node"), F.when(F.col("id") < n, 0).otherwise(F.col("id")).cast("long").alias("component"))
+    parts, meetings = neardup._blocks(members.drop("id"))
+    per = {(r.own, r.component): r.n_blocks for r in parts.collect()}
+    blocks = -(-n // neardup.MEMBERS)
+    assert per == {(True, 0): blocks, **{(False, n + i): 1 for i in range(3)}}
+    met = meetings.collect()
+    assert sum(r.block.own for r in met) == blocks  # every block of the large component is sent once
+    assert sum(not r.block.own for r in met) == blocks + 1  # the strangers to each of them, and to each other
+
+
+def test_clashing_names_stay(spark):
+    text = "one two three four five six"
+    df = spark.createDataFrame([(1, text, "a", 1), (2, text, "b", 2)], "doc_id long, text string, __id string, __row int")
+    assert [tuple(r) for r in neardup.deduplicated(df).collect()] == [(1, text, "a", 1)]
