@@ -268,7 +268,7 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = members.groupBy("value", "component").agg(F.count("*").alias("size"))
     size = stored(size, "open-components").withColumn("own", F.col("size") >= MEMBERS)
     shared = size.where("NOT own").groupBy("value").agg(F.sum("size").alias("size")).withColumn("own", F.lit(False))
-    count = F.ceil(F.col("size") / MEMBERS).cast("int").alias("n_blocks")
+    count = F.greatest(F.lit(1), F.round(F.col("size") / MEMBERS)).cast("int").alias("n_blocks")
     shared = shared.select("value", "own", count)
     large = size.where("own").select("value", "component", "own", count)
     parts = stored(size.where("NOT own").select("value", "component", "own").join(shared, ["value", "own"]).select("value", "component", "own", "n_blocks").unionByName(large), "open-parts")
@@ -281,17 +281,22 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, stored(meetings, "open-meetings")
 
 
-def _within_open(open_members: DataFrame, percent: int, floor: float, members: DataFrame | None = None) -> DataFrame:
+def _within_open(open_members: DataFrame, percent: int, floor: float, payload: tuple[DataFrame, ...] | None = None) -> DataFrame:
     """Links (a, b) between different components inside open groups, confirmed on the full sets.
 
-    ``open_members``: value, band, node, n, component, regs, bands, shingles; ``members``: the same rows, stored, without the last three. A
-    group is cut into blocks of about ``MEMBERS`` and two blocks at a time meet in one row, so tasks stay bounded and pairs are
-    never rows. A pair that shares several bands is looked at under the first of them only."""
-    parts, meetings = _blocks(open_members if members is None else members)
+    ``open_members``: value, band, node, n, component; ``payload``: stored tables that give regs, bands and shingles by node, by default
+    columns of ``open_members``. A group is cut into blocks of about ``MEMBERS`` and two blocks at a time meet in one row, so tasks stay
+    bounded and pairs are never rows. A pair that shares several bands is looked at under the first of them only. Blocks are given
+    out to the short rows; sets and registers come last and are moved once for each meeting."""
+    members = open_members.select("value", "band", "node", "n", "component")
+    parts, meetings = _blocks(members)
     number = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("component")), F.col("n_blocks")).cast("int")
     owner = F.when(F.col("own"), F.col("component")).otherwise(F.lit(0).cast("long"))
-    placed = open_members.join(parts, ["value", "component"]).withColumn("block", F.struct("own", owner.alias("component"), number.alias("no")))
-    spread = placed.join(meetings, ["value", "block"]).withColumn("side", (F.col("block") != F.col("lo")).cast("int"))
+    placed = members.join(parts, ["value", "component"]).withColumn("block", F.struct("own", owner.alias("component"), number.alias("no")))
+    spread = placed.join(meetings, ["value", "block"]).select("value", "band", "node", "n", "component", "lo", "hi", (F.col("block") != F.col("lo")).cast("int").alias("side"))
+    spread = stored(spread, "open-spread")
+    for given in payload or (open_members.select("node", "regs", "bands", "shingles").dropDuplicates(["node"]),):
+        spread = spread.join(given, "node")
     columns = ("node", "n", "component", "side", "regs", "bands", "shingles")
     met = spread.groupBy("value", "band", "lo", "hi").agg(*[F.collect_list(c).alias(c) for c in columns]).withColumn("apart", F.col("lo") != F.col("hi"))
 
@@ -411,8 +416,7 @@ def _groups(docs: DataFrame, percent: int, k: int) -> DataFrame:
     )
     open_ = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     members = stored(placed.join(stored(open_.select("value"), "open-groups"), "value"), "open-members")
-    rest = members.join(nodes.select("node", "n", "regs", "bands"), ["node", "n"]).join(sets, "node")
-    more = stored(_within_open(rest, percent, floor, members), "links")
+    more = stored(_within_open(members, percent, floor, (nodes.select("node", "regs", "bands"), sets)), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
