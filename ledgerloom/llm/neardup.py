@@ -281,58 +281,79 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, stored(meetings, "open-meetings")
 
 
-def _within_open(open_members: DataFrame, percent: int, floor: float, payload: tuple[DataFrame, ...] | None = None) -> DataFrame:
+def _within_open(open_members: DataFrame, percent: int, floor: float, payload: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Links (a, b) between different components inside open groups, confirmed on the full sets.
 
-    ``open_members``: value, band, node, n, component; ``payload``: stored tables that give regs, bands and shingles by node, by default
+    ``open_members``: value, band, node, n, component; ``payload``: stored tables of regs and bands, and of shingles, by node, by default
     columns of ``open_members``. A group is cut into blocks of about ``MEMBERS`` and two blocks at a time meet in one row, so tasks stay
     bounded and pairs are never rows. A pair that shares several bands is looked at under the first of them only. Blocks are given
-    out to the short rows; sets and registers come last and are moved once for each meeting."""
+    out to the short rows and first meet with their registers alone; the members that have a likely partner there, few as a rule,
+    meet again with their full sets."""
     members = open_members.select("value", "band", "node", "n", "component")
     parts, meetings = _blocks(members)
     number = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("component")), F.col("n_blocks")).cast("int")
     owner = F.when(F.col("own"), F.col("component")).otherwise(F.lit(0).cast("long"))
     placed = members.join(parts, ["value", "component"]).withColumn("block", F.struct("own", owner.alias("component"), number.alias("no")))
     spread = placed.join(meetings, ["value", "block"]).select("value", "band", "node", "n", "component", "lo", "hi", (F.col("block") != F.col("lo")).cast("int").alias("side"))
-    spread = stored(spread, "open-spread")
-    for given in payload or (open_members.select("node", "regs", "bands", "shingles").dropDuplicates(["node"]),):
-        spread = spread.join(given, "node")
-    columns = ("node", "n", "component", "side", "regs", "bands", "shingles")
-    met = spread.groupBy("value", "band", "lo", "hi").agg(*[F.collect_list(c).alias(c) for c in columns]).withColumn("apart", F.col("lo") != F.col("hi"))
+    regs_of, sets_of = payload or [open_members.select("node", *c).dropDuplicates(["node"]) for c in (("regs", "bands"), ("shingles",))]
+    spread = stored(spread, "open-spread").join(regs_of, "node")
+    place, columns = ("value", "band", "lo", "hi"), ("node", "n", "component", "side", "regs", "bands")
+
+    def met(rows: DataFrame, *more: str) -> DataFrame:
+        lists = [F.collect_list(c).alias(c) for c in (*columns, *more)]
+        return rows.groupBy(*place).agg(*lists).withColumn("apart", F.col("lo") != F.col("hi"))
+
+    def likely(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, x, y) of meetings with likely pairs; x and y are places in the flattened lists."""
+        col = {name: batch.column(name) for name in batch.schema.names}
+        at = np.concatenate([[0], np.cumsum(col["node"].value_lengths().to_numpy())])
+        n, component, side = (col[c].flatten().to_numpy() for c in columns[1:4])
+        regs = np.frombuffer(b"".join(col["regs"].flatten().to_pylist()), "<u2").reshape(len(n), -1)
+        bands_ = col["bands"].flatten().flatten().to_numpy().reshape(len(n), -1)
+        for row, (band, apart) in enumerate(zip(col["band"].to_pylist(), col["apart"].to_pylist(), strict=True)):
+            start, stop = at[row], at[row + 1]
+            if (component[start:stop] == component[start]).all():
+                continue
+            x, y = (i + start for i in np.triu_indices(stop - start, 1))
+            keep = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            if apart:
+                keep &= side[x] != side[y]
+            x, y = x[keep], y[keep]
+            keep = (bands_[x] == bands_[y]).argmax(1) == band
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            plus, minus = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
+            keep = likelihood(plus, minus, regs.shape[1] - plus - minus, n[x].astype(float), n[y].astype(float)) >= floor
+            if keep.any():
+                yield row, x[keep], y[keep]
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, np.union1d(x, y)) for row, x, y in likely(batch)]
+            rows = pa.array([row for row, own in found for _ in own], pa.int64())
+            own = pa.array([i for _, own in found for i in own], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(rows) for c in place] + [batch.column(c).flatten().take(own) for c in columns], names=[*place, *columns],
+            )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {name: batch.column(name) for name in batch.schema.names}
-            at = np.concatenate([[0], np.cumsum(col["node"].value_lengths().to_numpy())])
-            node, n, component, side = (col[c].flatten().to_numpy() for c in columns[:4])
-            regs = np.frombuffer(b"".join(col["regs"].flatten().to_pylist()), "<u2").reshape(len(node), -1)
-            bands_ = col["bands"].flatten().flatten().to_numpy().reshape(len(node), -1)
-            sets = col["shingles"].flatten()
+            node, n = (batch.column(c).flatten().to_numpy() for c in columns[:2])
+            sets = batch.column("shingles").flatten()
             ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
             grams = sets.flatten().to_numpy()
             found: list[tuple[int, int]] = []
-            for row, (band, apart) in enumerate(zip(col["band"].to_pylist(), col["apart"].to_pylist(), strict=True)):
-                start, stop = at[row], at[row + 1]
-                if (component[start:stop] == component[start]).all():
-                    continue
-                x, y = (i + start for i in np.triu_indices(stop - start, 1))
-                keep = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                if apart:
-                    keep &= side[x] != side[y]
-                x, y = x[keep], y[keep]
-                keep = (bands_[x] == bands_[y]).argmax(1) == band
-                x, y = x[keep], y[keep]
-                if not len(x):
-                    continue
-                plus, minus = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
-                likely = likelihood(plus, minus, regs.shape[1] - plus - minus, n[x].astype(float), n[y].astype(float)) >= floor
-                for i, j in zip(x[likely], y[likely], strict=True):
+            for _, x, y in likely(batch):
+                for i, j in zip(x, y, strict=True):
                     both = len(np.intersect1d(grams[ends[i] : ends[i + 1]], grams[ends[j] : ends[j + 1]], assume_unique=True))
                     if 100 * both >= percent * (n[i] + n[j] - both):
                         found.append((int(node[i]), int(node[j])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.select("band", "apart", *columns).mapInArrow(compare, "a long, b long")
+    few = spread.select(*place, *columns)
+    few = stored(met(few).select(*place, "apart", *columns).mapInArrow(with_partner, few.schema), "open-likely")
+    return met(few.join(sets_of, "node"), "shingles").select("band", "apart", *columns, "shingles").mapInArrow(compare, "a long, b long")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -368,9 +389,10 @@ def _groups(docs: DataFrame, percent: int, k: int) -> DataFrame:
     # One row per (set, smallest id); equal sets are one class however many documents carry them.
     classes = drawn.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "classes")
+    # A doc_id is that of one row here, so the id alone finds the row; the stored ids are sent to the rows where Spark finds them few.
     nodes = stored(
-        drawn.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "k1", "k2", "n"], "left_semi")
-        .select(F.col("doc_id").alias("node"), "n", "regs", "bands").dropDuplicates(["node", "n"]), "nodes",
+        drawn.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        .select(F.col("doc_id").alias("node"), "n", "regs", "bands"), "nodes",
     )
     member = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     rank = F.xxhash64("node", "band")
@@ -387,7 +409,9 @@ def _groups(docs: DataFrame, percent: int, k: int) -> DataFrame:
     grouped = stored(member.join(centres, "value"), "grouped")
     starred = grouped.where((F.col("node") != F.col("centre")) & near("n", "n_centre")).select(*_ordered("node", "centre")).distinct()
     scored = stored(_estimated(starred, nodes, floor), "scored")
-    sets = stored(_sets(docs, grouped.select("node").distinct(), k), "sets")
+    # Stored first: Spark knows the size of the ids, and where they are few enough to be broadcast no text is moved to them.
+    chosen = stored(grouped.select("node").distinct(), "grouped-nodes")
+    sets = stored(_sets(docs, chosen, k), "sets")
 
     # The best pair of every document first: they join most of what belongs together.
     ends = scored.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("node"))
