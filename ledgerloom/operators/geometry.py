@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 
 from .. import schemas as S
 from ..functions import tokens as K
+from ..functions.ordered import prefix_scan, with_previous
+from ..sources.scratch import stored
 
 #: Height of a band of lines that stay together: above that of any printed page.
 BAND = 2_000.0
@@ -72,6 +74,16 @@ def _runs(ys: DataFrame, tolerance: float, *order: str) -> DataFrame:
     ).drop("_apart")
 
 
+def _runs_spread(ys: DataFrame, tolerance: float, band: float = BAND) -> DataFrame:
+    """:func:`_runs` of the distinct y values of a page, ordered within bands only: the first value of a band looks at the
+    last one of the nearest earlier band, and the runs that earlier bands started are added."""
+    ys = stored(ys, "levels").withColumn("_page", F.struct("doc_id", "page"))
+    ys = with_previous(ys, "_page", "y0", {"_above": "y0"}, int(band))
+    apart = F.coalesce((F.col("y0") - F.col("_above") >= tolerance).cast("bigint"), F.lit(1).cast("bigint"))
+    ys = ys.withColumns({"_apart": apart, "_band": F.floor(F.col("y0") / band)})
+    return prefix_scan(ys, "_page", ["_band", "y0"], {"_run": F.col("_apart")}).drop("_page", "_band", "_apart", "_above")
+
+
 def gather_runs(words: DataFrame, tolerance: float = S.LINE_TOLERANCE, *extra: str) -> DataFrame:
     """Lines by the first-key rule: a word joins the first-created line within ``tolerance``.
 
@@ -107,7 +119,7 @@ def key_lines_spread(words: DataFrame, tolerance: float = S.LINE_TOLERANCE) -> D
     spreads one overfull page over many tasks.
     """
     levels = words.groupBy("doc_id", "page", "y0").agg(F.min("ord").alias("ord"))
-    levels = _runs(levels, tolerance)
+    levels = _runs_spread(levels, tolerance)
     runs = levels.groupBy("doc_id", "page", "_run").agg(
         F.collect_list(F.struct("ord", "y0")).alias("_points")
     )

@@ -9,26 +9,37 @@ from pyspark.sql import Window as W
 from .. import schemas as S
 from ..functions import tokens as K
 from ..functions.ordered import prefix_scan
+from ..sources.scratch import stored
+from .geometry import BAND
 
 AMOUNT_COLUMNS = ("withdrawal", "deposit", "balance")
 
 
-def mark_region(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
+def mark_region(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spread: bool = False) -> DataFrame:
     """Add ``has_table`` (page level), ``in_table`` and ``opens`` (line level).
 
     The table starts after the first currency line or at the first line that begins with a
     date, whichever comes first, and stops before the first end marker inside it.
+
+    ``spread``: start and stop are aggregates of one row per page that are joined back, so no task holds the lines of a page.
+    ``lines`` is read three times there and should be a written table.
     """
     # Same order as the row numbering that follows, so one sort serves both.
     page = W.partitionBy("doc_id", "page").orderBy("line_y").rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing
     )
+
+    def page_least(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        if not spread:
+            return rows.withColumn(name, F.min(value).over(page))
+        return rows.join(rows.groupBy("doc_id", "page").agg(F.min(value).alias(name)), ["doc_id", "page"])
+
     currency = F.upper("line_text").contains(S.CURRENCY_MARKER)
     starts = F.when(
         currency | K.starts_with_date("line_text"),
         F.struct(F.col("line_y").alias("y"), currency.alias("after")),
     )
-    marked = lines.withColumn("_start", F.min(starts).over(page))
+    marked = page_least(lines, "_start", starts)
     after_start = (F.col("line_y") > F.col("_start.y")) | (
         (F.col("line_y") == F.col("_start.y")) & ~F.col("_start.after")
     )
@@ -39,7 +50,7 @@ def mark_region(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
         }
     )
     stop = F.when(F.col("_after_start") & K.contains_any("line_text", end_markers), F.col("line_y"))
-    marked = marked.withColumn("_stop", F.min(stop).over(page))
+    marked = page_least(marked, "_stop", stop)
     return marked.withColumns(
         {
             "in_table": F.col("_after_start")
@@ -49,11 +60,20 @@ def mark_region(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
     ).drop("_start", "_after_start", "_stop")
 
 
-def segment(lines: DataFrame, end_markers=S.TABLE_END_MARKERS) -> DataFrame:
-    """Add ``row_in_page``: 1, 2, ... for the lines of each transaction, 0 for all others."""
+def segment(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spread: bool = False) -> DataFrame:
+    """Add ``row_in_page``: 1, 2, ... for the lines of each transaction, 0 for all others.
+
+    ``spread``: for pages of any size. Lines are ordered within bands of a page only, and what earlier bands opened is added."""
+    opens = (F.col("in_table") & F.col("opens")).cast("int")
+    if spread:
+        marked = mark_region(stored(lines, "lines"), end_markers, True)
+        marked = marked.withColumns({"_page": F.struct("doc_id", "page"), "_band": F.floor(F.col("line_y") / BAND)})
+        counted = prefix_scan(marked, "_page", ["_band", "line_y"], {"_opened": opens.cast("bigint")})
+        row = F.when(F.col("in_table"), F.col("_opened")).otherwise(F.lit(0))
+        return counted.withColumn("row_in_page", row).drop("_page", "_band", "_opened")
     marked = mark_region(lines, end_markers)
     down = W.partitionBy("doc_id", "page").orderBy("line_y").rowsBetween(W.unboundedPreceding, 0)
-    opened = F.sum((F.col("in_table") & F.col("opens")).cast("int")).over(down)
+    opened = F.sum(opens).over(down)
     return marked.withColumn("row_in_page", F.when(F.col("in_table"), opened).otherwise(F.lit(0)))
 
 
@@ -62,7 +82,7 @@ def segment_across_pages(lines: DataFrame, end_markers=S.TABLE_END_MARKERS, spre
     still open from an earlier page (``page`` becomes the page where the row was opened).
 
     ``keep_pages``: a line that moves leaves an empty one outside all rows, so that its page is still there to be reported on."""
-    lines = segment(lines, end_markers)
+    lines = segment(lines, end_markers, spread)
     opened = F.when(F.col("row_in_page") > 0, F.struct("page", F.col("row_in_page").alias("row")))
     if spread:
         lines = _with_open_row(lines)

@@ -10,6 +10,7 @@ from ledgerloom.functions import ordered
 from ledgerloom.functions.ordered import prefix_scan, split_by_size
 from ledgerloom.operators import geometry as G, ledger as L
 from ledgerloom.plans import statement
+from ledgerloom.schemas import TABLE_END_MARKERS
 from ledgerloom.sources import rendered as R
 
 
@@ -102,6 +103,43 @@ def test_one_overfull_page(make_words):
     same(G.greedy_lines(typed).select(columns), G.greedy_lines(typed, spread=True).select(columns))
 
 
+def overfull(make_words, n=1_500):
+    """One page of several bands: rows with following lines, currency lines and an end marker far down, y values also above the page."""
+    rnd = random.Random(5)
+    items, y = [], -40.0
+    for i in range(n):
+        y += rnd.choice([0.5, 4.0, 9.0, 30.0])
+        kind = rnd.random()
+        if i == 30:
+            items += [(300, y, "CURRENCY:"), (330, y, "INR")]
+        elif i == n - 200:
+            items += [(50, y, TABLE_END_MARKERS[0])]
+        elif kind < 0.4:
+            items += [(45, y, f"{i % 27 + 1:02d}/01/2024"), (120, y, f"w{i}"), (374, y, f"{i}.00"), (512, y, "5,000.00")]
+        else:
+            items.append((120, y, f"more{i}"))
+    return make_words({("hot", 1): items, ("hot", 2): items[:90], ("hot", 3): [(50, 10, "none")], ("cold", 1): items[:60]})
+
+
+def test_rows_of_an_overfull_page(make_words):
+    words = overfull(make_words)
+    for carry in (False, True):
+        plain, spread = (statement.segmented_lines(words, spread=s, carry_pages=carry) for s in (False, True))
+        columns = ["doc_id", "page", "line_y", "line_text", "has_table", "in_table", "opens", "row_in_page"]
+        same(plain.select(columns).withColumn("row_in_page", F.col("row_in_page").cast("long")),
+             spread.select(columns).withColumn("row_in_page", F.col("row_in_page").cast("long")))
+        assert spread.agg(F.max("row_in_page")).first()[0] > 300
+
+
+def test_no_task_orders_a_page(make_words):
+    """On the large path every window has a band or block of the page among its keys, or runs over one row per band."""
+    words = overfull(make_words, 400)
+    for df in (statement.segmented_lines(words, spread=True), G.key_lines_spread(words)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_band" in w or "_block" in w for w in windows)
+
+
 def test_ordered_checks(spark, skewed_dir):
     ledger = R.ledger(spark, skewed_dir)
     same(L.balance_continuity(ledger), L.balance_continuity(ledger, block=16))
