@@ -2,8 +2,8 @@
 
 A layout is a vector of column edges. Two vectors are one layout when no edge is more than ``TOLERANCE`` apart, wherever
 the edges lie: vectors are kept in cells of twice the tolerance, a template stands in every cell that its tolerance
-reaches (at most two per edge), a document looks into its own cell, and the true distance decides. So documents are
-never copied, and a match is one equi-join.
+reaches (at most two per edge), a vector looks into its own cell, and the true distance decides. So documents are
+never copied, and a match is one equi-join of different vectors per size of cells.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ EDGES = ("withdrawal_x", "deposit_x", "amount_x", "balance_x")
 TOLERANCE = 5.0
 #: Documents that a learned layout needs, amounts that an edge of a pooled layout needs.
 MIN_DOCUMENTS, MIN_AMOUNTS = 2, 2
+#: Different templates that a cell may hold at ease; each step of finer cells divides them by so much; most steps.
+FEW, FINER, MAX_STEPS = 64, 8, 4
 
 
 def _cell(x: Column, tolerance: float) -> Column:
@@ -49,18 +51,42 @@ def _apart(other) -> Column:
     return F.round(F.greatest(*[F.coalesce(F.abs(F.col(c) - other(c)), F.lit(0.0)) for c in EDGES]), 6)
 
 
+def _nearest(vectors: DataFrame, templates: DataFrame, tolerance: float) -> DataFrame:
+    """``vectors`` with ``_best``, the least (distance, template) within ``tolerance`` or null. The templates of a cell are one row."""
+    cells = _reach(templates, tolerance).groupBy("_key").agg(F.collect_set(F.struct("template", *EDGES)).alias("_near"))
+    found = vectors.withColumn("_key", _home(tolerance)).join(cells, "_key", "left")
+    ranked = F.transform("_near", lambda t: F.struct(_apart(lambda c: t[c]).alias("distance"), t["template"].alias("template")))
+    best = F.array_min(F.filter(ranked, lambda r: r["distance"] <= tolerance))
+    return found.select(*vectors.columns, best.alias("_best"))
+
+
 def match(bounds: DataFrame, templates: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """``bounds`` with ``template`` and ``distance``: the nearest template within ``tolerance``, of equally near ones the
     smallest; null without one.
 
-    ``templates``: template, n_clusters and the edges. The templates of a cell are one row, so each document meets one row
-    and no second exchange is needed to choose."""
-    cells = _reach(templates.select("template", "n_clusters", *EDGES), tolerance)
-    cells = cells.groupBy("_key").agg(F.collect_set(F.struct("template", *EDGES)).alias("_near"))
-    found = bounds.withColumn("_key", _home(tolerance)).join(cells, "_key", "left")
-    ranked = F.transform("_near", lambda t: F.struct(_apart(lambda c: t[c]).alias("distance"), t["template"].alias("template")))
-    best = F.array_min(F.filter(ranked, lambda r: r["distance"] <= tolerance))
-    return found.withColumn("_best", best).select(*bounds.columns, F.col("_best.template").alias("template"), F.col("_best.distance").alias("distance"))
+    ``templates``: template, n_clusters and the edges. Equal vectors are looked up once and equal templates are one, so copies of a
+    layout cost nothing. With more than ``FEW`` different templates, cells are fine at first: what has a template within a fine
+    tolerance is settled there, as all nearer ones reach the same cell, and only the rest looks around wider. ``bounds`` is read twice."""
+    vector = ("n_clusters", *EDGES)
+    known = templates.groupBy(*vector).agg(F.min(F.struct("template"))["template"].alias("template"))
+    known = stored(known, "known-vectors")
+    n, steps = known.count(), 0
+    while n > FEW * FINER**steps and steps < MAX_STEPS:
+        steps += 1
+    left, settled = bounds.select(*vector).distinct(), None
+    for step in range(steps, 0, -1):
+        fine = tolerance / FINER**step
+        # Distances are rounded: those that might as well be a little above the fine tolerance stay open.
+        sure = F.coalesce(F.col("_best.distance") <= fine - 1e-6, F.lit(False))
+        tried = stored(_nearest(left, known, fine).withColumn("_sure", sure), "tried-vectors")
+        done = tried.filter("_sure").drop("_sure")
+        settled = done if settled is None else settled.unionByName(done)
+        left = tried.filter("not _sure").select(*vector)
+    rest = _nearest(left, known, tolerance)
+    found = rest if settled is None else settled.unionByName(rest)
+    found = found.filter("_best is not null").select("_best", *[F.col(c).alias(f"_v_{c}") for c in vector])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in vector])
+    return bounds.join(found, same, "left").select(*bounds.columns, F.col("_best.template").alias("template"), F.col("_best.distance").alias("distance"))
 
 
 def learn(bounds: DataFrame, tolerance: float = TOLERANCE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

@@ -36,6 +36,25 @@ def test_match_against_all_distances(spark, seed):
     assert {r.doc_id: r.template for r in got.collect()} == want and got.count() == len(docs)
 
 
+def test_many_templates_of_one_layout(spark, monkeypatch):
+    """Equal templates meet a document once, and many different ones by fine cells; results are those of all distances."""
+    copies = [(f"c{i:04}", 3, 364.0, 440.0, None, 503.0) for i in range(3000)]
+    near = [(f"n{i:04}", 3, 364.0 + i * 0.01, 440.0, None, 503.0) for i in range(700)] + [(None, 2, None, None, 90.0, 99.0), ("x", 2, None, None, 90.0, 99.0)]
+    docs = [(i, 3, 364.0 + i * 0.0173, 440.0 + i % 3, None, 503.0) for i in range(900)] + [(i, 3, 364.0, 440.0, None, 503.0) for i in range(1000, 3000)]
+    docs += [(5000, 2, None, None, 91.0, 99.0), (None, 3, 380.0, 440.0, None, 503.0), (None, 3, 380.0, 440.0, None, 503.0)]
+    known, met, look = spark.createDataFrame(copies + near, KNOWN), [], templates._nearest
+    monkeypatch.setattr(templates, "_nearest", lambda v, t, tolerance: met.append((v.count(), t.count())) or look(v, t, tolerance))
+    found = templates.match(spark.createDataFrame(docs, BOUNDS), known)
+    got = sorted(((r.doc_id, r.template, r.distance) for r in found.collect()), key=str)
+    want = []
+    for d in docs:
+        best = min((round(max(abs(x - y) for x, y in zip(d[2:], k[2:]) if x is not None), 6), k[0] or "") for k in copies[:1] + near if k[1] == d[1])
+        want.append((d[0], best[1] or None, best[0]) if best[0] <= 5 else (d[0], None, None))
+    assert got == sorted(want, key=str)
+    # Different vectors only, and those settled in fine cells do not look around wider.
+    assert met[0] == (902, 701) and len(met) > 1 and met[-1][0] < 902
+
+
 def test_learned_layouts_keep_their_distance(spark):
     """Averages in neighbouring cells become one layout; a chain keeps its ends."""
     around = lambda x, n, at: [(at + i, 3, x, x + 80, None, x + 160) for i in range(n)]
