@@ -163,3 +163,33 @@ def test_running_totals_of_rows_without_a_key(spark):
     for block in (1, 2, 4, 100):
         got = ordered.running_total(rows, "k", "i", {"t": F.col("v")}, block)
         assert sorted((r.k or "", r.i, r.t) for r in got.collect()) == sorted((k or "", i, i) for k in (None, "a") for i in range(1, 7))
+
+
+def test_tasks_get_so_many_rows_at_any_size(spark, monkeypatch):
+    """Ordinary rows are hashed into partitions that follow their number, not the settings of the session."""
+    from ledgerloom.functions import ordered
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 1000)
+    df = spark.range(40_000).selectExpr("id % 4000 as k", "id")
+    part = ordered.split_by_size(df, "k", hash_ordinary=True).ordinary
+    assert part.rdd.getNumPartitions() == 40 and part.count() == 40_000
+    assert max(len(p) for p in part.select("id").rdd.glom().collect()) < 2000
+    assert ordered.hashed(df, 3000, "k").rdd.getNumPartitions() <= 4
+
+
+def test_rendered_words_do_not_move_again(spark, sf, monkeypatch):
+    """Rendered words are hashed as their extraction wants them: it adds no exchange, and its partitions follow their number."""
+    import re
+
+    from ledgerloom.functions import ordered
+    from ledgerloom.plans import catalog
+    from ledgerloom.sources import rendered as R
+
+    def moves(df):
+        return re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+    want = sorted(map(str, catalog.parse_roundtrip(spark, sf).collect()))
+    monkeypatch.setattr(ordered, "TASK_ROWS", 2000)
+    n = R.word_counts(spark, sf).agg({"n": "sum"}).first()[0]
+    assert moves(catalog.parse_roundtrip(spark, sf)) == moves(R.words(spark, sf)) == [str(-(-n // 2000))] * 2
+    assert sorted(map(str, catalog.parse_roundtrip(spark, sf).collect())) == want
