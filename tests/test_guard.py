@@ -126,3 +126,28 @@ def test_route_and_templates(spark):
     assert by["a"] == by["b"] != by["c"]
     known = prints.filter(F.col("doc_id") == "a").select("fingerprint", F.lit("T").alias("template"))
     assert {r.doc_id: r.template for r in guard.match_templates(prints, known).collect()} == {"a": "T", "b": "T", "c": None}
+
+
+def test_results_look_at_the_words_once_beside_the_pages(spark, make_words):
+    """Flags of the first page and damage come from one look, and are those of two."""
+    from ledgerloom.operators import guard
+    from pyspark.sql import functions as F
+
+    long = "Consolidated statement of all deposits and payments"
+    words = make_words({
+        ("a", 1): [(10, 10, "Account"), (60, 10, "Summary"), (10, 30, long)], ("a", 2): [(10, 10, "x"), (10, 30, "y")],
+        ("b", 1): [(10, 10, "short")], ("b", 2): [(10, 10, "Account"), (60, 10, "Summary"), (10, 30, long)],
+        ("c", 2): [(10, 10, long)], ("d", 1): [(10, 10, long)], ("e", 2): [(10, 10, "z")],
+    })
+    spoilt = words.withColumn("y0", F.when(F.col("doc_id").isin("b", "d", "e") & (F.col("page") == F.when(F.col("doc_id") == "d", 1).otherwise(2)), F.lit(float("nan"))).otherwise(F.col("y0")))
+    spoilt = spoilt.unionByName(spoilt.filter("doc_id = 'a'").withColumn("doc_id", F.lit(None).cast("string")))
+    spoilt = spoilt.withColumn("text", F.when(~((F.col("doc_id") == "a") & (F.col("text") == "y")) | F.col("doc_id").isNull(), F.col("text")))
+    want = guard.first_page_flags(spoilt).join(guard.damaged(spoilt), "doc_id", "full").filter("doc_id is not null")
+    key = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    assert key(guard.first_page_and_damage(spoilt)) == key(want)
+    documents = spark.createDataFrame([(c, 2) for c in "abcde"], "doc_id string, n_pages int")
+    pages = spark.createDataFrame([("a", 1, False, False)], "doc_id string, page int, has_table boolean, is_txn boolean")
+    plan = guard.document_results(documents, spoilt, pages)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("collect_list") == 1 and "malformed words" in plan
+    leaves = spoilt._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert guard.document_results(documents, spoilt, pages)._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= leaves + 3
