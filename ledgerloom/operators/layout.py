@@ -8,14 +8,25 @@ from pyspark.sql import Window as W
 
 from .. import schemas as S
 from ..functions import tokens as K
+from ..functions.ordered import split_by_size
 from ..sources.scratch import stored
 from .geometry import gather_lines_by_band, grid_lines, key_grid
 
 
-def transaction_lines(words: DataFrame, max_pages: int | None = None) -> DataFrame:
+def _grid_lines(words: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """Grid lines. With known word counts per document only large documents move by page and band; the others stay hashed on
+    ``doc_id``, as what is counted per document next is."""
+    if sizes is None:
+        return gather_lines_by_band(key_grid(words))
+    ordinary, large, _ = split_by_size(words, "doc_id", sizes=sizes, hash_ordinary=True)
+    lines = grid_lines(ordinary)
+    return lines if large is None else lines.unionByName(gather_lines_by_band(key_grid(large)))
+
+
+def transaction_lines(words: DataFrame, max_pages: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Grid lines that begin with a date; optionally only those of each document's first
-    ``max_pages`` pages that have such a line."""
-    lines = gather_lines_by_band(key_grid(words)).filter(K.starts_with_date("line_text"))
+    ``max_pages`` pages that have such a line. ``sizes``: optional known word counts (doc_id, n)."""
+    lines = _grid_lines(words, sizes).filter(K.starts_with_date("line_text"))
     if max_pages is None:
         return lines
     pages = lines.select("doc_id", "page").distinct()
