@@ -78,7 +78,8 @@ def pages_before(spark: SparkSession, store: str, doc_type: T.DataType, batch: i
     schema = _pages_schema(doc_type)
     state = max((n for n in _numbers(spark, f"{store}/state", "upto") if n < batch), default=-1)
     later = [n for n in _numbers(spark, f"{store}/pages", "batch") if state < n < batch]
-    found = spark.createDataFrame([], schema)
+    # Without rows and without a task that would start Python to make none.
+    found = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
     if state >= 0:
         kept = spark.read.schema(schema).option("basePath", f"{store}/state/upto={state}").parquet(f"{store}/state/upto={state}")
         found = kept
@@ -135,9 +136,10 @@ def take_batch(words: DataFrame, batch: int, store: str, doc_type: T.DataType, e
     touched = [r.bucket for r in marks.select("bucket").distinct().collect()]
     before = stored(pages_before(spark, store, doc_type, batch, touched), "pages-before")
     fresh = stored(marks.join(before.select("doc_id", "page", "content"), ["doc_id", "page", "content"], "left_anti"), "fresh-pages")
-    # Words are spread by page, whatever document they belong to.
-    taken = words.join(fresh.select("doc_id", "page", "bucket"), ["doc_id", "page"])
-    taken.select(*columns, "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/words/batch={batch}")
+    # What is left out are pages delivered again unchanged: most often none, and then words need not meet a list of pages.
+    same = stored(marks.join(before.select("doc_id", "page", "content"), ["doc_id", "page", "content"], "left_semi").select("doc_id", "page"), "unchanged-pages")
+    taken = words if same.isEmpty() else words.join(same, ["doc_id", "page"], "left_anti")
+    taken.select(*columns, _bucket(BUCKETS)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/words/batch={batch}")
     older = before.join(fresh.select("doc_id").distinct(), "doc_id", "left_semi").join(fresh.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
     older = stored(older, "older-pages")
     seen = fresh.select("doc_id", "n").unionByName(older.select("doc_id", "n")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n"))
@@ -145,10 +147,12 @@ def take_batch(words: DataFrame, batch: int, store: str, doc_type: T.DataType, e
         wanted = expected.select("doc_id", F.col("n_pages").alias("_wanted"))
         seen = seen.join(wanted, "doc_id", "left").filter(F.col("n_pages") >= F.coalesce("_wanted", F.lit(0))).drop("_wanted")
     ready = stored(seen, "ready-documents")
+    # Every document with a fresh page is ready unless some have to wait.
+    of_ready = lambda rows: rows if expected is None else rows.join(ready.select("doc_id"), "doc_id", "left_semi")
     here = spark.read.schema(S.words_schema(doc_type).add("bucket", T.IntegerType())).parquet(f"{store}/words/batch={batch}").select(*columns)
-    there = _earlier_words(spark, store, doc_type, older.join(ready.select("doc_id"), "doc_id", "left_semi"))
+    there = _earlier_words(spark, store, doc_type, of_ready(older))
     every = here if there is None else here.unionByName(there.select(*columns))
-    found = statement.transactions(every.join(ready.select("doc_id"), "doc_id", "left_semi"), sizes=ready.select("doc_id", "n"), **options)
+    found = statement.transactions(of_ready(every), sizes=ready.select("doc_id", "n"), **options)
     found.write.mode("overwrite").parquet(f"{store}/ledger/batch={batch}")
     fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/pages/batch={batch}")
     # Last, so that readers never see a document whose rows are not there yet.
