@@ -98,3 +98,13 @@ def test_state_is_compacted_and_a_batch_reads_its_buckets(spark, sf, monkeypatch
     assert every.count() == words.select("doc_id", "page").distinct().count()
     # Looking back from an earlier batch, a later state is not seen.
     assert intake.pages_before(spark, store, LONG, 1).select("page").distinct().collect() == [(1,)]
+
+
+def test_a_batch_without_repeated_pages_joins_no_words(spark, sf, monkeypatch):
+    """Without unchanged pages and expected counts, words reach extraction without meeting a list of pages or documents."""
+    plans, found = [], statement.transactions
+    monkeypatch.setattr(statement, "transactions", lambda words, **o: (plans.append(words._jdf.queryExecution().executedPlan().toString()), found(words, **o))[1])
+    words, store = R.words(spark, sf).filter("doc_id < 20"), new_path(spark, "store")
+    intake.take_batch(words, 0, store, LONG)
+    assert "Join" not in plans[0]
+    assert rows(intake.current_ledger(spark, store, LONG)) == rows(found(words))

@@ -63,3 +63,27 @@ def test_no_python_and_no_cross_product_in_any_plan(spark, sf, name):
         if word == "SinglePartition" and name == "column_profile":
             continue  # one row of counts per task is all that meets there
         assert word not in plan, word
+
+
+def test_page_warnings_put_words_in_lines_once_and_read_no_amounts(spark, sf, stored_words):
+    """Both kinds of warnings start from stored pages; amounts are not read for them."""
+    told = statement.page_warnings(R.documents(spark, sf), stored_words)
+    assert "collect_list" not in plan_of(told)
+    pages = statement.page_tables(stored_words)
+    assert "decimal" not in plan_of(pages)
+    rows = statement.page_rows(stored_words).groupBy("doc_id", "page").agg({"has_table": "first"})
+    assert sorted(map(tuple, pages.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_known_counts_keep_layout_lines_on_one_exchange(spark, sf, stored_words):
+    lines = layout.transaction_lines(stored_words, sizes=R.word_counts(spark, sf))
+    cells = layout.position_cells(layout.word_roles(lines))
+    assert exchanges(cells) == ["Exchange hashpartitioning"]
+    plain = layout.transaction_lines(stored_words)
+    assert sorted(map(str, lines.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_counts_given_render_the_same_words(spark, sf):
+    counts = R.word_counts(spark, sf)
+    assert "explode(_words" in plan_of(R.words(spark, sf, counts))
+    assert R.words(spark, sf, counts).exceptAll(R.words(spark, sf)).isEmpty()
