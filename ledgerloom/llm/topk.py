@@ -2,12 +2,14 @@
 
 Vectors become whole numbers first (``floor(scale * x)``). With M the largest norm, a vector x is placed at
 (x, sqrt(M^2 - |x|^2)) and a query q at (q, 0): then d^2 = |q|^2 + M^2 - 2 q.x, so a larger score is a smaller
-distance. The index keys every vector by its nearest pivot and its distance to it, sorted; a block is a bounded run of
-that order, an annulus [low, high] around its pivot. A query first expands the annuli around its own distance, which
-gives a k-th score; then it visits only annuli whose triangle-inequality bound can still reach that score.
+distance. The index keys every vector by its nearest pivot and its distance to it, sorted; an annulus is a bounded run of
+that order, [low, high] around its pivot, and a cell a bounded run of annuli. Queries are sorted in with the vectors, so
+a query first meets the annuli around its own distance, which gives a k-th score; then it visits only annuli whose
+triangle-inequality bound can still reach that score.
 
 Pivots are a bounded sample (``PIVOTS`` rows of smallest hash); every row is indexed and results are exact whatever
-the pivots. The work of queries against the remaining annuli is done in bounded blocks of both.
+the pivots. Cells and blocks of queries are stored and read where they meet: neither side is shuffled for the other, a
+task holds a bounded number of both, and what leaves it are the k best of a query.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part; shorter vectors count
 as filled up with zeros; rows with a query's own id are never its candidates; rows repeated with equal id and vector
@@ -27,8 +29,14 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import stored
 
-#: Pivots of the index, rows of a block, queries of a block.
-PIVOTS, BLOCK, QUERIES = 64, 1_024, 256
+#: Pivots of the index, rows of an annulus, queries of a block.
+PIVOTS, BLOCK, QUERIES = 64, 1_024, 4_096
+#: Bytes of a cell's vectors, or of a block's, rows of a cell at most; blocks of queries that a task holds; bytes of a range of the sorted rows.
+CELL_BYTES, CELL, HELD, RANGE_BYTES = 1 << 20, 8_192, 32, 32 << 20
+#: Cells of a part that blocks of queries meet as one, tasks for which parts are made smaller.
+PART_CELLS, TASKS = 64, 128
+#: No k-th score yet.
+NONE = np.iinfo(np.int64).min
 
 
 def whole(vector: Column, scale: int) -> Column:
@@ -39,8 +47,11 @@ def whole(vector: Column, scale: int) -> Column:
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim))
-    for i, v in enumerate(column):
+    lists = column.tolist()
+    if lists and all(len(v) == dim for v in lists):
+        return np.concatenate(lists).reshape(len(lists), dim).astype(float)
+    out = np.zeros((len(lists), dim))
+    for i, v in enumerate(lists):
         out[i, : len(v)] = v
     return out
 
@@ -50,11 +61,19 @@ def _dtype(top: float) -> str:
     return "<i2" if top < 2.0**30 else "<i4" if top < 2.0**62 else "<f8"
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer scores: in doubles while every partial sum is below 2^53, else in 64-bit integers."""
-    if np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1] < 2**53:
-        return (queries @ vectors.T).astype(np.int64)
-    return queries.astype(np.int64) @ vectors.astype(np.int64).T
+def _exact(top: float) -> type:
+    """The fastest type with exact products of vectors whose squared norms are at most ``top``, as no partial sum is beyond it."""
+    return np.float32 if top < 2.0**24 else np.float64 if top < 2.0**53 else np.int64
+
+
+def _norms(m: np.ndarray) -> np.ndarray:
+    return (m.astype(float) ** 2).sum(1)
+
+
+def _scores(queries: np.ndarray, vectors: np.ndarray, top: float) -> np.ndarray:
+    """Exact integer scores of vectors whose squared norms are at most ``top``."""
+    kind = _exact(top)
+    return queries.astype(kind, copy=False) @ vectors.astype(kind, copy=False).T
 
 
 def _distances(points: np.ndarray, lifts: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -79,91 +98,183 @@ def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> t
 
 
 class Index:
-    """Blocks of annuli with what a search needs to know of the whole."""
+    """Stored cells of annuli, stored blocks of queries with a first k-th score, and what a search needs to know of the whole."""
+
+    def __init__(self, cells: DataFrame, asking: DataFrame, dim: int, top: float, pivots: np.ndarray):
+        self.cells, self.asking, self.dim, self.top, self.pivots, self.dtype = cells, asking, dim, top, pivots, _dtype(top)
+
+
+#: What is known of an annulus: the row of its cell behind its last, its pivot and distances from it, its smallest id.
+RIM = np.dtype([("end", "<i4"), ("pivot", "<i4"), ("low", "<f8"), ("high", "<f8"), ("least_id", "<i8")])
 
-    def __init__(self, blocks: DataFrame, dim: int, top: float, pivots: np.ndarray):
-        self.blocks, self.dim, self.top, self.pivots, self.dtype = blocks, dim, top, pivots, _dtype(top)
+
+def _rims(pivot: np.ndarray, far: np.ndarray, ids: np.ndarray, block: int) -> np.ndarray:
+    """Annuli of a cell: runs of one pivot, cut after ``block`` rows."""
+    at = np.arange(len(ids))
+    run = np.maximum.accumulate(np.where(np.diff(pivot, prepend=-1) != 0, at, 0))
+    starts = np.flatnonzero((at - run) % block == 0)
+    out = np.empty(len(starts), RIM)
+    out["end"], out["pivot"], out["low"] = np.append(starts[1:], len(ids)), pivot[starts], far[starts]
+    out["high"], out["least_id"] = far[out["end"] - 1], np.minimum.reduceat(ids, starts)
+    return out
 
 
-def build(vectors: DataFrame, pivots: int = PIVOTS, block: int = BLOCK) -> Index:
-    """Index (id, v) rows; ``v`` holds whole numbers as doubles."""
+def build(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERIES) -> Index:
+    """Index (id, v) rows, and queries sorted in with them; ``v`` holds whole numbers as doubles."""
     spark = vectors.sparkSession
-    size = vectors.agg(
-        F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")
+    queries = stored(queries.select("id", "v"), "asking")
+    both = vectors.select("id", "v", F.lit(False).alias("asks")).unionByName(queries.withColumn("asks", F.lit(True)))
+    size = both.agg(
+        F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"),
+        F.count("*").alias("n"), F.count_if("asks").alias("asking"),
     ).first()
     dim, top = int(size["dim"] or 0), float(size["top"] or 0.0)
-    drawn = vectors.select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h").limit(pivots).collect()
+    hashed = vectors.select(F.xxhash64("v").alias("h"), "v")
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(pivots).collect()]  # first the hashes alone: vectors don't move
+    drawn = hashed.where(F.col("h").isin(least)).distinct().orderBy("h").limit(pivots).collect() if least else []
     points = _matrix(pd.Series([r["v"] for r in drawn]), dim) if drawn else np.zeros((0, dim))
     lifted = np.hstack([points, np.sqrt(np.maximum(top - (points**2).sum(1), 0))[:, None]])
+    dtype = _dtype(top)
+    wide = max(1, dim * np.dtype(dtype).itemsize)
+    cell = max(1, min(CELL, CELL_BYTES // wide))
+    query_block = max(1, min(query_block, CELL_BYTES // wide))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = _matrix(b["v"], dim)
-            d = _distances(m, np.sqrt(np.maximum(top - (m**2).sum(1), 0)), lifted)
-            near = d.argmin(1)
-            yield pd.DataFrame({"pivot": near, "far": d[np.arange(len(d)), near], "id": b["id"], "v": b["v"]})
-
-    keyed = vectors.select("id", "v").mapInPandas(place, "pivot int, far double, id long, v array<double>")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            m, asks = _matrix(b["v"], dim), b["asks"].to_numpy(bool)
+            near, far = np.zeros(len(m), int), np.zeros(len(m))
+            if len(lifted):
+                d = _distances(m, np.where(asks, 0, np.sqrt(np.maximum(top - (m**2).sum(1), 0))), lifted)
+                near = d.argmin(1)
+                far = d[np.arange(len(d)), near]
+            yield pd.DataFrame({"pivot": near, "far": far, "asks": asks, "id": b["id"], "v": [r.tobytes() for r in m.astype(dtype)]})
+
+    keyed = both.mapInPandas(place, "pivot int, far double, asks boolean, id long, v binary")
     # Ranges of (pivot, distance, id): a group of equal vectors is cut by id, so no range depends on one value.
-    dealt = keyed.repartitionByRange(parts, "pivot", "far", "id").sortWithinPartitions("pivot", "far", "id")
+    # As many as the setting says while they fill cells, and more where a range would be large.
+    parts = max(1, -(-size["n"] * (wide + 40) // RANGE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // cell)))
+    dealt = keyed.repartitionByRange(parts, "pivot", "far", "id").sortWithinPartitions("pivot", "far", "id", "asks")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = None, []
-
-        def closed() -> pd.DataFrame:
-            far = np.array([r[0] for r in rows])
-            return pd.DataFrame({
-                "pivot": [held], "low": [far.min()], "high": [far.max()],
-                "ids": [np.array([r[1] for r in rows], "<i8").tobytes()],
-                "vectors": [_matrix(pd.Series([r[2] for r in rows]), dim).astype(_dtype(top)).tobytes()],
-            })
+        rest, near = [], None
+
+        def closed(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """The cell of a run of rows, and its queries with the k-th score and id of what they find in it or else in the one before."""
+            nonlocal near
+            asks = part["asks"].to_numpy(bool)
+            own, asked = part[~asks], part[asks]
+            if len(own):
+                ids, packed = own["id"].to_numpy("<i8"), b"".join(own["v"])
+                near = ids, np.frombuffer(packed, dtype).reshape(len(ids), dim)
+                rims = _rims(own["pivot"].to_numpy(), own["far"].to_numpy(), ids, block)
+                yield pd.DataFrame({"qids": [None], "qvectors": [None], "kth": [None], "last": [None], "ids": [ids.tobytes()], "vectors": [packed], "rims": [rims.tobytes()]})
+            for at in range(0, len(asked), 512):
+                some = asked.iloc[at : at + 512]
+                qids, packed = some["id"].to_numpy("<i8"), b"".join(some["v"])
+                kth, last = np.full(len(some), NONE), np.full(len(some), np.iinfo(np.int64).max)
+                if near is not None:
+                    ids, m = near
+                    scores = _scores(np.frombuffer(packed, dtype).reshape(len(qids), dim), m, top)
+                    mine, found = _best(qids, ids, scores, k)
+                    n = np.bincount(mine, minlength=len(qids))
+                    full, end = n == k, np.cumsum(n) - 1
+                    kth[full] = scores[mine[end[full]], found[end[full]]].astype(np.int64)
+                    last[full] = ids[found[end[full]]]
+                yield pd.DataFrame({"qids": [qids.tobytes()], "qvectors": [packed], "kth": [kth.tobytes()], "last": [last.tobytes()], "ids": [None], "vectors": [None], "rims": [None]})
 
         for b in batches:
-            for pivot, far, i, v in zip(b["pivot"], b["far"], b["id"], b["v"], strict=True):
-                if rows and (pivot != held or len(rows) >= block):
-                    yield closed()
-                    rows = []
-                held = pivot
-                rows.append((far, i, v))
-        if rows:
-            yield closed()
-
-    made = dealt.mapInPandas(cut, "pivot int, low double, high double, ids binary, vectors binary")
-    return Index(stored(made.withColumn("block", F.monotonically_increasing_id()), "annuli"), dim, top, lifted)
-
-
-def _query_blocks(queries: DataFrame, index: Index, size: int) -> DataFrame:
-    """qblock, ids, vectors, far (distances to all pivots) of at most ``size`` queries."""
-    dim, pivots, dtype = index.dim, index.pivots, index.dtype
+            rest.append(b)
+            if sum(map(len, rest)) >= cell:
+                rows = pd.concat(rest, ignore_index=True)
+                whole_cells = len(rows) // cell * cell
+                for at in range(0, whole_cells, cell):
+                    yield from closed(rows.iloc[at : at + cell])
+                rest = [rows.iloc[whole_cells:]]
+        if any(map(len, rest)):
+            yield from closed(pd.concat(rest, ignore_index=True))
+
+    made = stored(dealt.mapInPandas(cut, "qids binary, qvectors binary, kth binary, last binary, ids binary, vectors binary, rims binary"), "annuli")
+    columns = ["qids", "qvectors", "kth", "last"]
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of up to ``query_block`` queries of the small groups beside each other."""
+        rows, n = [], 0
         for b in batches:
-            for at in range(0, len(b), size):
-                part = b.iloc[at : at + size]
-                m = _matrix(part["v"], dim)
-                far = _distances(m, np.zeros(len(m)), pivots)
-                yield pd.DataFrame({"members": [part["id"].tolist()], "qids": [part["id"].to_numpy("<i8").tobytes()], "qvectors": [m.astype(dtype).tobytes()], "far": [far.astype("<f8").tobytes()]})
-
-    made = queries.select("id", "v").mapInPandas(group, "members array<long>, qids binary, qvectors binary, far binary")
-    return stored(made.withColumn("qblock", F.monotonically_increasing_id()), "query-blocks")
-
-
-def _meet(pairs: DataFrame, index: Index, k: int) -> DataFrame:
-    """Per (query block, annulus) row: the k best candidates of every query that still needs the annulus."""
-    dim, dtype = index.dim, index.dtype
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                qids, ids = np.frombuffer(row.qids, "<i8"), np.frombuffer(row.ids, "<i8")
-                wanted = np.frombuffer(row.wanted, "<i4")
-                q = np.frombuffer(row.qvectors, dtype).reshape(len(qids), dim)[wanted].astype(float)
-                got = _scores(q, np.frombuffer(row.vectors, dtype).reshape(len(ids), dim).astype(float))
-                mine, at = _best(qids[wanted], ids, got, k)
-                yield pd.DataFrame({"query_id": qids[wanted][mine], "vec_id": ids[at], "score": got[mine, at]})
-
-    return pairs.select("qids", "qvectors", "wanted", "ids", "vectors").mapInPandas(search, "query_id long, vec_id long, score long")
+            for row in b[columns].itertuples(index=False):
+                if rows and n + len(row.qids) // 8 > query_block:
+                    yield pd.DataFrame([[b"".join(x) for x in zip(*rows, strict=True)]], columns=columns)
+                    rows, n = [], 0
+                rows.append(row)
+                n += len(row.qids) // 8
+        if rows:
+            yield pd.DataFrame([[b"".join(x) for x in zip(*rows, strict=True)]], columns=columns)
+
+    blocks = made.where("qids IS NOT NULL").select(*columns).coalesce(max(1, -(-size["asking"] // query_block)))
+    blocks = blocks.mapInPandas(group, "qids binary, qvectors binary, kth binary, last binary")
+    asking = stored(blocks.withColumn("qblock", F.monotonically_increasing_id()), "query-blocks")
+    # A query gets k rows from each part of the cells: as few parts as hold a bounded number of cells and keep many tasks busy.
+    n_cells, n_blocks = -(-size["n"] // cell), -(-size["asking"] // query_block)
+    cells = made.where("ids IS NOT NULL").select("ids", "vectors", "rims").coalesce(max(1, -(-n_cells // PART_CELLS), min(n_cells, TASKS // max(1, n_blocks))))
+    cells = cells.withColumn("cell", F.monotonically_increasing_id())
+    return Index(cells, asking, dim, top, lifted)
+
+
+class Asking:
+    """A block of queries: what is left to look for, and the k best so far of the cells that it has met."""
+
+    def __init__(self, row, index: tuple, k: int):
+        dim, self.top, pivots, dtype = index
+        self.k, self.ids = k, np.frombuffer(row.qids, "<i8")
+        self.v = np.frombuffer(row.qvectors, dtype).reshape(len(self.ids), dim)
+        self.norm = _norms(self.v)
+        self.far = _distances(self.v.astype(float), np.zeros(len(self.v)), pivots)
+        self.kth, self.last = np.frombuffer(row.kth, "<i8").copy(), np.frombuffer(row.last, "<i8").copy()
+        self.found, self.more, self.n_more = tuple(np.zeros(0, np.int64) for _ in range(3)), [], 0
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, norm: float, rims: np.ndarray) -> None:
+        """Visit the annuli of a cell whose bound still reaches a query's k-th score."""
+        most = max(self.norm.max(), norm)
+        kind = _exact(most)
+        self.v, vectors = self.v.astype(kind, copy=False), vectors.astype(kind, copy=False)
+        start = 0
+        for end, pivot, low, high, least_id in rims.tolist():
+            far = self.far[:, pivot]
+            gap = np.maximum(np.maximum(low - far, far - high), 0)
+            # An equal score counts only with a smaller id than that of the k-th; the first k-th itself is still to be found.
+            least = self.kth + (self.last < least_id)
+            wanted = np.flatnonzero((self.norm + self.top - gap**2) / 2 + 1e-6 * (self.norm + self.top + 1) >= least)
+            for at in range(0, len(wanted), 512):
+                some = wanted[at : at + 512]
+                scores = (self.v[at : at + 512] if len(wanted) == len(self.v) else self.v[some]) @ vectors[start:end].T
+                least_here = least[some].astype(kind)
+                reach = np.flatnonzero(scores.max(1) >= least_here)
+                if len(reach):
+                    some, scores = some[reach], scores[reach]
+                    i, j = np.divmod(np.flatnonzero(scores >= least_here[reach, None]), end - start)
+                    slot, other = some[i], ids[start + j]
+                    strange = other != self.ids[slot]
+                    self.more.append((slot[strange], scores[i, j].astype(np.int64)[strange], other[strange]))
+                    self.n_more += len(slot)
+            start = end
+            if self.n_more > len(self.ids):
+                self.settle()
+
+    def settle(self) -> None:
+        """Keep the k best of each query and raise its k-th score."""
+        if not self.n_more:
+            return
+        slot, score, ids = (np.concatenate(x) for x in zip(self.found, *self.more, strict=True))
+        order = np.lexsort((ids, ~score, slot))
+        slot = slot[order]
+        place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        kept = place < self.k
+        self.found = slot[kept], score[order][kept], ids[order][kept]
+        full = order[place == self.k - 1]
+        at = slot[place == self.k - 1]
+        # What the first look found is as good as what is found now, until this has k of its own.
+        better = (score[full] > self.kth[at]) | ((score[full] == self.kth[at]) & (ids[full] < self.last[at]))
+        self.kth[at[better]], self.last[at[better]] = score[full[better]], ids[full[better]]
+        self.more, self.n_more = [], 0
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -174,67 +285,37 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for every row of ``queries`` (both id, v)."""
-    index = build(vectors, pivots, block)
-    qblocks = _query_blocks(queries, index, query_block)
-    top, n_pivots, dim, dtype = index.top, len(index.pivots), index.dim, index.dtype
-    annuli = index.blocks.select("block", "pivot", "low", "high")
-    # Which annuli a query block needs is decided on bounds alone: one small row per pivot holds its annuli's
-    # bounds, in runs of bounded length, and meets each query block once.
-    rims = annuli.withColumn("run", F.floor(F.col("block") % 64)).groupBy("pivot", "run").agg(
-        F.collect_list(F.struct("block", "low", "high")).alias("rims")
-    )
-    home = "qblock long, block long, wanted binary"
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Annuli of a query's nearest pivot that hold its distance, and the closest one otherwise."""
-        for b in batches:
-            for row in b.itertuples(index=False):
-                far = np.frombuffer(row.far, "<f8").reshape(-1, n_pivots)
-                own = np.flatnonzero(far.argmin(1) == row.pivot)
-                low, high = np.array([r["low"] for r in row.rims]), np.array([r["high"] for r in row.rims])
-                if len(own):
-                    d = far[own, row.pivot][:, None]
-                    gap = np.maximum(np.maximum(low[None] - d, d - high[None]), 0)
-                    near = gap.argmin(1)
-                    yield pd.DataFrame([
-                        (row.qblock, row.rims[i]["block"], own[near == i].astype("<i4").tobytes()) for i in np.unique(near)
-                    ], columns=["qblock", "block", "wanted"])
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Annuli whose bound still reaches a query's k-th score so far."""
+    index = build(vectors, queries, k, pivots, block, query_block)
+    dim, dtype, known = index.dim, index.dtype, (index.dim, index.top, index.pivots, index.dtype)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Asking] = {}
+        cell, its = None, None
+
+        def told() -> Iterator[pd.DataFrame]:
+            for x in held.values():
+                x.settle()
+                slot, score, ids = x.found
+                yield pd.DataFrame({"query_id": x.ids[slot], "vec_id": ids, "score": score})
+            held.clear()
+
         for b in batches:
             for row in b.itertuples(index=False):
-                far = np.frombuffer(row.far, "<f8").reshape(-1, n_pivots)[:, row.pivot]
-                q = np.frombuffer(row.qvectors, dtype).reshape(len(far), dim).astype(float)
-                qids = np.frombuffer(row.qids, "<i8")
-                kth = dict(zip(row.known_ids, row.kth, strict=True)) if row.known_ids is not None else {}
-                least = np.array([kth.get(i, -np.inf) for i in qids.tolist()])
-                norm = (q**2).sum(1)
-                out = []
-                for r in row.rims:
-                    gap = np.maximum(np.maximum(r["low"] - far, far - r["high"]), 0)
-                    bound = (norm + top - gap**2) / 2
-                    wanted = np.flatnonzero(bound + 1e-6 * (norm + top + 1) >= least)
-                    if len(wanted):
-                        out.append((row.qblock, r["block"], wanted.astype("<i4").tobytes()))
-                if out:
-                    yield pd.DataFrame(out, columns=["qblock", "block", "wanted"])
-
-    def probes(pairs: DataFrame) -> DataFrame:
-        return pairs.join(qblocks, "qblock").join(index.blocks.select("block", "ids", "vectors"), "block")
-
-    keyed = qblocks.select("qblock", "far", F.explode(F.sequence(F.lit(0), F.lit(n_pivots - 1))).alias("pivot")) if n_pivots else qblocks.select("qblock", "far", F.lit(0).alias("pivot")).limit(0)
-    started = stored(_ranked(_meet(probes(keyed.join(rims, "pivot").select("qblock", "pivot", "far", "rims").mapInPandas(first, home)), index, k), k), "first-scores")
-    # The k-th score of queries that have k already; the others have no bound yet and visit every annulus.
-    kth = started.where(F.col("rank") == k).select("query_id", "score")
-    members = qblocks.select("qblock", F.explode("members").alias("query_id"))
-    held = members.join(kth, "query_id").groupBy("qblock").agg(F.collect_list("query_id").alias("known_ids"), F.collect_list("score").alias("kth"))
-    pairs = (
-        qblocks.join(held, "qblock", "left")
-        .select("qblock", "qids", "qvectors", "far", "known_ids", "kth", F.explode(F.sequence(F.lit(0), F.lit(max(n_pivots - 1, 0)))).alias("pivot"))
-        .join(rims, "pivot").mapInPandas(rest, home)
-    )
-    return _ranked(_meet(probes(pairs), index, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                if row.cell != cell:
+                    ids = np.frombuffer(row.ids, "<i8")
+                    m = np.frombuffer(row.vectors, dtype).reshape(len(ids), dim)
+                    cell, its = row.cell, (ids, m, _norms(m).max(), np.frombuffer(row.rims, RIM))
+                if row.qblock not in held:
+                    if len(held) >= HELD:
+                        yield from told()
+                    held[row.qblock] = Asking(row, known, k)
+                held[row.qblock].meet(*its)
+        yield from told()
+
+    # Every block of queries meets every cell, in rows of a megabyte or two: what is stored is read again rather than moved.
+    pairs = index.asking.crossJoin(index.cells).select("cell", "ids", "vectors", "rims", "qblock", "qids", "qvectors", "kth", "last")
+    found = pairs.mapInPandas(meet, "query_id long, vec_id long, score long")
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def prepared(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
