@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +31,9 @@ from pyspark.sql.window import Window
 from ..sources.scratch import stored
 
 #: Pivots of the index, rows of an annulus, queries of a block.
-PIVOTS, BLOCK, QUERIES = 64, 1_024, 4_096
+PIVOTS, BLOCK, QUERIES = 64, 1_024, 8_192
 #: Bytes of a cell's vectors, or of a block's, rows of a cell at most; blocks of queries that a task holds; bytes of a range of the sorted rows.
-CELL_BYTES, CELL, HELD, RANGE_BYTES = 1 << 20, 8_192, 32, 32 << 20
+CELL_BYTES, CELL, HELD, RANGE_BYTES = 1 << 20, 8_192, 12, 32 << 20
 #: Cells of a part that blocks of queries meet as one, tasks for which parts are made smaller.
 PART_CELLS, TASKS = 64, 128
 #: No k-th score yet.
@@ -222,13 +223,13 @@ def build(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
 class Asking:
     """A block of queries: what is left to look for, and the k best so far of the cells that it has met."""
 
-    def __init__(self, row, index: tuple, k: int):
+    def __init__(self, ids: bytes, vectors: bytes, kth: bytes, last: bytes, index: tuple, k: int):
         dim, self.top, pivots, dtype = index
-        self.k, self.ids = k, np.frombuffer(row.qids, "<i8")
-        self.v = np.frombuffer(row.qvectors, dtype).reshape(len(self.ids), dim)
+        self.k, self.ids = k, np.frombuffer(ids, "<i8")
+        self.v = np.frombuffer(vectors, dtype).reshape(len(self.ids), dim)
         self.norm = _norms(self.v)
         self.far = _distances(self.v.astype(float), np.zeros(len(self.v)), pivots)
-        self.kth, self.last = np.frombuffer(row.kth, "<i8").copy(), np.frombuffer(row.last, "<i8").copy()
+        self.kth, self.last = np.frombuffer(kth, "<i8").copy(), np.frombuffer(last, "<i8").copy()
         self.found, self.more, self.n_more = tuple(np.zeros(0, np.int64) for _ in range(3)), [], 0
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, norm: float, rims: np.ndarray) -> None:
@@ -288,33 +289,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     index = build(vectors, queries, k, pivots, block, query_block)
     dim, dtype, known = index.dim, index.dtype, (index.dim, index.top, index.pivots, index.dtype)
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Asking] = {}
         cell, its = None, None
 
-        def told() -> Iterator[pd.DataFrame]:
+        def told() -> Iterator[pa.RecordBatch]:
             for x in held.values():
                 x.settle()
                 slot, score, ids = x.found
-                yield pd.DataFrame({"query_id": x.ids[slot], "vec_id": ids, "score": score})
+                yield pa.RecordBatch.from_arrays([x.ids[slot], ids, score], ["query_id", "vec_id", "score"])
             held.clear()
 
         for b in batches:
-            for row in b.itertuples(index=False):
-                if row.cell != cell:
-                    ids = np.frombuffer(row.ids, "<i8")
-                    m = np.frombuffer(row.vectors, dtype).reshape(len(ids), dim)
-                    cell, its = row.cell, (ids, m, _norms(m).max(), np.frombuffer(row.rims, RIM))
-                if row.qblock not in held:
+            for i in range(b.num_rows):  # in Arrow's own memory: a batch of large rows is not copied as a whole
+                row = {c: b.column(c)[i] for c in b.schema.names}
+                if row["cell"].as_py() != cell:
+                    ids = np.frombuffer(row["ids"].as_buffer(), "<i8").copy()
+                    m = np.frombuffer(row["vectors"].as_buffer(), dtype).reshape(len(ids), dim).copy()
+                    cell, its = row["cell"].as_py(), (ids, m, _norms(m).max(), np.frombuffer(row["rims"].as_py(), RIM))
+                block_at = row["qblock"].as_py()
+                if block_at not in held:
                     if len(held) >= HELD:
                         yield from told()
-                    held[row.qblock] = Asking(row, known, k)
-                held[row.qblock].meet(*its)
+                    held[block_at] = Asking(*(row[c].as_py() for c in ("qids", "qvectors", "kth", "last")), known, k)
+                held[block_at].meet(*its)
         yield from told()
 
     # Every block of queries meets every cell, in rows of a megabyte or two: what is stored is read again rather than moved.
     pairs = index.asking.crossJoin(index.cells).select("cell", "ids", "vectors", "rims", "qblock", "qids", "qvectors", "kth", "last")
-    found = pairs.mapInPandas(meet, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(meet, "query_id long, vec_id long, score long")
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
